@@ -23,7 +23,7 @@ from tallybook.operators.features import (
     with_anomaly_features,
 )
 from tallybook.operators.ranking import exact_quantile, min_rank
-from tallybook.session import reliable_checkpoint
+from tallybook.session import fill_cores, reliable_checkpoint
 
 SAMPLE_ROWS = 256
 _NODES = "tree int, node int, feature int, cut double, left int, right int, depth double"
@@ -47,8 +47,9 @@ def _grow(sample: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[
     next_node = 1
     while todo:
         node, rows, depth = todo.pop()
-        spread = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0))
-        if depth >= max_depth or len(rows) <= 1 or len(spread) == 0:
+        done = depth >= max_depth or len(rows) <= 1
+        spread = [] if done else np.flatnonzero(rows.max(axis=0) > rows.min(axis=0))
+        if len(spread) == 0:
             nodes.append((node, -1, 0.0, node, node, depth + float(_mean_depth(len(rows)))))
             continue
         feature = int(rng.choice(spread))
@@ -106,13 +107,15 @@ class AnomalyModel:
 
     def raw_scores(self, tx: DataFrame) -> DataFrame:
         """``__score`` per row: minus the anomaly measure of the paper (higher = normal)."""
-        features = standardise(
-            with_anomaly_features(tx, stats=self.stats, hour_col=self.hour_col, spread_by=self.key),
-            ANOMALY_FEATURES,
-            self.figures,
+        features = with_anomaly_features(
+            tx, stats=self.stats, hour_col=self.hour_col, spread_by=self.key
         )
+        return self._score(features, tx.columns)
+
+    def _score(self, features: DataFrame, keep: list[str]) -> DataFrame:
+        features = standardise(features, ANOMALY_FEATURES, self.figures)
         # Bounded by trees x (2 x 256 - 1) nodes, whatever the data.
-        forest = tx.sparkSession.sparkContext.broadcast(_pack(self.nodes))
+        forest = features.sparkSession.sparkContext.broadcast(_pack(self.nodes))
         norm = float(_mean_depth(self.sample_rows))
 
         @F.pandas_udf("double")
@@ -131,7 +134,7 @@ class AnomalyModel:
                     total += depth[tree][at]
                 yield pd.Series(-np.exp2(-total / len(trees) / max(norm, 1e-9)))
 
-        return features.withColumn("__score", score(*ANOMALY_FEATURES)).select(*tx.columns, "__score")
+        return features.select(*keep, score(*ANOMALY_FEATURES).alias("__score"))
 
     def predict(self, tx: DataFrame, *, ranked: bool = True) -> DataFrame:
         """Add anomaly_score, anomaly_flag and, if asked, anomaly_rank (1 = most anomalous)."""
@@ -214,7 +217,10 @@ class AnomalyDetector:
         return model._finish(scored)
 
     def _fit(self, tx: DataFrame, keep_stats: bool) -> tuple[AnomalyModel, DataFrame]:
-        features = with_anomaly_features(tx, hour_col=self.hour_col, spread_by=self.key)
+        # Read three times below (scaling, sampling, scoring), so stored once.
+        features = reliable_checkpoint(
+            with_anomaly_features(tx, hour_col=self.hour_col, spread_by=self.key)
+        )
         figures = scaling(features, ANOMALY_FEATURES).first().asDict()
         rows = int(figures.pop("n_rows"))
         if rows == 0:
@@ -234,19 +240,21 @@ class AnomalyDetector:
 
         sample = _tree_samples(features, self.key, rows, self.n_estimators, seed)
         scaled = standardise(sample, ANOMALY_FEATURES, figures)
-        nodes = scaled.select("tree", "__place", *ANOMALY_FEATURES).groupBy("tree").applyInPandas(grow, _NODES)
+        # A fixed partition count: the sample is small, growing a tree is not.
+        tasks = min(self.n_estimators, tx.sparkSession.sparkContext.defaultParallelism)
+        nodes = (
+            scaled.select("tree", "__place", *ANOMALY_FEATURES)
+            .repartition(tasks, "tree")
+            .groupBy("tree")
+            .applyInPandas(grow, _NODES)
+        )
         model = AnomalyModel(
-            nodes.toPandas(),
-            figures,
-            block,
-            0.0,
-            merchant_stats(tx) if keep_stats else None,
-            self.hour_col,
-            self.key,
+            nodes.toPandas(), figures, block, 0.0, None, self.hour_col, self.key
         )
-        fresh = AnomalyModel(model.nodes, figures, block, 0.0, None, self.hour_col, self.key)
-        scored = reliable_checkpoint(fresh.raw_scores(tx))
+        scored = reliable_checkpoint(model._score(fill_cores(features, rows, self.key), tx.columns))
         model.threshold = exact_quantile(scored, "__score", self.contamination)
+        if keep_stats:
+            model.stats = merchant_stats(tx)
         return model, scored
 
 

@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     OneVsRestModel,
 )
-from pyspark.ml.feature import CountVectorizerModel, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tallybook.operators.enrich import merchant_categories, with_rule_category
 from tallybook.operators.features import char_ngrams, vocabulary, with_numeric_features
 from tallybook.operators.skew import attach_group_stats
+from tallybook.session import fill_cores, reliable_checkpoint
 
 NUMERIC = ["log_amount", "sign", "weekday_f"]
 
@@ -43,13 +44,18 @@ class CategoryModel:
             norm = np.linalg.norm(values)
             return Vectors.sparse(counts.size, counts.indices, values / norm if norm else values)
 
-        texts = tx.groupBy("description").agg(F.count("*").alias("__rows")).withColumn(
-            "__terms", char_ngrams(F.col("description"))
-        )
+        texts = tx.groupBy("description").agg(F.count("*").alias("__rows"))
+        texts = texts.withColumn("__terms", char_ngrams(F.col("description")))
         counter = CountVectorizerModel.from_vocabulary(self.terms, "__terms", "__counts")
-        texts = counter.transform(texts).select(
-            "description", "__rows", weigh("__counts").alias("__text")
+        # Distinct descriptions are far fewer than rows; their counts are stored once,
+        # as several passes read them.
+        counts = reliable_checkpoint(
+            counter.transform(texts).select("description", "__rows", "__counts")
         )
+        texts = counts.select("description", "__rows", weigh("__counts").alias("__text"))
+        texts = VectorSizeHint(
+            inputCol="__text", size=len(self.terms), handleInvalid="optimistic"
+        ).transform(texts)
         rows = attach_group_stats(with_numeric_features(tx), texts, ["description"], "__rows", "transaction_id")
         assembler = VectorAssembler(inputCols=["__text", *NUMERIC], outputCol="features")
         return assembler.transform(rows).select(*tx.columns, "features")
@@ -107,7 +113,7 @@ class TransactionClassifier:
     """
 
     def __init__(
-        self, *, vocabulary_size: int = 3000, max_iter: int = 50, trees: bool = False, n_trees: int = 200
+        self, *, vocabulary_size: int = 3000, max_iter: int = 25, trees: bool = False, n_trees: int = 200
     ) -> None:
         self.vocabulary_size = vocabulary_size
         self.max_iter = max_iter
@@ -124,17 +130,19 @@ class TransactionClassifier:
         return OneVsRest(classifier=boosted)
 
     def fit(self, tx: DataFrame) -> CategoryModel:
-        # Both lists are bounded: the vocabulary by its size, labels by the rule table.
-        terms = vocabulary(tx, self.vocabulary_size).collect()
-        model = CategoryModel([r.term for r in terms], [r.idf for r in terms], [], None)
-        labelled = with_rule_category(tx, "__label").select(
-            "transaction_id", "description", "amount", "day_of_week", "__label"
+        day = F.col("day_of_week") if "day_of_week" in tx.columns else F.lit(0).alias("day_of_week")
+        # Narrow rows with their weak label, stored once: several passes follow.
+        rows = reliable_checkpoint(
+            with_rule_category(tx.select("transaction_id", "description", "amount", day), "__label")
         )
-        indexer = StringIndexer(
-            inputCol="__label", outputCol="label", stringOrderType="alphabetAsc"
-        ).fit(labelled)
-        model.labels = list(indexer.labels)
-        train = model.features(indexer.transform(labelled)).select("features", "label")
+        # Both lists are bounded: the vocabulary by its size, labels by the rule table.
+        terms = vocabulary(rows, self.vocabulary_size).collect()
+        counts = {r[0]: r[1] for r in rows.groupBy("__label").count().collect()}
+        labels = sorted(counts)
+        model = CategoryModel([r.term for r in terms], [r.idf for r in terms], labels, None)
+        position = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("__label"))
+        train = model.features(rows.withColumn("label", (position - 1).cast("double")))
+        train = fill_cores(train.select("transaction_id", "features", "label"), sum(counts.values()), "transaction_id")
         model.model = self._estimator().fit(train)
         return model
 

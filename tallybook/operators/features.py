@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.functions.money import exact
 from tallybook.operators.skew import attach_group_stats
 
 ANOMALY_FEATURES = [
@@ -20,7 +21,7 @@ def merchant_stats(tx: DataFrame) -> DataFrame:
     size = F.abs("amount")
     return tx.groupBy("description").agg(
         F.count("*").alias("merchant_freq"),
-        F.avg(size).alias("merchant_mean"),
+        (F.sum(exact(size)).cast("double") / F.count("*")).alias("merchant_mean"),
         F.coalesce(F.stddev_samp(size), F.lit(0.0)).alias("merchant_std"),
     )
 
@@ -113,17 +114,19 @@ def char_ngrams(text: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
     words = F.filter(F.split(F.lower(text), blank), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def windows(word: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(word) - n + 1)
+        return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+
     def grams(word: Column) -> Column:
         parts = []
         for n in sizes:
-            shorter = [m for m in sizes if m < n]
-            sliding = F.transform(
-                F.sequence(F.lit(1), F.length(word) - n + 1), lambda i, n=n: F.substring(word, i, F.lit(n))
+            smaller = max((m for m in sizes if m < n), default=0)
+            parts.append(
+                F.when(F.length(word) > n, windows(word, n))
+                .when(F.length(word) > smaller, F.array(word))
+                .otherwise(F.array().cast("array<string>"))
             )
-            whole = F.array(word) if not shorter else F.when(
-                F.length(word) > shorter[-1], F.array(word)
-            ).otherwise(F.array().cast("array<string>"))
-            parts.append(F.when(F.length(word) > n, sliding).otherwise(whole))
         return F.concat(*parts)
 
     return F.flatten(F.transform(padded, grams))

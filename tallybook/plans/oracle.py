@@ -162,7 +162,7 @@ ahead as (
 
 _STATS = """
 stats as (
-  select description, count(*) as merchant_freq, avg(abs(amount)) as merchant_mean,
+  select description, count(*) as merchant_freq, cast(sum(cast(abs(amount) as decimal(18,6))) as double) / count(*) as merchant_mean,
     coalesce(stddev_samp(abs(amount)), 0) as merchant_std from {source} group by description
 ),
 scored as (
@@ -456,7 +456,7 @@ ORACLE: dict[str, str] = {
       select strftime(ds, '%Y-%m') as period, round(sum(yhat), 2) as total, true as is_forecast from ahead group by 1""",
     "merchant_freq": _with(_TX, _STATS.format(source="tx")) + "select transaction_id, merchant_freq from scored",
     "merchant_stats": _with(_TX, _STATS.format(source="tx"))
-    + """select description, merchant_freq, round(merchant_mean, 4) as merchant_mean,
+    + """select description, merchant_freq, merchant_mean,
         round(merchant_std, 4) as merchant_std from stats""",
     "amount_zscore": _with(_TX, _STATS.format(source="tx"))
     + "select transaction_id, round(z, 6) as amount_zscore from scored",

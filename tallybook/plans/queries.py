@@ -588,7 +588,7 @@ def _(spark, sf):
 @query("merchant_stats")
 def _(spark, sf):
     stats = features.merchant_stats(transactions(spark, sf))
-    return _rounded(stats, 4, "merchant_mean", "merchant_std")
+    return _rounded(stats, 4, "merchant_std")
 
 
 @query("amount_zscore")

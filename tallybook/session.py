@@ -24,3 +24,16 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+ROWS_PER_TASK = 200_000
+
+
+def fill_cores(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """Spread a table of few rows over all cores before CPU-heavy work on it.
+
+    Adaptive execution packs small shuffles by their bytes. A table with more rows
+    than that has partitions enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if rows < cores * ROWS_PER_TASK else df
