@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -27,7 +28,12 @@ def strip(text: Column) -> Column:
 
 @F.arrow_udf(StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    if text.null_count == len(text):
+        return text
+    # The Arrow kernel of that name leaves accents decomposed.
+    return pa.array(
+        [None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string()
+    )
 
 
 def nfkc(text: Column) -> Column:

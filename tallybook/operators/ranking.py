@@ -15,6 +15,8 @@ def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
     """Add ``__bucket``: data-driven ranges of ``by``, in value order."""
     probabilities = [i / buckets for i in range(1, buckets)]
     cuts = df.approxQuantile(by, probabilities, 0.25 / buckets) if probabilities else []
+    if not cuts:
+        return df.withColumn("__bucket", F.lit(0.0))
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     return Bucketizer(splits=splits, inputCol=by, outputCol="__bucket").transform(df)
 

@@ -383,6 +383,17 @@ ORACLE: dict[str, str] = {
     "scan_real": TX + f"select {_LISTING} from tx where not is_internal",
     "adhoc_sql": TX + f"""select account, tx_type, count(*) as n_rows, min(amount) as lowest, max(date) as latest
       from tx where {_SPENT} group by account, tx_type having count(*) > 10""",
+    "sql_functions": _with(f"""
+      latest as (select account, raw_description, max(date) as date, max(amount) as amount
+        from stmt group by account, raw_description),
+      named as (select *, {_cleaned('raw_description')} as description from latest)""") + f"""
+      select account, date, raw_description, amount,
+        {_cascade('raw_description', rules.TYPE_RULES, "'card_payment'")} as tx_type,
+        regexp_matches(raw_description, '(?i)^transfer to savings') as is_internal,
+        {_cascade('description', rules.CATEGORY_RULES, "case when amount > 0 then 'Revenus' else 'Autre' end")} as category,
+        {_HASH} as transaction_id,
+        case when amount > 0 then '+' else '' end || replace(format('{{:,.2f}}', amount), ',', ' ') || ' €' as label
+      from named""",
     "v_real": TX + f"select {_FULL} from tx where not is_internal",
     "v_expenses": TX + f"select {_LISTING} from tx where {_SPENT}",
     "v_income": TX + f"select {_LISTING} from tx where not is_internal and amount > 0",

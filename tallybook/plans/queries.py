@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import money, parsing, rules, text
-from tallybook.functions.identity import transaction_id
+from tallybook.functions.sql import register_sql_functions
 from tallybook.operators import anomaly, features, forecast, normalise, ranking, reports, store
 from tallybook.operators.classify import TransactionClassifier
 from tallybook.operators.enrich import calendar_parts, with_rule_category
@@ -369,6 +369,25 @@ def _(spark, sf):
     """)
 
 
+@query("sql_functions")
+def _(spark, sf):
+    """The registered SQL functions, applied once per distinct narrative."""
+    register_sql_functions(spark)
+    store.views(transactions(spark, sf))
+    return spark.sql("""
+        SELECT account, date, raw_description, amount, tx_type(raw_description) AS tx_type,
+               is_internal_move(raw_description) AS is_internal,
+               rule_category(description, amount) AS category,
+               transaction_id(date, raw_description, amount, account) AS transaction_id,
+               format_money(amount) AS label
+        FROM (
+          SELECT account, raw_description, any_value(description) AS description,
+                 max(date) AS date, max(amount) AS amount
+          FROM transactions GROUP BY account, raw_description
+        )
+    """)
+
+
 # -- filters and listings ----------------------------------------------------
 
 @query("v_real")
