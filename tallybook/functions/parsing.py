@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallybook.functions.binding import let
 from tallybook.functions.text import collapse_spaces, strip
 
 # Date layouts in the order they are tried.
@@ -41,7 +42,9 @@ _DIRECTIVES = {
     "S": ("s", r"\d{1,2}"),
 }
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_ZERO = r"(?U)\A\s*(?:" + "|".join(ZERO_AMOUNTS) + r")\s*\z"
+# Digits may be grouped by underscores; exponents are allowed, "inf" and "nan" are not.
+_NUMBER = r"\A[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?\z"
 
 
 def spark_date_format(strptime_format: str) -> tuple[str, str]:
@@ -59,49 +62,53 @@ def spark_date_format(strptime_format: str) -> tuple[str, str]:
     return pattern, f"^{shape}$"
 
 
+def date_cell(text: Column) -> Column:
+    """Cell text without outer and with single inner blanks."""
+    return F.trim(collapse_spaces(F.coalesce(text, F.lit(""))))
+
+
 def parse_date(text: Column, formats: list[str]) -> Column:
     """First layout that reads the cell.
 
     A failed parse costs a JVM exception, so each layout runs only on cells
     whose shape fits it.
     """
-    cell = strip(text)
-    attempts = []
-    for fmt in formats:
+    def read(cell: Column, fmt: str) -> Column:
         pattern, shape = spark_date_format(fmt)
-        value = collapse_spaces(cell) if " " in fmt else cell
-        day = F.try_to_date(value, pattern)
+        day = F.try_to_date(cell, pattern)
         if "%y" in fmt:
             # Two-digit years from 69 on belong to the twentieth century.
             day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
-        attempts.append(F.when(value.rlike(shape), day))
-    return F.coalesce(*attempts)
+        return F.when(cell.rlike(shape), day)
+
+    return let(date_cell(text), lambda cell: F.coalesce(*[read(cell, f) for f in formats]))
 
 
 def date_error(text: Column, parsed: Column) -> Column:
-    cell = strip(text)
-    return (
-        F.when(cell.isNull() | (cell == ""), F.lit("missing date"))
-        .when(parsed.isNull(), F.concat(F.lit("unparseable date '"), cell, F.lit("'")))
-    )
+    def reason(cell: Column) -> Column:
+        return F.when(cell == "", F.lit("missing date")).otherwise(
+            F.concat(F.lit("unparseable date '"), cell, F.lit("'"))
+        )
+
+    return F.when(parsed.isNull(), let(date_cell(text), reason))
 
 
 def parse_amount(text: Column, decimal_sep: str = ".", thousands_sep: str = ",") -> Column:
-    """Signed DOUBLE of a locale-formatted cell; blank cells are 0, bad ones NULL."""
-    cell = strip(F.coalesce(text, F.lit("")))
-    digits = F.regexp_replace(cell, r"(?U)[€$£¥\s\x1c-\x1f]", "")
+    """Signed DOUBLE of a locale-formatted cell; blank cells are 0, bad ones NULL.
+
+    One chain without branches: each step refers to the one before exactly once,
+    so nothing is computed twice.
+    """
+    digits = F.regexp_replace(F.coalesce(text, F.lit("")), _ZERO, "0")
+    digits = F.regexp_replace(digits, r"(?U)[€$£¥\s\x1c-\x1f]", "")
     if thousands_sep:
         digits = F.replace(digits, F.lit(thousands_sep), F.lit(""))
     if decimal_sep == ",":
         digits = F.replace(digits, F.lit(","), F.lit("."))
-    digits = F.regexp_replace(digits, r"^\((.*)\)$", "-$1")
-    digits = F.when(
-        digits.contains("_"), F.regexp_replace(digits, r"(?<=\d)_(?=\d)", "")
-    ).otherwise(digits)
-    # A cast alone would accept suffixes such as "12d", so the regex decides.
-    return F.when(cell.isin(ZERO_AMOUNTS), F.lit(0.0)).when(
-        digits.rlike(_NUMBER), digits.try_cast("double")
-    )
+    digits = F.regexp_replace(digits, r"\A\((.*)\)\z", "-$1")
+    # A cast alone would accept suffixes such as "12d"; what is not a number becomes "".
+    number = F.regexp_extract(digits, _NUMBER, 0)
+    return F.replace(number, F.lit("_"), F.lit("")).try_cast("double")
 
 
 def amount_error(text: Column, parsed: Column) -> Column:
@@ -112,8 +119,8 @@ def amount_error(text: Column, parsed: Column) -> Column:
 
 
 def parse_currency(text: Column, default: str) -> Column:
-    code = F.upper(strip(text))
-    return F.when(F.length(code) == 3, code).otherwise(F.lit(default))
+    # Anything that is not three characters long after trimming gives way to the default.
+    return F.regexp_replace(F.upper(strip(F.coalesce(text, F.lit("")))), r"(?s)\A(?!.{3}\z).*\z", default)
 
 
 def or_default(text: Column, default: str) -> Column:

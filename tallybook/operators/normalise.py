@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import parsing, text
+from tallybook.functions.binding import let
 from tallybook.functions.identity import transaction_id
 from tallybook.schema import CANONICAL, UNCATEGORISED
 from tallybook.sources.profiles import SchemaProfile
@@ -59,18 +60,18 @@ def normalise(
         credit_cell, credit = amount_of(profile.credit_col)
         if profile.abs_debits:
             debit = F.abs(debit)
-        staged = (
-            staged.withColumn("__debit", debit)
-            .withColumn("__credit", credit)
-            .withColumn("__amount", debit_credit(F.col("__debit"), F.col("__credit")))
-            .withColumn(
-                "__amount_error",
-                F.coalesce(
-                    parsing.amount_error(debit_cell, F.col("__debit")),
-                    parsing.amount_error(credit_cell, F.col("__credit")),
-                    F.when((F.col("__debit") == 0) & (F.col("__credit") == 0), F.lit(EMPTY_AMOUNTS)),
-                ),
+
+        def problem(pair: Column) -> Column:
+            empty = (pair["debit"] == 0) & (pair["credit"] == 0)
+            return F.coalesce(
+                parsing.amount_error(debit_cell, pair["debit"]),
+                parsing.amount_error(credit_cell, pair["credit"]),
+                F.when(empty, F.lit(EMPTY_AMOUNTS)),
             )
+
+        pair = F.struct(debit.alias("debit"), credit.alias("credit"))
+        staged = staged.withColumn("__amount", debit_credit(debit, credit)).withColumn(
+            "__amount_error", let(pair, problem)
         )
     staged = staged.withColumn("__raw", raw).withColumn(
         "__clean", text.clean_description(F.col("__raw"))
