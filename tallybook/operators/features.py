@@ -133,17 +133,23 @@ def char_ngrams(text: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
 
 
 def ngram_counts(tx: DataFrame) -> DataFrame:
-    """Per term: occurrences and documents (rows), counted once per distinct text."""
+    """Per term: occurrences and documents (rows), counted once per distinct text.
+
+    A text lists its terms with repeats and once more without; both lists go into
+    one partial aggregate, so only per-task totals by term are shuffled.
+    """
     texts = tx.groupBy("description").agg(F.count("*").alias("__rows"))
-    terms = texts.select(
-        "__rows", "description", F.explode(char_ngrams(F.col("description"))).alias("term")
+    grams = F.col("__grams")
+    every = F.transform(grams, lambda g: F.struct(g.alias("term"), F.lit(False).alias("once")))
+    distinct = F.transform(
+        F.array_distinct(grams), lambda g: F.struct(g.alias("term"), F.lit(True).alias("once"))
     )
-    per_text = terms.groupBy("description", "term").agg(
-        F.count("*").alias("__tf"), F.first("__rows").alias("__rows")
+    listed = texts.withColumn("__grams", char_ngrams(F.col("description"))).select(
+        "__rows", F.inline(F.concat(every, distinct))
     )
-    return per_text.groupBy("term").agg(
-        F.sum(F.col("__tf") * F.col("__rows")).alias("occurrences"),
-        F.sum("__rows").alias("documents"),
+    return listed.groupBy("term").agg(
+        F.sum(F.when(~F.col("once"), F.col("__rows")).otherwise(0)).alias("occurrences"),
+        F.sum(F.when(F.col("once"), F.col("__rows")).otherwise(0)).alias("documents"),
     )
 
 

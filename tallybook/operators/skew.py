@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.session import reliable_checkpoint
+
 # A group is hot above total/HOT_GROUPS rows, so there are fewer than HOT_GROUPS
 # of them whatever the data: that bounds the broadcast list below.
 HOT_GROUPS = 512
@@ -27,9 +29,13 @@ def attach_group_stats(
 
     ``spread_by`` is a column whose values differ within a group; it decides
     which slice of a hot group a row goes to, and stays the same on a re-run.
+
+    The stats are stored first: finding the hot groups and joining would
+    otherwise each aggregate the whole input again.
     """
-    total = stats.agg(F.sum(rows_col)).scalar()
-    is_hot = F.col(rows_col) * HOT_GROUPS > total
+    stats = reliable_checkpoint(stats)
+    total = stats.agg(F.sum(rows_col)).first()[0] or 0
+    is_hot = F.col(rows_col) * HOT_GROUPS > F.lit(total)
     hot_keys = stats.filter(is_hot).select(*keys, F.lit(True).alias("__hot"))
 
     rows = df.join(F.broadcast(hot_keys), keys, "left").withColumn(

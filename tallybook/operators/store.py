@@ -62,8 +62,10 @@ class TransactionStore:
             .withColumn("load_id", F.lit(load_id))
             .observe(counted, F.count(F.lit(1)).alias("inserted"))
         )
+        # Rebalancing gives each year few, evenly sized files and splits a large year.
         (
-            rows.write.mode("overwrite")
+            rows.hint("rebalance", F.col("year"))
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("year", "load_id")
             .parquet(self.path)
