@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import shared_folder, table
+from tallybook.llm.decontaminate import op9_decontaminate
 from tallybook.llm.token_cache import token_counts
 
 
@@ -23,6 +24,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
