@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import shared_folder, table
 from tallybook.llm.decontaminate import op9_decontaminate
+from tallybook.llm.mixing import op1_pfair_mix
 from tallybook.llm.pigeonring import op4_simhash
 from tallybook.llm.token_cache import token_counts
 
@@ -24,6 +25,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pfair_mix": op1_pfair_mix,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op9_decontaminate": op9_decontaminate,
