@@ -13,6 +13,7 @@ from tallybook.llm.common import shared_folder, table
 from tallybook.llm.decontaminate import op9_decontaminate
 from tallybook.llm.mixing import op1_pfair_mix
 from tallybook.llm.pigeonring import op4_simhash
+from tallybook.llm.propagation import op7_shards
 from tallybook.llm.token_cache import token_counts
 from tallybook.llm.toxic_grammar import op8_toxicity
 
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mix": op1_pfair_mix,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op7_shards": op7_shards,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
 }
