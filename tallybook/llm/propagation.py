@@ -94,12 +94,13 @@ def propagate(
 
 def shards(
     docs: DataFrame, n_shards: int = 24, links: DataFrame | None = None, carry: Sequence[str] = (),
-    order: Sequence[str | Column] | None = None, rounds: int = 16, rows_per_bucket: int = 20_000,
+    order: Sequence[str] = (), rounds: int = 16, rows_per_bucket: int = 20_000,
 ) -> DataFrame:
     """Every row of docs as doc_id, size, text_crc32, unit, shard, slot and the carried columns.
 
     links: optional (doc_id, linked_id, weight) between documents of different texts.
-    order: ascending columns of `carry` by which slots count within a shard; a hash by default.
+    order: columns of `carry` by which slots count up within a shard; a hash by default. Its
+    first is a whole number that puts the rows into ranges, each small enough for a task.
     """
     text = text_or_empty()
     extra = [c for c in carry if c not in ("doc_id", "size", "text_crc32", "unit", "shard", "slot")]
@@ -142,22 +143,11 @@ def shards(
         reach -= quotas[s] - held.get(s, 0)
     pooled = pool.withColumn("shard", shard)
     done = placed.where(stays).unionByName(pooled).drop("_rank")
-    ordered = list(order) if order else ["_at", "unit", "_id"]
-    if order:
-        done = _ordered_buckets(done, order, spread)
-    done = running_total(done, ["shard"], "_bucket", ordered, F.lit(1), "slot")
+    ranges, *within = order or ["_bucket"]
+    done = running_total(done, ["shard"], ranges, [*within, "_at", "unit", "_id"], F.lit(1), "slot")
     return done.select("doc_id", "size", "text_crc32", "unit", F.col("shard").cast("int"), F.col("slot").cast("long"), *extra)
 
 
-def _ordered_buckets(rows: DataFrame, order: Sequence[str | Column], buckets: int) -> DataFrame:
-    """Buckets that follow the first column of order, by approximate quantiles of it."""
-    first = order[0] if isinstance(order[0], Column) else F.col(order[0])
-    cuts = rows.agg(F.percentile_approx(first, [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets)).first()[0]
-    cuts = sorted(set(cuts or [])) if buckets > 1 else []
-    bound = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    return rows.withColumn("_bucket", F.size(F.filter(bound, lambda c: c <= first)).cast("long"))
-
-
 def _unit_links(rows: DataFrame, links: DataFrame, grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between units, both ways, and all units that have copies or links."""
     units = rows.select("doc_id", "unit").where("doc_id is not null").distinct()
