@@ -79,3 +79,35 @@ def running_total(
     return joined.withColumn(out, F.col("_inside") + F.col("_offset")).drop(
         "_weight", "_inside", "_offset", *[f"_at_{k}" for k in [*keys, bucket]]
     )
+
+
+#: Keys with more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE of them can exist.
+HOT_SHARE = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], count: str, total: int) -> DataFrame:
+    """Left join of rows with one row of facts per key, safe for keys of a third of all rows.
+
+    facts holds in `count` how many of the `total` rows have the key. Keys above
+    total / HOT_SHARE are broadcast: HOT_SHARE rows at most, whatever the data. Their rows
+    then go through the shuffle under a spread-out key, so no task gets a hot key. Null
+    keys match null keys.
+    """
+    values = [c for c in facts.columns if c not in (*keys, count)]
+    hot = F.col(count) * HOT_SHARE > total
+
+    def side(part: DataFrame, mark: str) -> DataFrame:
+        return part.select(
+            *[F.col(k).alias(f"_{mark}_{k}") for k in keys], F.struct(F.lit(1).alias("_is"), *values).alias(f"_{mark}")
+        )
+
+    def same(mark: str) -> list[Column]:
+        return [F.col(k).eqNullSafe(F.col(f"_{mark}_{k}")) for k in keys]
+
+    joined = rows.join(F.broadcast(side(facts.where(hot), "hot")), same("hot"), "left")
+    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(*rows.columns), F.lit(9973)))
+    joined = joined.withColumn("_spread", spread.cast("int"))
+    cold = side(facts.where(~hot), "cold").withColumn("_none", F.lit(0))
+    joined = joined.join(cold, [*same("cold"), F.col("_spread") == F.col("_none")], "left")
+    found = F.coalesce("_hot", "_cold")
+    return joined.select(*rows.columns, *[found[v].alias(v) for v in values])

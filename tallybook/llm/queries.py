@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.llm import reputation
 from tallybook.llm.common import shared_folder, table
 from tallybook.llm.decontaminate import op9_decontaminate
 from tallybook.llm.mixing import op1_pfair_mix
 from tallybook.llm.pigeonring import op4_simhash
 from tallybook.llm.propagation import op7_shards
+from tallybook.llm.reputation import op2_url_reputation
 from tallybook.llm.token_cache import token_counts
 from tallybook.llm.toxic_grammar import op8_toxicity
 
@@ -28,6 +30,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mix": op1_pfair_mix,
+    "op2_url_reputation": op2_url_reputation,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op7_shards": op7_shards,
@@ -36,4 +39,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_url_reputation": reputation.ORACLE,
+}
