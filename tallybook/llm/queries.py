@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallybook.llm import reputation
 from tallybook.llm.common import shared_folder, table
 from tallybook.llm.decontaminate import op9_decontaminate
+from tallybook.llm.line_frequency import op6_line_frequency
 from tallybook.llm.mixing import op1_pfair_mix
 from tallybook.llm.pigeonring import op4_simhash
 from tallybook.llm.propagation import op7_shards
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_reputation": op2_url_reputation,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op6_line_frequency": op6_line_frequency,
     "op7_shards": op7_shards,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
