@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm import reputation
 from tallybook.llm.common import shared_folder, table
+from tallybook.llm.credentials import op10_credentials
 from tallybook.llm.decontaminate import op9_decontaminate
 from tallybook.llm.line_frequency import op6_line_frequency
 from tallybook.llm.mixing import op1_pfair_mix
@@ -38,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_shards": op7_shards,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_credentials": op10_credentials,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
