@@ -13,6 +13,7 @@ from tallybook.llm import reputation
 from tallybook.llm.common import shared_folder, table
 from tallybook.llm.credentials import op10_credentials
 from tallybook.llm.decontaminate import op9_decontaminate
+from tallybook.llm.html_blocks import op3_html_text
 from tallybook.llm.line_frequency import op6_line_frequency
 from tallybook.llm.mixing import op1_pfair_mix
 from tallybook.llm.pigeonring import op4_simhash
@@ -33,6 +34,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mix": op1_pfair_mix,
     "op2_url_reputation": op2_url_reputation,
+    "op3_html_text": op3_html_text,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_line_frequency": op6_line_frequency,
