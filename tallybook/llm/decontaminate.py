@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import LETTERS, checkpointed, lower_ascii, table, text_or_empty
@@ -122,15 +122,20 @@ def _decoded(words: list[bytes]) -> list[str]:
     return [w.decode() for w in words]
 
 
+def row_key() -> Column:
+    """Equal for rows of one id (or none) and text."""
+    return F.xxhash64(F.struct(F.col("doc_id").isNull(), F.col("doc_id")), text_or_empty()).alias("row")
+
+
 #: One row per document; `spots` are the positions of prefix words, with the words around them.
 PROBE = (
-    "doc_id long, digest long, n_words long, "
+    "doc_id long, row long, n_words long, "
     "spots array<struct<word:string, at:int, left:array<string>, right:array<string>>>"
 )
 
 
 def document_spots(docs: DataFrame, word_map: np.ndarray, words: int) -> DataFrame:
-    """(doc_id, digest, n_words, spots) of each document, repeated rows included."""
+    """(doc_id, row, n_words, spots) of each document, repeated rows included."""
     around = words - 1
     spot_type = pa.struct([
         ("word", pa.string()), ("at", pa.int32()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string())),
@@ -150,22 +155,22 @@ def document_spots(docs: DataFrame, word_map: np.ndarray, words: int) -> DataFra
                     for i, w in enumerate(tokens) if w in wanted
                 ] if wanted else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(lengths, pa.int64()),
+                [batch.column("doc_id"), batch.column("row"), pa.array(lengths, pa.int64()),
                  pa.array(spots, pa.list_(spot_type))],
-                names=["doc_id", "digest", "n_words", "spots"],
+                names=["doc_id", "row", "n_words", "spots"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64(text_or_empty()).alias("digest"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), row_key())
     return rows.mapInArrow(probe, PROBE)
 
 
 def window_hits(spots: DataFrame, prefixed: DataFrame) -> DataFrame:
-    """(doc_id, digest, at, n, item): verified occurrences, `at` the first word's position."""
-    each = spots.where(F.size("spots") > 0).select("doc_id", "digest", F.inline("spots"))
+    """(row, at, n, item): verified occurrences, `at` the first word's position."""
+    each = spots.where(F.size("spots") > 0).select("row", F.inline("spots"))
     before = F.greatest(F.size("left") - F.col("offset") + 1, F.lit(1))
     fits = (F.slice("left", before, F.col("offset")) == F.slice("window", F.lit(1), F.col("offset"))) & (F.slice("right", F.lit(1), F.col("n") - F.col("offset")) == F.slice("window", F.col("offset") + 1, F.col("n")))
     joined = each.join(prefixed.where("df > 0"), "word").where(F.size("left") >= F.col("offset"))
-    return joined.where(fits).select("doc_id", "digest", (F.col("at") - F.col("offset")).alias("at"), "n", "item")
+    return joined.where(fits).select("row", (F.col("at") - F.col("offset")).alias("at"), "n", "item")
 
 
 def contamination(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFrame:
@@ -177,23 +182,21 @@ def contamination(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFra
     spots = checkpointed(document_spots(docs, _word_map(prefixed.where("df > 0").select("word")), words))
     hits = window_hits(spots, prefixed)
 
-    # Copies of a row give the same hits, so a set per (doc_id, digest) holds each once.
-    spans = hits.groupBy("doc_id", "digest", "at").agg(F.max(F.col("at") + F.col("n")).alias("end"))
-    earlier = Window.partitionBy("doc_id", "digest").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = spans.withColumn("reach", F.coalesce(F.max("end").over(earlier), F.lit(0))).withColumn(
-        "start", F.greatest("at", "reach")
-    ).where(F.col("end") > F.col("start"))
-    union = fresh.groupBy("doc_id", "digest").agg(
+    # Copies of a row give the same hits, so a set per row holds each once.
+    spans = hits.groupBy("row", "at").agg(F.max(F.col("at") + F.col("n")).alias("end"))
+    earlier = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("end").over(earlier), F.lit(-1))
+    so_far = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    apart = spans.withColumn("begins", (F.col("at") > reach).cast("int")).withColumn("run", F.sum("begins").over(so_far))
+    runs = apart.groupBy("row", "run").agg(F.min("at").alias("start"), F.max("end").alias("end"))
+    union = runs.groupBy("row").agg(
         F.sum(F.col("end") - F.col("start")).alias("n_hit"),
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hits"),
     )
-    named = hits.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found = union.join(named, ["doc_id", "digest"]).select(
-        F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "n_hit", "hits", "items"
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))
-    return spots.select("doc_id", "digest", "n_words").join(found, same, "left").select(
-        "doc_id", "digest", "n_words",
+    named = hits.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = union.join(named, "row")
+    return spots.select("doc_id", "row", "n_words").join(found, "row", "left").select(
+        "doc_id", "row", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("hits", F.array().cast("array<struct<start:int,end:int>>")).alias("hits"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -202,11 +205,8 @@ def contamination(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFra
 
 def clean_documents(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFrame:
     """The rows of docs in which no window of an item occurs, with their own columns."""
-    dirty = contamination(docs, items, words).where("n_hit > 0").select(
-        F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")
-    ).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_or_empty()) == F.col("_digest"))
-    return docs.join(dirty, same, "left_anti")
+    dirty = contamination(docs, items, words).where("n_hit > 0").select(F.col("row").alias("_row")).distinct()
+    return docs.join(dirty, row_key() == F.col("_row"), "left_anti")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -119,9 +119,9 @@ def clean_text(text: Column, removed: Column) -> Column:
 
 def filtered(docs: DataFrame, host: str = "source", **settings) -> DataFrame:
     """The kept rows of docs, their text without the removed lines."""
-    text = docs.select("*", F.col("text").alias("_text"))
-    found = judged(text, host, carry=["_text", *(c for c in docs.columns if c not in ("doc_id", "text"))], **settings)
-    cleaned = found.where("kept").withColumn("text", clean_text(F.col("_text"), F.col("removed")))
+    text = docs.select("*", F.col("text").alias("_whole"))
+    found = judged(text, host, carry=["_whole", *(c for c in docs.columns if c not in ("doc_id", "text"))], **settings)
+    cleaned = found.where("kept").withColumn("text", clean_text(F.col("_whole"), F.col("removed")))
     return cleaned.select(*docs.columns)
 
 
