@@ -28,6 +28,8 @@ MONTH_FIRST_FORMATS = [
     "%m/%d/%Y", "%Y-%m-%d", "%m-%d-%Y", "%Y/%m/%d", "%m/%d/%y",
     "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%m/%d/%Y %H:%M:%S",
 ]
+# What only a day-first layout reads is still a date there.
+MONTH_FIRST_FORMATS += [f for f in DAY_FIRST_FORMATS if f not in MONTH_FIRST_FORMATS]
 
 # Amount cells that mean zero.
 ZERO_AMOUNTS = ["", "-", "–", "n/a", "N/A"]

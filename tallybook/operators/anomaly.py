@@ -23,7 +23,7 @@ from tallybook.operators.features import (
     with_anomaly_features,
 )
 from tallybook.operators.ranking import exact_quantile, min_rank
-from tallybook.session import fill_cores, reliable_checkpoint
+from tallybook.session import reliable_checkpoint
 
 SAMPLE_ROWS = 256
 _NODES = "tree int, node int, feature int, cut double, left int, right int, depth double"
@@ -72,17 +72,17 @@ def _tree_samples(df: DataFrame, key: str, rows: int, trees: int, seed: int) ->
     per_round = min(trees, rows // block)
     rounds = math.ceil(trees / per_round)
     wanted = per_round * block
-    # On large tables only hashes below a threshold compete; four times the need is
-    # kept, and fewer than the need is out of the question at such counts.
-    share = min(1.0, 4.0 * wanted / rows) if rows > 8 * wanted else 1.0
-    order = F.xxhash64(F.lit(seed), F.col("__round"), F.col(key))
-    keep = (F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53))) < share
+    # Only the lowest hashes compete: four times the need is let through, which always
+    # holds the lowest `wanted`, so the sample is the same as without this cut.
+    share = min(1.0, 4.0 * wanted / rows)
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("__round"), F.col(key)), 1)
+    keep = order <= F.lit(min(int(share * (1 << 63)), (1 << 63) - 1))
     dealt = (
         df.withColumn("__round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
         .withColumn("__order", order)
         .filter(keep)
     )
-    # Bounded: at most 8 x wanted rows per round reach this window.
+    # Bounded: about 4 x wanted rows per round reach this window.
     place = F.row_number().over(Window.partitionBy("__round").orderBy("__order", key)) - 1
     tree = F.col("__round") * per_round + F.floor(F.col("__place") / block).cast("int")
     return (
@@ -251,7 +251,7 @@ class AnomalyDetector:
         model = AnomalyModel(
             nodes.toPandas(), figures, block, 0.0, None, self.hour_col, self.key
         )
-        scored = reliable_checkpoint(model._score(fill_cores(features, rows, self.key), tx.columns))
+        scored = reliable_checkpoint(model._score(features, tx.columns))
         model.threshold = exact_quantile(scored, "__score", self.contamination)
         if keep_stats:
             model.stats = merchant_stats(tx)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallybook.operators.enrich import merchant_categories, with_rule_category
 from tallybook.operators.features import char_ngrams, vocabulary, with_numeric_features
 from tallybook.operators.skew import attach_group_stats
-from tallybook.session import fill_cores, reliable_checkpoint
+from tallybook.session import reliable_checkpoint
 
 NUMERIC = ["log_amount", "sign", "weekday_f"]
 
@@ -142,7 +142,7 @@ class TransactionClassifier:
         model = CategoryModel([r.term for r in terms], [r.idf for r in terms], labels, None)
         position = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("__label"))
         train = model.features(rows.withColumn("label", (position - 1).cast("double")))
-        train = fill_cores(train.select("transaction_id", "features", "label"), sum(counts.values()), "transaction_id")
+        train = train.select("transaction_id", "features", "label")
         model.model = self._estimator().fit(train)
         return model
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallybook.functions import rules
 from tallybook.functions.rules import Rule
-from tallybook.operators.skew import attach_group_stats
 from tallybook.schema import ENRICHED, require_columns
 
 
@@ -59,17 +58,8 @@ def with_rule_category(
     df: DataFrame,
     name: str = "rule_category",
     category_rules: Sequence[Rule] = tuple(rules.CATEGORY_RULES),
-    spread_by: str = "transaction_id",
 ) -> DataFrame:
-    """Rule cascade per row, the sign of the amount as the last resort.
-
-    Rows far outnumber merchants, so the cascade runs once per description and
-    the label is joined back.
-    """
-    merchants = df.groupBy("description").agg(F.count("*").alias("__rows"))
-    labels = merchant_categories(merchants, name, category_rules)
-    return (
-        attach_group_stats(df, labels, ["description"], "__rows", spread_by)
-        .withColumn(name, F.coalesce(name, rules.sign_category(F.col("amount"))))
-        .select(*df.columns, name)
+    """Rule cascade per row, the sign of the amount as the last resort."""
+    return merchant_categories(df, name, category_rules).withColumn(
+        name, F.coalesce(name, rules.sign_category(F.col("amount")))
     )

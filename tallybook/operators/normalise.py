@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions import parsing, text
@@ -137,11 +137,8 @@ def ingest_metrics(normalised: DataFrame, *by: str) -> DataFrame:
 def dedup_first(df: DataFrame, *order: str) -> DataFrame:
     """Keep the first row of every ``transaction_id``.
 
-    An aggregate, not a window: copies are merged before the shuffle, so an id
-    repeated any number of times never lands in one task as raw rows.
+    Spark limits each id to its first row before the shuffle too (WindowGroupLimit), so
+    an id repeated any number of times sends one row per task.
     """
-    rest = [c for c in df.columns if c != "transaction_id"]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__first")
-    return (
-        df.groupBy("transaction_id").agg(first).select("transaction_id", "__first.*").select(*df.columns)
-    )
+    place = F.row_number().over(Window.partitionBy("transaction_id").orderBy(*order))
+    return df.withColumn("__place", place).filter("__place = 1").drop("__place")

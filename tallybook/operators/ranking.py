@@ -9,16 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.operators.skew import attach_group_stats
+from tallybook.session import reliable_checkpoint
 
 
-def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
-    """Add ``__bucket``: data-driven ranges of ``by``, in value order."""
+# Ranges that values are cut into at a time, and distinct values that are looked at one by one.
+RANGES = 256
+FEW_VALUES = 4096
+
+
+def _bucketed(values: DataFrame, by: str, buckets: int) -> DataFrame:
+    """Add ``__bucket``: ranges of distinct values in SQL order, NULL first and NaN last."""
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(by, probabilities, 0.25 / buckets) if probabilities else []
-    if not cuts:
-        return df.withColumn("__bucket", F.lit(0.0))
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    return Bucketizer(splits=splits, inputCol=by, outputCol="__bucket").transform(df)
+    cuts = values.approxQuantile(by, probabilities, 0.25 / buckets) if probabilities else []
+    splits = [-math.inf, *sorted({c for c in cuts if math.isfinite(c)}), math.inf]
+    if len(splits) == 2:
+        splits.insert(1, 0.0)
+    ranged = Bucketizer(splits=splits, inputCol=by, outputCol="__bucket", handleInvalid="keep").transform(values)
+    return ranged.withColumn("__bucket", F.when(F.col(by).isNull(), -1.0).otherwise(F.col("__bucket")))
 
 
 def min_rank(
@@ -26,17 +33,21 @@ def min_rank(
     by: str,
     spread_by: str,
     rank_col: str = "rank",
-    buckets: int | None = None,
+    rows_per_range: int = 1_000_000,
 ) -> DataFrame:
-    """SQL ``rank() over (order by by)`` for a DOUBLE column.
+    """SQL ``rank() over (order by by)`` for a DOUBLE column, NULL first and NaN last.
 
     Rows are first counted per distinct value, so ties cost nothing. The values
-    are cut into ranges; each range is summed up in its own task, and the few
-    range totals give the offsets.
+    are cut into ranges, as many as the number of values asks for; each range is
+    summed up in its own task, and the range totals give the offsets.
     """
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy(by).agg(F.count("*").alias("__rows"))
-    values = _bucketed(counts, by, buckets)
+    # Text of the value: equal for equal values, and NULL and NaN have one too.
+    key = F.coalesce((F.col(by) + F.lit(0.0)).cast("string"), F.lit("null"))
+    keyed = df.withColumn("__value", key)
+    counts = reliable_checkpoint(
+        keyed.groupBy("__value").agg(F.first(by).alias("__by"), F.count("*").alias("__rows"))
+    )
+    values = _bucketed(counts, "__by", math.ceil(counts.count() / rows_per_range) + 1)
 
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     # At most one row per range, so this ordered window and the broadcast are small.
@@ -46,60 +57,51 @@ def min_rank(
         .select("__bucket", F.coalesce(F.sum("__range_rows").over(before), F.lit(0)).alias("__offset"))
     )
     inside = (
-        Window.partitionBy("__bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("__bucket").orderBy("__by").rowsBetween(Window.unboundedPreceding, -1)
     )
     ranks = (
         values.withColumn("__inside", F.coalesce(F.sum("__rows").over(inside), F.lit(0)))
         .join(F.broadcast(offsets), "__bucket")
-        .select(by, "__rows", (F.col("__inside") + F.col("__offset") + 1).alias(rank_col))
+        .select("__value", "__rows", (F.col("__inside") + F.col("__offset") + 1).alias(rank_col))
     )
-    return attach_group_stats(df, ranks, [by], "__rows", spread_by).drop("__rows")
+    return attach_group_stats(keyed, ranks, ["__value"], "__rows", spread_by).drop("__rows", "__value")
 
 
-def exact_quantile(df: DataFrame, by: str, q: float, direct_limit: int = 1_000_000) -> float:
-    """Linearly interpolated quantile of a DOUBLE column, exact at any size.
+def exact_quantile(df: DataFrame, by: str, q: float) -> float:
+    """Linearly interpolated quantile of a DOUBLE column, exact at any size; NULL and NaN are left out.
 
-    While more than ``direct_limit`` rows are in play, a sketch brackets the
-    wanted positions, rows below the bracket are only counted, and the search
-    goes on inside it. ``df`` is read once per round, so pass a stored one.
+    Rows are counted per distinct value. The values are cut into RANGES ranges, and only
+    those that hold the wanted positions are looked at again, until FEW_VALUES are left.
     """
-    values = df.select(by)
-    rows = values.count()
-    if rows == 0:
+    known = df.select(by).filter(F.col(by).isNotNull() & ~F.isnan(by))
+    values = reliable_checkpoint(known.groupBy(by).agg(F.count("*").alias("__rows")))
+    rows, distinct = values.agg(F.sum("__rows"), F.count("*")).first()
+    if not rows:
         raise ValueError("quantile of an empty column")
     position = q * (rows - 1)
-    first = math.floor(position)
-    second = min(first + 1, rows - 1)
-
-    below, kept = 0, rows
-    while kept > direct_limit:
-        margin = direct_limit / (4 * kept)
-        span = [
-            max(0.0, (first - below) / kept - margin),
-            min(1.0, (second - below) / kept + margin),
-        ]
-        low, high = values.approxQuantile(by, span, margin / 2)
-        skipped, inside = values.agg(
-            F.count_if(F.col(by) < low), F.count_if(F.col(by).between(low, high))
-        ).first()
-        values = values.filter(F.col(by).between(low, high))
-        # Ties at the ends can keep many rows, but then few distinct values are left.
-        stuck = inside > 0.9 * kept
-        below, kept = below + skipped, inside
-        if stuck:
-            break
-
-    running = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    ends = (
-        values.groupBy(by)
-        .agg(F.count("*").alias("__rows"))
-        .select(by, F.sum("__rows").over(running).alias("__end"))
-    )
-    low, high = ends.agg(
-        F.min(F.when(F.col("__end") > first - below, F.col(by))),
-        F.min(F.when(F.col("__end") > second - below, F.col(by))),
-    ).first()
-    return low + (high - low) * (position - first)
+    wanted = [math.floor(position), min(math.floor(position) + 1, rows - 1)]
+
+    below = 0
+    while distinct > FEW_VALUES:
+        ranges = (
+            _bucketed(values, by, RANGES).groupBy("__bucket")
+            .agg(F.sum("__rows").alias("rows"), F.count("*").alias("n"), F.min(by).alias("low"), F.max(by).alias("high"))
+            .orderBy("__bucket").collect()
+        )
+        held, at = [], below
+        for r in ranges:
+            if any(at <= w < at + r.rows for w in wanted):
+                held.append((r, at))
+            at += r.rows
+        values = values.filter(F.col(by).between(held[0][0].low, held[-1][0].high))
+        below, distinct = held[0][1], sum(r.n for r, _ in held)
+
+    found, at = [], below
+    for r in values.orderBy(by).collect():  # FEW_VALUES rows at most
+        found += [r[by]] * sum(at <= w < at + r["__rows"] for w in wanted)
+        at += r["__rows"]
+    low, high = found[0], found[-1]
+    return low + (high - low) * (position - wanted[0])
 
 
 def lowest_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:

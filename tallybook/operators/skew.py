@@ -15,7 +15,8 @@ from tallybook.session import reliable_checkpoint
 # A group is hot above total/HOT_GROUPS rows, so there are fewer than HOT_GROUPS
 # of them whatever the data: that bounds the broadcast list below.
 HOT_GROUPS = 512
-SALTS = 64
+# Rows of a hot group that meet in one slice.
+ROWS_PER_SLICE = 100_000
 
 
 def attach_group_stats(
@@ -36,12 +37,12 @@ def attach_group_stats(
     stats = reliable_checkpoint(stats)
     total = stats.agg(F.sum(rows_col)).first()[0] or 0
     is_hot = F.col(rows_col) * HOT_GROUPS > F.lit(total)
-    hot_keys = stats.filter(is_hot).select(*keys, F.lit(True).alias("__hot"))
+    slices = F.ceil(F.col(rows_col) / ROWS_PER_SLICE).cast("int")
+    hot_keys = stats.filter(is_hot).select(*keys, slices.alias("__slices"))
 
     rows = df.join(F.broadcast(hot_keys), keys, "left").withColumn(
-        "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0),
+        "__salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("__slices")).cast("int"), F.lit(0))
     )
-    slices = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted = stats.withColumn("__salt", F.explode(slices))
-    return rows.join(salted, [*keys, "__salt"], "left").drop("__salt", "__hot")
+    all_slices = F.when(is_hot, F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.lit(0)))
+    salted = stats.withColumn("__salt", F.explode(all_slices))
+    return rows.join(salted, [*keys, "__salt"], "left").drop("__salt", "__slices")

@@ -16,14 +16,15 @@ from tallybook.operators import reports
 from tallybook.operators.enrich import enrich
 from tallybook.operators.normalise import dedup_first
 from tallybook.schema import ENRICHED
+from tallybook.sources.statements import StatementReader
 
 _STORED = T.StructType([*ENRICHED.fields, T.StructField("load_id", T.StringType())])
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """First incoming row of each id that the stored table does not have."""
-    first = dedup_first(incoming, "source_file", "ingested_at")
-    return first.join(stored.select("transaction_id"), "transaction_id", "left_anti")
+    unknown = incoming.join(stored.select("transaction_id"), "transaction_id", "left_anti")
+    return dedup_first(unknown, "source_file", "ingested_at")
 
 
 class TransactionStore:
@@ -44,18 +45,16 @@ class TransactionStore:
     def load(self, canonical: DataFrame, load_id: str | None = None) -> int:
         """Enrich and append rows with unknown ids; returns how many were new.
 
-        A load repeated under its own ``load_id`` replaces what it wrote before, so
-        a replay after a failure leaves the same table.
+        A load repeated under its own ``load_id`` replaces all that it wrote before, in
+        every year, so a replay leaves exactly its own rows.
         """
         load_id = load_id or uuid.uuid4().hex
         incoming = enrich(canonical)
         # The day is part of the id, so only stored rows of the same years can match.
-        span = canonical.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
-        if span[0] is None:
-            return 0
-        stored = self.read(with_load_id=True).filter(
-            F.col("year").between(span[0], span[1]) & (F.col("load_id") != load_id)
-        )
+        years = [r.year for r in incoming.select("year").distinct().collect()]
+        own = (F.col("load_id") == load_id)
+        before = [r.year for r in self.read(with_load_id=True).filter(own).select("year").distinct().collect()]
+        stored = self.read(with_load_id=True).filter(F.col("year").isin(years) & ~own)
         rows = new_rows(incoming, stored).withColumn("load_id", F.lit(load_id))
         # Rebalancing gives each year few, evenly sized files and splits a large year.
         (
@@ -65,11 +64,27 @@ class TransactionStore:
             .partitionBy("year", "load_id")
             .parquet(self.path)
         )
+        # What an earlier run of this load left in years that this one has no rows for goes.
+        for year in set(before) - set(years):
+            self._remove(f"year={year}/load_id={load_id}")
+        if set(before) & set(years):
+            self._remove_replaced(rows, load_id, set(before) & set(years))
         # Only this load's partitions are listed, and no column of them is read.
-        written = self.read(with_load_id=True).filter(
-            F.col("year").between(span[0], span[1]) & (F.col("load_id") == load_id)
-        )
-        return written.count()
+        return self.read(with_load_id=True).filter(F.col("year").isin(years) & own).count()
+
+    def _remove_replaced(self, rows: DataFrame, load_id: str, years: set[int]) -> None:
+        """A year whose new rows are all known elsewhere is not written, so its old rows go here."""
+        written = {r.year for r in rows.filter(F.col("year").isin(list(years))).select("year").distinct().collect()}
+        for year in years - written:
+            self._remove(f"year={year}/load_id={load_id}")
+
+    def _remove(self, partition: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/{partition}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def load_file(self, path: str, profile: str | None = None, account: str | None = None) -> int:
+        """Read one statement file and load it; returns how many rows were new."""
+        return self.load(StatementReader(self.spark).ingest(path, profile=profile, account=account).good)
 
     def row_count(self) -> int:
         return self.read().count()

@@ -24,16 +24,6 @@ _MERCHANTS = [
 ]
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows out over the cores when the scan has fewer files than cores.
-
-    A large table has files enough and is left as it is. Hashing (rather than
-    round-robin) gives a re-run task the same rows.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,13 +42,6 @@ def statements(spark: SparkSession, sf_dir: str, *, many_accounts: bool = False)
     lineitem, part, orders, customer = (
         table(spark, sf_dir, t) for t in ("lineitem", "part", "orders", "customer")
     )
-    lineitem = spread(
-        lineitem.select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-            "l_extendedprice", "l_returnflag", "l_shipdate",
-        ),
-        "l_orderkey", "l_linenumber",
-    )
     account = (
         F.concat(F.lit("ACC-"), (F.col("o_custkey") % 500).cast("string"))
         if many_accounts

@@ -384,9 +384,7 @@ ORACLE: dict[str, str] = {
     "adhoc_sql": TX + f"""select account, tx_type, count(*) as n_rows, min(amount) as lowest, max(date) as latest
       from tx where {_SPENT} group by account, tx_type having count(*) > 10""",
     "sql_functions": _with(f"""
-      latest as (select account, raw_description, max(date) as date, max(amount) as amount
-        from stmt group by account, raw_description),
-      named as (select *, {_cleaned('raw_description')} as description from latest)""") + f"""
+      named as (select *, {_cleaned('raw_description')} as description from stmt)""") + f"""
       select account, date, raw_description, amount,
         {_cascade('raw_description', rules.TYPE_RULES, "'card_payment'")} as tx_type,
         regexp_matches(raw_description, '(?i)^transfer to savings') as is_internal,
@@ -488,7 +486,7 @@ ORACLE: dict[str, str] = {
     "char_ngrams": _with(_TX, _NGRAMS) + "select term, occurrences, documents from terms",
     "tfidf_top_terms": _with(_TX, _NGRAMS) + """select term, occurrences, documents,
         round(ln((1 + (select count(*) from tx)) / (1 + documents)) + 1, 8) as idf
-      from terms order by occurrences desc, term limit 300""",
+      from terms order by occurrences desc, term limit 3000""",
     "clf_features": TX + """select transaction_id, round(ln(1 + abs(amount)), 8) as log_amount,
         cast(sign(amount) as double) as sign, cast(day_of_week as double) as weekday_f from tx""",
     "scalar_math": TX + """select transaction_id, abs(amount) as abs_amount, round(amount, 1) as rounded,

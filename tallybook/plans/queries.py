@@ -371,7 +371,7 @@ def _(spark, sf):
 
 @query("sql_functions")
 def _(spark, sf):
-    """The registered SQL functions, applied once per distinct narrative."""
+    """The registered SQL functions, applied to every row."""
     register_sql_functions(spark)
     store.views(transactions(spark, sf))
     return spark.sql("""
@@ -380,11 +380,7 @@ def _(spark, sf):
                rule_category(description, amount) AS category,
                transaction_id(date, raw_description, amount, account) AS transaction_id,
                format_money(amount) AS label
-        FROM (
-          SELECT account, raw_description, any_value(description) AS description,
-                 max(date) AS date, max(amount) AS amount
-          FROM transactions GROUP BY account, raw_description
-        )
+        FROM transactions
     """)
 
 
@@ -650,7 +646,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Per account: rows below the exact 5 % quantile of all amounts."""
     tx = transactions(spark, sf).select("account", "amount")
-    cut = ranking.exact_quantile(tx, "amount", 0.05, direct_limit=1000)
+    cut = ranking.exact_quantile(tx, "amount", 0.05)
     return tx.groupBy("account").agg(
         F.count_if(F.col("amount") < cut).alias("below"), F.lit(round(cut, 6)).alias("cut")
     )
@@ -683,7 +679,7 @@ def _(spark, sf):
 
 @query("tfidf_top_terms")
 def _(spark, sf):
-    terms = features.vocabulary(transactions(spark, sf), 300)
+    terms = features.vocabulary(transactions(spark, sf))
     return terms.select("term", "occurrences", "documents", F.round("idf", 8).alias("idf"))
 
 

@@ -1,21 +1,14 @@
-"""Session helpers: checkpoint folder and lineage cuts."""
+"""Session helpers: the shared scratch folder and lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    return tempfile.mkdtemp(prefix="tallybook-checkpoint-")
+    """The folder that driver and executors share; the warehouse where the cluster names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
@@ -24,16 +17,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
-
-
-ROWS_PER_TASK = 200_000
-
-
-def fill_cores(df: DataFrame, rows: int, key: str) -> DataFrame:
-    """Spread a table of few rows over all cores before CPU-heavy work on it.
-
-    Adaptive execution packs small shuffles by their bytes. A table with more rows
-    than that has partitions enough and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if rows < cores * ROWS_PER_TASK else df

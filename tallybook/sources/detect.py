@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 
 from tallybook.sources.profiles import FILENAME_HINTS, ProfileRegistry, SchemaProfile
 
-SNIFF_BYTES = 64 * 1024
 SNIFF_LINES = 20
 SEPARATORS = [";", ",", "\t", "|"]
 MIN_MATCHES = 2
+CHUNK = 64 * 1024
+LINE_END = re.compile(rb"\r\n|\n|\r")
 
 
 def list_files(spark: SparkSession, *paths: str, glob: str = "*.csv") -> DataFrame:
@@ -27,34 +29,38 @@ def list_files(spark: SparkSession, *paths: str, glob: str = "*.csv") -> DataFra
     )
 
 
-def _head(path: str) -> bytes:
+def _first_lines(path: str, wanted: int) -> list[str]:
+    """The first lines, whatever their length, as Spark's line reader cuts them."""
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    data = b""
     with system.open_input_stream(inner) as stream:
-        return stream.read(SNIFF_BYTES)
+        while chunk := stream.read(CHUNK):
+            data += chunk
+            if len(LINE_END.findall(data)) > wanted:
+                break
+    lines = LINE_END.split(data)[:wanted]
+    return [_decoded(line).lstrip("\ufeff") for line in lines]
 
 
-def _first_lines(data: bytes) -> list[str]:
-    if len(data) == SNIFF_BYTES and b"\n" in data:
-        data = data[: data.rindex(b"\n")]
+def _decoded(line: bytes) -> str:
     try:
-        text = data.decode("utf-8-sig")
+        return line.decode("utf-8")
     except UnicodeDecodeError:
-        text = data.decode("latin-1")
-    return [line.rstrip("\r") for line in text.split("\n")[:SNIFF_LINES]]
+        return line.decode("latin-1")
 
 
-def first_lines(files: DataFrame) -> DataFrame:
-    """``lines`` per file: tasks open each file and read its first bytes only."""
+def first_lines(files: DataFrame, wanted: int = SNIFF_LINES) -> DataFrame:
+    """``lines`` per file: tasks open each file and read its first lines only."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found, errors = [], []
             for path in batch["path"]:
                 try:
-                    found.append(_first_lines(_head(path)))
+                    found.append(_first_lines(path, wanted))
                     errors.append(None)
-                except OSError as exc:
+                except (OSError, ValueError) as exc:
                     found.append([])
                     errors.append(f"cannot read: {exc}")
             yield pd.DataFrame({"path": batch["path"], "lines": found, "error": errors})
@@ -62,15 +68,15 @@ def first_lines(files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(read, "path string, lines array<string>, error string")
 
 
-def separator(line: Column) -> Column:
-    """The most frequent of the usual separators; a comma where there is none."""
+def separator(line: Column, known: Iterable[str] = ()) -> Column:
+    """The most frequent of the usual and the known separators; a comma where there is none."""
     counts = [
         F.struct(
             (F.length(line) - F.length(F.replace(line, F.lit(s), F.lit("")))).alias("n"),
             F.lit(-i).alias("order"),
             F.lit(s).alias("sep"),
         )
-        for i, s in enumerate(SEPARATORS)
+        for i, s in enumerate(dict.fromkeys([*SEPARATORS, *known]))
     ]
     best = F.array_max(F.array(*counts))
     return F.when(best["n"] > 0, best["sep"]).otherwise(F.lit(","))
@@ -158,10 +164,10 @@ def detect(
         named = profile_by_filename(file_stem(F.col("path")))
 
     lines = (
-        first_lines(files)
+        first_lines(files, max(SNIFF_LINES, *(p.skiprows + 1 for p in profiles)))
         .withColumn("named", named)
         .select("path", "error", "named", "lines", F.posexplode_outer("lines").alias("line_no", "line"))
-        .withColumn("sep", separator(F.col("line")))
+        .withColumn("sep", separator(F.col("line"), [p.csv_sep for p in profiles]))
         .withColumn("cells", header_cells(F.col("line"), F.col("sep")))
     )
     own = F.coalesce(*[

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,16 +30,26 @@ _C1_WINDOWS = bytes(_C1).decode("cp1252")
 ROW_ORDER = ["source_file", "block_start", "line_no"]
 
 
-def decode_line(value: Column) -> Column:
-    """Text of a line: UTF-8 where its bytes are that, else Latin-1/Windows-1252."""
+def _one_byte_signs(encoding: str) -> tuple[str, str]:
+    """Latin-1 signs of the upper bytes, and what they are in another one-byte encoding."""
+    pairs = [(chr(b), bytes([b]).decode(encoding, "ignore")) for b in range(0x80, 0x100)]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def decode_line(value: Column, encoding: str = "latin-1") -> Column:
+    """Text of a line: UTF-8 where its bytes are that, else the given one-byte encoding.
+
+    Latin-1 is read with the signs that Windows-1252 has in its place.
+    """
     latin = F.decode(value.cast("binary"), "ISO-8859-1")
-    return F.when(F.is_valid_utf8(value), value).otherwise(
-        F.translate(latin, _C1_LATIN, _C1_WINDOWS)
-    )
+    plain = codecs.lookup(encoding).name in ("utf-8", "iso8859-1")
+    signs = (_C1_LATIN, _C1_WINDOWS) if plain else _one_byte_signs(encoding)
+    return F.when(F.is_valid_utf8(value), value).otherwise(F.translate(latin, *signs))
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Non-blank lines with file and position.
+def read_lines(spark: SparkSession, paths: list[str], encoding: str = "latin-1") -> DataFrame:
+    """Lines with file and position, blank ones included.
 
     Lines (not a CSV scan) keep the raw bytes, so every encoding and any number of
     leading lines work in one pass, and large files still split.
@@ -47,10 +58,22 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_no"),
-        decode_line(F.col("value")).alias("line"),
+        decode_line(F.col("value"), encoding).alias("line"),
     )
-    plain = F.translate("line", "﻿\r", "")
-    return lines.withColumn("line", plain).filter(F.trim("line") != "")
+    return lines.withColumn("line", F.translate("line", "﻿\r", ""))
+
+
+def below_header(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """Lines behind their file's header, by position. headers: file_name (full path), header_no.
+
+    Lines of a block count up one by one, so a line's place in the file's first block is
+    its number less that of the block's first line.
+    """
+    first = lines.filter("block_start = 0").groupBy("source_file").agg(F.min("line_no").alias("__first"))
+    start = first.withColumn("__path", _plain_path(F.col("source_file"))).join(headers, "__path")
+    start = start.select(F.col("source_file"), (F.col("__first") + F.col("header_no")).alias("__header"))
+    placed = lines.join(start, "source_file")
+    return placed.filter((F.col("block_start") > 0) | (F.col("line_no") > F.col("__header"))).drop("__header")
 
 
 def _unique(names: list[str]) -> list[str]:
@@ -82,12 +105,38 @@ def split_cells(lines: DataFrame, header: str, sep: str, profile: SchemaProfile)
     """String columns named by the header (aliases applied), row text and position kept."""
     names = [c.strip().strip('"').strip() for c in header.replace("﻿", "").split(sep)]
     names = _unique(_rename(names, profile))
+    unquoted = F.regexp_replace("line", '"[^"]*"', "")
+    lines = lines.filter(F.trim("line") != "").withColumn(
+        "malformed",
+        F.when(F.contains(unquoted, F.lit('"')), F.lit("unbalanced quote"))
+        .when(F.size(F.split(unquoted, F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E")), -1)) < len(names), F.lit("too few cells")),
+    )
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     ddl = ", ".join("`{}` string".format(f.name.replace("`", "``")) for f in schema)
     cells = F.from_csv(F.col("line"), ddl, options)
     return lines.withColumn("__cells", cells).select(
-        *ROW_ORDER, F.col("line").alias("row_text"), "__cells.*"
+        *ROW_ORDER, F.col("line").alias("row_text"), "malformed", "__cells.*"
+    )
+
+
+def read_multiline(spark: SparkSession, paths: list[str], header: str, sep: str, profile: SchemaProfile) -> DataFrame:
+    """Cells of files whose quoted cells may hold line breaks, header and preamble included.
+
+    Such a file is one task's work, since only a reader from its start knows what is quoted.
+    """
+    names = [c.strip().strip('"').strip() for c in header.replace("﻿", "").split(sep)]
+    names = _unique(_rename(names, profile))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    # A line in an encoding other than UTF-8 needs a reader that is told so.
+    rows = spark.read.csv(
+        paths, schema=schema, sep=sep, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", encoding=profile.encoding
+    )
+    return rows.select(
+        F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("bigint").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_no"),
+        F.concat_ws(sep, *[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]).alias("row_text"),
+        F.lit(None).cast("string").alias("malformed"), *[F.col(f"`{n}`") for n in names],
     )
 
 
@@ -146,7 +195,7 @@ class StatementReader:
         """All matching files; unreadable ones are listed in ``failed_files``."""
         files = list_files(self.spark, directory, glob=glob)
         if files.limit(1).count() == 0:
-            raise FileNotFoundError(f"No files matching '{glob}' in {directory}")
+            raise FileNotFoundError(f"{directory} holds no {glob} file")
         return self.ingest_files(files, profile=profile, account=account, account_map=account_map)
 
     def ingest_files(
@@ -169,7 +218,7 @@ class StatementReader:
         groups: dict[tuple, list] = {}
         for f in listed:
             if f.error is None:
-                groups.setdefault((f.profile, f.header, f.sep, f.header_no > 0), []).append(f)
+                groups.setdefault((f.profile, f.header, f.sep), []).append(f)
         parts = [
             self._read_group(group, members, account, account_map, derive_account)
             for group, members in groups.items()
@@ -199,16 +248,17 @@ class StatementReader:
         account_map: dict[str, str] | None,
         derive_account: bool,
     ) -> DataFrame:
-        name, header, sep, has_preamble = group
+        name, header, sep = group
         profile = self.registry.get(name)
-        lines = read_lines(self.spark, [m.path for m in members])
-        lines = lines.filter(~((F.col("block_start") == 0) & (F.col("line") == header.rstrip("\r"))))
-        if has_preamble:
-            lines = self._drop_preamble(lines, members)
-
-        rows = split_cells(lines, header, sep, profile).withColumn(
-            "__stem", file_stem(_decoded(F.col("source_file")))
-        )
+        paths = [m.path for m in members]
+        headers = self.spark.createDataFrame([(m.path, m.header_no) for m in members], "path string, header_no long")
+        headers = headers.select(_plain_path(F.col("path"), encoded=False).alias("__path"), "header_no")
+        if profile.multiline:
+            rows = below_header(read_multiline(self.spark, paths, header, sep, profile), headers)
+        else:
+            lines = below_header(read_lines(self.spark, paths, profile.encoding), headers)
+            rows = split_cells(lines, header, sep, profile)
+        rows = rows.withColumn("__stem", file_stem(_decoded(F.col("source_file"))))
         if account is not None:
             label = F.lit(account)
         elif derive_account:
@@ -220,30 +270,23 @@ class StatementReader:
         else:
             label = F.col("__stem")
         rows = rows.withColumn("__account", label)
-        return normalise(
+        normal = normalise(
             rows,
             profile,
             account=F.col("__account"),
             source_file=F.col("source_file"),
-            keep=["block_start", "line_no", "row_text"],
-        ).withColumn("profile", F.lit(name))
-
-    def _drop_preamble(self, lines: DataFrame, members: list) -> DataFrame:
-        """Take off the lines above the header, as found in each file's first block."""
-        above = [
-            (m.path.rsplit("/", 1)[-1], text) for m in members for text in m.preamble if text.strip()
-        ]
-        if not above:
-            return lines
-        skip = self.spark.createDataFrame(above, "__name string, line string").withColumn(
-            "block_start", F.lit(0).cast("bigint")
+            keep=["block_start", "line_no", "row_text", "malformed"],
         )
-        name = F.element_at(F.split(_decoded(F.col("source_file")), "/"), -1)
-        return lines.withColumn("__name", name).join(
-            skip, ["__name", "line", "block_start"], "left_anti"
-        ).drop("__name")
+        # A row that is not whole is never good, whatever its first cells say.
+        errors = F.array_compact(F.concat(F.array("malformed"), "errors"))
+        return normal.withColumn("errors", errors).drop("malformed").withColumn("profile", F.lit(name))
 
 
 def _decoded(uri: Column) -> Column:
     """File metadata gives URIs; undo their escapes."""
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def _plain_path(path: Column, encoded: bool = True) -> Column:
+    """A path without its scheme's slashes, so that file:/x and file:///x are one."""
+    return F.regexp_replace(_decoded(path) if encoded else path, "^file:/+", "/")

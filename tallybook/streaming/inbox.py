@@ -7,6 +7,8 @@ appears.
 
 from __future__ import annotations
 
+import uuid
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,6 +24,9 @@ from tallybook.sources.statements import StatementReader
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+KEPT_REPORTS = 1000
+
+
 @dataclass
 class BatchReport:
     batch_id: int
@@ -59,8 +64,11 @@ class InboxStream:
         self.account = account
         self.on_new_rows = on_new_rows
         self.stream_name = stream_name
-        self.reports: list[BatchReport] = []
-        self.hook_errors: list[str] = []
+        self.own_id = uuid.uuid4().hex  # for batches that no stream runs
+        self.quarantine = f"{checkpoint}-quarantine"
+        # The latest batches only: a watched folder may run for years.
+        self.reports: deque[BatchReport] = deque(maxlen=KEPT_REPORTS)
+        self.hook_errors: deque[str] = deque(maxlen=KEPT_REPORTS)
 
     def process_batch(self, files: DataFrame, batch_id: int) -> None:
         result = self.reader.ingest_files(
@@ -69,8 +77,14 @@ class InboxStream:
             use_filename=True,
             derive_account=self.account is None,
         )
-        # Under the batch's own id a replayed batch rewrites the same rows.
-        inserted = self.store.load(result.good, load_id=f"{self.stream_name}-{batch_id}")
+        # A batch is named by the stream's own id, which lives in its checkpoint: a replay
+        # rewrites the same rows, and another stream or a fresh checkpoint never does.
+        stream = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or self.own_id
+        load_id = f"{self.stream_name}-{stream}-{batch_id}"
+        inserted = self.store.load(result.good, load_id=load_id)
+        result.quarantine.withColumn("load_id", F.lit(load_id)).write.mode("overwrite").parquet(
+            f"{self.quarantine}/load={load_id}"
+        )
         ok, failed = result.files.agg(
             F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())
         ).first()
@@ -109,4 +123,4 @@ class InboxStream:
     def drain(self) -> list[BatchReport]:
         """Process what is there and stop."""
         self._start(availableNow=True).awaitTermination()
-        return self.reports
+        return list(self.reports)

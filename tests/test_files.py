@@ -115,5 +115,5 @@ def test_own_profile(spark, tmp_path):
     (tmp_path / "x.csv").write_text("When|What|Out|In\n01 02 2025|thing|-3.5|\n")
     result = StatementReader(spark, registry).ingest(str(tmp_path / "x.csv"))
     assert _rows(result) == [("2025-02-01", "thing", -3.5, "EUR", "Uncategorized")]
-    with pytest.raises(ValueError, match="Unknown profile"):
+    with pytest.raises(ValueError, match="no layout is called"):
         registry.get("nope")

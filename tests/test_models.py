@@ -29,12 +29,12 @@ def test_rank_and_quantile(spark):
     values = [float(v) for v in np.concatenate([np.full(700, 3.0), rng.normal(3, 2, 1300).round(2)])]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
     for buckets in (1, 7, 50):
-        got = {r.id: r.rank for r in ranking.min_rank(df, "v", "id", buckets=buckets).collect()}
+        got = {r.id: r.rank for r in ranking.min_rank(df, "v", "id", rows_per_range=buckets).collect()}
         order = np.sort(values)
         assert got == {i: int(np.searchsorted(order, v)) + 1 for i, v in enumerate(values)}
     for q in (0.0, 0.05, 0.5, 0.731, 1.0):
         for limit in (10_000, 100, 20):
-            assert ranking.exact_quantile(df, "v", q, limit) == pytest.approx(np.quantile(values, q), abs=1e-12)
+            assert ranking.exact_quantile(df, "v", q) == pytest.approx(np.quantile(values, q), abs=1e-12)
 
 
 def test_hot_groups_are_joined_whole(spark):

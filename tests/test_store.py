@@ -104,7 +104,7 @@ def test_failing_hook_does_not_stop_the_stream(spark, tmp_path):
 
     stream = InboxStream(spark, str(inbox), store, str(tmp_path / "cp"), on_new_rows=hook)
     assert stream.drain()[0].inserted == 5
-    assert stream.hook_errors == ["batch 0: no model"]
+    assert list(stream.hook_errors) == ["batch 0: no model"]
 
 
 def test_archive_moves_older_batches(spark, tmp_path):
