@@ -258,11 +258,9 @@ good as (
 _LAYOUTS = f"""
 landed as (
   select date, raw_description, cast(printf('%.2f', amount) as double) as amount, 'joint' as account,
-    case when account in ('AUTOMOBILE', 'BUILDING') then upper(currency)
-      when account = 'FURNITURE' then 'EUR' else 'USD' end as currency,
-    case when account in ('HOUSEHOLD', 'MACHINERY') then 'Sale' else 'Uncategorized' end as category,
-    case when account in ('AUTOMOBILE', 'BUILDING') then 'revolut'
-      when account = 'FURNITURE' then 'bnp' else 'chase' end as layout
+    case length(coalesce(account, '')) % 3 when 1 then upper(currency) when 2 then 'EUR' else 'USD' end as currency,
+    case length(coalesce(account, '')) % 3 when 0 then 'Sale' else 'Uncategorized' end as category,
+    case length(coalesce(account, '')) % 3 when 1 then 'revolut' when 2 then 'bnp' else 'chase' end as layout
   from stmt
 ),
 ided as (select {_HASH} as transaction_id, * from landed),
@@ -376,11 +374,18 @@ ORACLE: dict[str, str] = {
         arg_min(currency, layout) as currency, arg_min(category, layout) as category,
         any_value(tx_type) as tx_type, any_value(is_internal) as is_internal
       from joint group by transaction_id""",
+    "merge_two_streams": _with(_LAYOUTS) + """select transaction_id, any_value(date) as date,
+        any_value(description) as description, any_value(amount) as amount,
+        arg_min(currency, layout) as currency, arg_min(category, layout) as category,
+        any_value(tx_type) as tx_type, any_value(is_internal) as is_internal
+      from joint group by transaction_id""",
+    "scan_csv_quoted": STMT + """select date, raw_description || chr(10) || '"' || currency || '", x' as raw_description,
+        cast(printf('%.2f', amount) as double) as amount, 0 as n_errors from stmt""",
     "merge_new_rows": TX + f"""select transaction_id, min(date) as date, min(amount) as amount, min(year) as year,
         case when min(date) <= date '{q.FIRST_LOAD_UNTIL}' then 'first' else 'second' end as load_id
       from tx group by transaction_id""",
-    "row_count": TX + "select count(*) as n_rows from tx",
-    "scan_real": TX + f"select {_LISTING} from tx where not is_internal",
+    "row_count": TX + "select count(distinct transaction_id) as n_rows from tx",
+    "scan_real": TX + f"select distinct {_LISTING} from tx where not is_internal",
     "adhoc_sql": TX + f"""select account, tx_type, count(*) as n_rows, min(amount) as lowest, max(date) as latest
       from tx where {_SPENT} group by account, tx_type having count(*) > 10""",
     "sql_functions": _with(f"""

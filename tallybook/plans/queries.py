@@ -17,14 +17,13 @@ from tallybook.operators.enrich import calendar_parts, with_rule_category
 from tallybook.plans.fixtures import (
     _pick,
     canonical,
-    spread,
     statements,
     table,
     transactions,
 )
 from tallybook.session import shared_folder
 from tallybook.sources.detect import match_profile, profile_by_filename
-from tallybook.sources.profiles import ProfileRegistry
+from tallybook.sources.profiles import ProfileRegistry, SchemaProfile
 from tallybook.sources.statements import StatementReader
 from tallybook.streaming.daily import read_daily_totals, start_daily_totals
 from tallybook.streaming.inbox import InboxStream
@@ -269,31 +268,31 @@ def _(spark, sf):
 
 def _write_layouts(spark: SparkSession, sf: str, folder: str) -> None:
     """All statement rows as CSV files, one layout (and folder) per group of accounts."""
-    rows = statements(spark, sf)
+    rows = statements(spark, sf).withColumn("slot", F.length(F.coalesce("account", F.lit(""))) % 3)
     plain = F.format_string("%.2f", F.col("amount"))
     comma = F.translate(F.format_string("%.2f", F.abs("amount")), ".", ",")
     layouts = {
-        "revolut": (["AUTOMOBILE", "BUILDING"], ",", [
+        "revolut": (1, ",", [
             F.lit("CARD_PAYMENT").alias("Type"),
             F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("Started Date"),
             F.col("raw_description").alias("Description"),
             plain.alias("Amount"), F.col("currency").alias("Currency"),
         ]),
-        "bnp": (["FURNITURE"], ";", [
+        "bnp": (2, ";", [
             F.date_format("date", "dd/MM/yyyy").alias("Date"),
             F.col("raw_description").alias("Libellé"),
             F.when(F.col("amount") < 0, comma).alias("Débit"),
             F.when(F.col("amount") > 0, comma).alias("Crédit"),
         ]),
-        "chase": (["HOUSEHOLD", "MACHINERY"], ",", [
+        "chase": (0, ",", [
             F.date_format("date", "MM/dd/yyyy").alias("Transaction Date"),
             F.col("raw_description").alias("Description"),
             F.lit("Sale").alias("Category"), plain.alias("Amount"),
         ]),
     }
-    for name, (accounts, sep, columns) in layouts.items():
+    for name, (slot, sep, columns) in layouts.items():
         (
-            rows.filter(F.col("account").isin(accounts)).select(*columns)
+            rows.filter(F.col("slot") == slot).select(*columns)
             .write.option("header", True).option("sep", sep).csv(f"{folder}/{name}")
         )
 
@@ -313,6 +312,23 @@ def _(spark, sf):
     return rows.select("date", "description", "raw_description", "amount", "category", "currency", "account")
 
 
+@query("scan_csv_quoted")
+def _(spark, sf):
+    """Cells with line breaks, separators and quotes in them, written and read back."""
+    folder = _scratch(spark)
+    told = F.concat("raw_description", F.lit('\n"'), "currency", F.lit('", x'))
+    (
+        statements(spark, sf)
+        .select(F.date_format("date", "yyyy-MM-dd").alias("date"), told.alias("description"),
+                F.format_string("%.2f", F.col("amount")).alias("amount"))
+        .write.option("header", True).option("escape", '"').csv(folder)
+    )
+    registry = ProfileRegistry()
+    registry.register_profile(SchemaProfile("quoted", amount_col="amount", multiline=True))
+    rows = StatementReader(spark, registry).ingest_directory(folder, profile="quoted", account="all").rows
+    return rows.select("date", "raw_description", "amount", F.size("errors").alias("n_errors"))
+
+
 @query("multi_source_union")
 def _(spark, sf):
     folder = _scratch(spark)
@@ -334,8 +350,27 @@ def _(spark, sf):
     )
 
 
+@query("merge_two_streams")
+def _(spark, sf):
+    """Two inboxes with a stream each load one store; nothing of either may get lost."""
+    folder = _scratch(spark)
+    _write_layouts(spark, sf, f"{folder}/in")
+    target = store.TransactionStore(spark, f"{folder}/table")
+    for names in ("{bnp,chase}", "revolut"):
+        InboxStream(spark, f"{folder}/in/{names}", target, f"{folder}/checkpoint-{names[-3:]}", account="joint").drain()
+    return target.read().select(
+        "transaction_id", "date", "description", "amount", "currency", "category", "tx_type", "is_internal"
+    )
+
+
 # -- store -------------------------------------------------------------------
 
+def _stored(spark: SparkSession, sf: str) -> store.TransactionStore:
+    target = store.TransactionStore(spark, _scratch(spark))
+    target.load(canonical(spark, sf))
+    return target
+
+
 @query("merge_new_rows")
 def _(spark, sf):
     """A first load up to a day, then the whole table again; what the second one added."""
@@ -350,12 +385,12 @@ def _(spark, sf):
 
 @query("row_count")
 def _(spark, sf):
-    return transactions(spark, sf).agg(F.count("*").alias("n_rows"))
+    return _stored(spark, sf).read().agg(F.count("*").alias("n_rows"))
 
 
 @query("scan_real")
 def _(spark, sf):
-    return _listing(reports.real(transactions(spark, sf)))
+    return _listing(reports.real(_stored(spark, sf).read()))
 
 
 @query("adhoc_sql")
