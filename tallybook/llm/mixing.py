@@ -76,7 +76,7 @@ def phases(blocks: Mapping[str, int], units: Mapping[str, int]) -> list[dict]:
 
 def mix(
     docs: DataFrame, weights: Mapping[str, int], rest: int = 1, source: str = "source",
-    block_rows: int = 32, rows_per_bucket: int = 20_000,
+    block_rows: int = 32, rows_per_bucket: int = 5_000,
 ) -> DataFrame:
     """docs with stream, block, release, deadline, slot (in blocks) and position (in rows).
 
