@@ -218,3 +218,32 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+#: The same in DuckDB SQL: whole windows are compared, without prefixes.
+ORACLE = r"""
+with folded as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents),
+items as (
+  select coalesce(cast(item_id as varchar), 'null') as item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark),
+windows as (
+  select distinct item, least(len(words), 10) as n, array_to_string(list_slice(words, i, i + 9), ' ') as gram
+  from (select item, words, unnest(generate_series(1, greatest(len(words) - 9, 1))) as i from items where len(words) > 0)),
+sizes as (select distinct n from windows),
+places as (
+  select rid, i, n, array_to_string(list_slice(words, i, i + n - 1), ' ') as gram
+  from (select rid, words, n, unnest(generate_series(1, len(words) - n + 1)) as i
+    from folded, sizes where len(words) >= n)),
+found as (select rid, i, places.n, item from places join windows on places.gram = windows.gram and places.n = windows.n),
+hit as (select rid, count(distinct spot) as n_hit
+  from (select rid, unnest(generate_series(i, i + n - 1)) as spot from found) group by rid),
+named as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct rid, item from found) group by rid)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from folded left join hit on hit.rid = folded.rid left join named on named.rid = folded.rid"""

@@ -131,3 +131,34 @@ def op6_line_frequency(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+#: The same in DuckDB SQL.
+ORACLE = r"""
+with rows as (
+  select row_number() over () as rid, doc_id, source, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents),
+windows as (select rid, i, array_to_string(list_slice(words, i, i + 4), ' ') as gram
+  from (select rid, words, unnest(generate_series(1, len(words) - 4)) as i from rows where len(words) >= 5)),
+repeated as (select rid, i from (select rid, i, count(*) over (partition by rid, gram) as n from windows) where n > 1),
+covered as (select rid, count(distinct i + k) as n from repeated, (select unnest(generate_series(0, 4)) as k) group by rid),
+lines as (select rid, source, text, unnest(string_split(text, chr(10))) as line from rows),
+normal as (select rid, source, text, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from lines),
+worded as (select rid, source, text, line, norm, len(string_split(norm, ' ')) as n from normal where norm <> ''),
+frequent as (select source, norm from worded group by source, norm having count(distinct text) > 100),
+left_over as (select rid, count(*) - count(distinct line) as dup,
+    sum(case when exists (select 1 from frequent f where f.source is not distinct from worded.source and f.norm = worded.norm)
+      then 0 else n end) as kept_words
+  from worded group by rid),
+counts as (select doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(dup, 0) as n_dup_lines,
+    coalesce(covered.n, 0) as n_repeat_words, coalesce(kept_words, 0) as kept_words
+  from rows left join covered on covered.rid = rows.rid left join left_over on left_over.rid = rows.rid),
+judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counts)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
+  cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+  not base_failed and kept_words > 0 and kept_words >= 0.3 * n_words as kept
+from judged"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import reputation
+from tallybook.llm import decontaminate, line_frequency, reputation
 from tallybook.llm.common import shared_folder, table
 from tallybook.llm.credentials import op10_credentials
 from tallybook.llm.decontaminate import op9_decontaminate
@@ -47,4 +47,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
     "op2_url_reputation": reputation.ORACLE,
+    "op6_line_frequency": line_frequency.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
 }
