@@ -70,7 +70,8 @@ def with_anomaly_features(
         "hour_f": hour.cast("double"),
         "is_weekend": (day >= 5).cast("double"),
         "log_freq": F.log1p(F.col("merchant_freq").cast("double")),
-        "amount_zscore": amount_zscore(),
+        # Equal deviations differ in their last bits by the order of summing; trees must not split on that.
+        "amount_zscore": F.round(amount_zscore(), 9),
         "month_f": month.cast("double"),
     })
 
