@@ -10,6 +10,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from tallybook.plans.fixtures import SCAN_PARTITIONS
 from tallybook.plans.queries import QUERIES
 
 HEADLINE = [
@@ -32,6 +33,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config(SCAN_PARTITIONS, os.environ.get("BENCH_SCAN_PARTITIONS", cpus))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -24,6 +24,11 @@ _MERCHANTS = [
 ]
 
 
+#: Session setting: deal the rows of the fixture's main table out to so many partitions. Unset by
+#: default; of use where a table is one file of one row group, which Spark reads in one task.
+SCAN_PARTITIONS = "spark.tallybook.scanPartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,6 +47,10 @@ def statements(spark: SparkSession, sf_dir: str, *, many_accounts: bool = False)
     lineitem, part, orders, customer = (
         table(spark, sf_dir, t) for t in ("lineitem", "part", "orders", "customer")
     )
+    dealt = spark.conf.get(SCAN_PARTITIONS, None)
+    if dealt:
+        needed = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"]
+        lineitem = lineitem.select(*needed).repartition(int(dealt), "l_orderkey", "l_linenumber")
     account = (
         F.concat(F.lit("ACC-"), (F.col("o_custkey") % 500).cast("string"))
         if many_accounts
