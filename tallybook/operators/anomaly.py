@@ -93,6 +93,11 @@ def _tree_samples(df: DataFrame, key: str, rows: int, trees: int, seed: int) ->
     )
 
 
+def _without_noise(features: DataFrame) -> DataFrame:
+    """Equal deviations differ in their last bits by the order of summing; no tree may split on that."""
+    return features.withColumn("amount_zscore", F.round("amount_zscore", 9))
+
+
 @dataclass
 class AnomalyModel:
     """Grown trees, scaling figures and the score below which a row is flagged."""
@@ -110,7 +115,7 @@ class AnomalyModel:
         features = with_anomaly_features(
             tx, stats=self.stats, hour_col=self.hour_col, spread_by=self.key
         )
-        return self._score(features, tx.columns)
+        return self._score(_without_noise(features), tx.columns)
 
     def _score(self, features: DataFrame, keep: list[str]) -> DataFrame:
         features = standardise(features, ANOMALY_FEATURES, self.figures)
@@ -219,7 +224,7 @@ class AnomalyDetector:
     def _fit(self, tx: DataFrame, keep_stats: bool) -> tuple[AnomalyModel, DataFrame]:
         # Read three times below (scaling, sampling, scoring), so stored once.
         features = reliable_checkpoint(
-            with_anomaly_features(tx, hour_col=self.hour_col, spread_by=self.key)
+            _without_noise(with_anomaly_features(tx, hour_col=self.hour_col, spread_by=self.key))
         )
         figures = scaling(features, ANOMALY_FEATURES).first().asDict()
         rows = int(figures.pop("n_rows"))
