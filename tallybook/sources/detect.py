@@ -153,7 +153,7 @@ def detect(
     profile: str | None = None,
     use_filename: bool = False,
 ) -> DataFrame:
-    """Per file: profile, header line and its number, separator, preamble, error.
+    """Per file: profile, header line and its number, separator, error.
 
     A named profile (or one the file name implies) only looks for its own header;
     otherwise all of them compete.
@@ -166,7 +166,7 @@ def detect(
     lines = (
         first_lines(files, max(SNIFF_LINES, *(p.skiprows + 1 for p in profiles)))
         .withColumn("named", named)
-        .select("path", "error", "named", "lines", F.posexplode_outer("lines").alias("line_no", "line"))
+        .select("path", "error", "named", F.posexplode_outer("lines").alias("line_no", "line"))
         .withColumn("sep", separator(F.col("line"), [p.csv_sep for p in profiles]))
         .withColumn("cells", header_cells(F.col("line"), F.col("sep")))
     )
@@ -187,7 +187,6 @@ def detect(
     per_file = ranked.groupBy("path").agg(
         F.first("error").alias("error"),
         F.first("named").alias("named"),
-        F.first("lines").alias("lines"),
         F.max_by(F.struct("best.profile", "line", "line_no", "sep"), "rank").alias("hit"),
         F.max("rank").isNotNull().alias("found"),
     )
@@ -200,6 +199,5 @@ def detect(
         F.when(F.col("found"), F.col("hit.line")).alias("header"),
         F.when(F.col("found"), F.col("hit.line_no")).alias("header_no"),
         F.when(F.col("found"), F.col("hit.sep")).alias("sep"),
-        F.when(F.col("found"), F.slice("lines", F.lit(1), F.col("hit.line_no"))).alias("preamble"),
         F.coalesce("error", F.when(~F.col("found"), missing)).alias("error"),
     )
