@@ -3,10 +3,12 @@
 import pytest
 
 from tallybook.operators import ranking
+from tallybook.operators.anomaly import AnomalyDetector
 from tallybook.operators.store import TransactionStore
 from tallybook.sources.profiles import ProfileRegistry, SchemaProfile
 from tallybook.sources.statements import StatementReader
 from tallybook.streaming.inbox import InboxStream
+from tallybook.streaming.refit import Refit
 
 HEADER = "date,description,amount\n"
 
@@ -111,3 +113,17 @@ def test_rank_takes_null_and_nan(spark):
     for rows_per_range in (1, 3, 100):
         got = ranking.min_rank(df, "v", "id", rows_per_range=rows_per_range)
         assert {r.id: r["rank"] for r in got.collect()} == want
+
+
+def test_refit_after_a_load(spark, tmp_path):
+    texts = ["CB NETFLIX", "PAIEMENT CB CARREFOUR", "CB SNCF", "VIR SEPA EMPLOYEUR"]
+    lines = [f"2025-{1 + i % 12:02d}-{1 + i % 28:02d},{texts[i % 4]},{2000 + i if i % 4 == 3 else -10 - i % 7}" for i in range(80)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(HEADER + "\n".join(lines) + "\n2025-05-05,CB SNCF,-99999\n")
+    refit = Refit(str(tmp_path / "models"), detector=AnomalyDetector(n_estimators=20))
+    stream = InboxStream(spark, str(tmp_path / "in"), TransactionStore(spark, str(tmp_path / "t")), str(tmp_path / "c"), on_new_rows=refit)
+    stream.drain()
+    assert not stream.hook_errors
+    assert sum(r.n_rows for r in refit.latest["categories"]) == stream.reports[0].inserted
+    assert refit.latest["lowest"][0].amount == -99999 and len(refit.latest["lowest"]) == 3
+    assert (tmp_path / "models" / "categories" / "terms").exists() and (tmp_path / "models" / "anomalies" / "nodes").exists()
