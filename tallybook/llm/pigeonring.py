@@ -151,13 +151,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "fingerprint").select("doc_id", "digest", "fingerprint", "class", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One row of each component with the columns of docs: that of the id which names it.
 
     Where the id is on several rows of the component, the smallest digest wins, and of
-    rows that repeat one text any one stays.
+    rows that repeat one text any one stays. `found` gives the components of another
+    measure (doc_id, digest, class, component_id).
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(docs) if found is None else found
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     winners = found.groupBy("class").agg(F.min("digest").alias("_digest"), F.first("doc_id").alias("doc_id"))
     winners = winners.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "_digest")
     marked = docs.withColumns({
