@@ -13,7 +13,8 @@ boilerplate inside the article. Words are random, so it learns structure. It nee
 seconds once per driver process; tasks get its 30,000 numbers.
 
 Cases: a null, empty or text-free page has the empty text; scripts, styles, comments and
-the head hold no blocks; unclosed tags and pages that end in a tag or reference are read
+the head hold no blocks; a head ends at the first tag or text that cannot stand in it, other
+hidden elements without an end at their parent's or at the next container; unclosed tags and pages that end in a tag or reference are read
 as far as they go; a page of any length is one sequence; repeated rows stay; a null url
 stays null; result columns replace columns of the same name.
 """
@@ -43,6 +44,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as part of the page.
 HIDDEN_TAGS = frozenset("head script style template noscript title svg iframe object".split())
+#: Any other tag ends the head.
+HEAD_TAGS = frozenset("html head title meta link base script style noscript template".split())
 #: An opening tag ends open elements of these kinds, up to the next container.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
         "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -68,7 +71,9 @@ def page_blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, list[str]]] = []
     blocks: list[Block] = []
     now: Block | None = None
-    at, hidden, links = 0, None, 0
+    at, hidden, links, in_head = 0, None, 0, False
+    inside: list[str] = []  # open elements of a hidden one
+    last_close: dict[str, int] = {}
 
     def add(raw: str) -> None:
         nonlocal now
@@ -90,7 +95,10 @@ def page_blocks(page: str | None) -> list[Block]:
 
     for tag in MARKUP.finditer(page):
         if hidden is None and tag.start() > at:
-            add(page[at:tag.start()])
+            if in_head and page[at:tag.start()].strip():
+                in_head = False
+            if not in_head:
+                add(page[at:tag.start()])
         if tag.start() < at:
             continue
         at = tag.end()
@@ -99,17 +107,40 @@ def page_blocks(page: str | None) -> list[Block]:
             continue
         ending = tag[1] == "/"
         if hidden is not None:
-            if ending and name == hidden or name == "body":
+            if ending and name in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(name):]
+                continue
+            if ending and name == hidden:
+                hidden = None
+                continue
+            # Without an end of its own it ends with its parent, or at the next container.
+            parent = ending and any(name == n for n, _ in stack)
+            if name == "body" or parent or not ending and name in CONTAINERS and last_close[hidden] < at:
                 hidden = None
-            if name != "body":
+            else:
+                if name in ("script", "style") and not ending:
+                    end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                    at = end.end() if end else at
+                elif not ending and name not in VOID_TAGS and not tag[3].endswith("/"):
+                    inside.append(name)
                 continue
+        if in_head and name not in HEAD_TAGS:
+            in_head = False
         if name in HIDDEN_TAGS:
-            if not ending:
-                if name in ("script", "style"):  # their text may look like tags
+            if name == "head":
+                in_head = not ending
+            elif not ending:
+                if name in ("script", "style", "title"):  # their text may look like tags
                     end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                    if end is None and name == "title":
+                        at = page.find("<", at) if page.find("<", at) >= 0 else len(page)
+                    else:
+                        at = end.end() if end else len(page)
                 elif not tag[3].endswith("/"):
-                    hidden = name
+                    hidden, inside = name, []
+                    if name not in last_close:
+                        ends = re.finditer(rf"</{name}(?=[\s/>])", page, re.I)
+                        last_close[name] = max((e.start() for e in ends), default=-1)
             continue
         if name == "br":
             add(" ")
@@ -136,7 +167,7 @@ def page_blocks(page: str | None) -> list[Block]:
                     parts += [f".{value}", *(f".{p}" for p in re.split(r"[-_]+", value) if p != value)]
             stack.append((name, parts))
             links = sum(n == "a" for n, _ in stack)
-    if hidden is None and at < len(page):
+    if hidden is None and at < len(page) and (not in_head or page[at:].strip()):
         add(page[at:])
     close()
     return blocks

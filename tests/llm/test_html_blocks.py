@@ -71,3 +71,17 @@ def test_odd_rows(frame):
     assert out[1].main_text == out[2].main_text == out[4].main_text == ""
     assert len(out[3].main_blocks) == 3000
     assert hb.with_main_text(frame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("page, texts", [
+    ("<html><head><title>x</title><p>Article<p>more", ["Article", "more"]),
+    ("<head><title>x</title><script>'<p>no'</script><meta a=b><noscript><link></noscript><template><p>no</p></template><div>yes</div>", ["yes"]),
+    ("<html><head><title>x</title>Plain text", ["Plain text"]),
+    ("<head><title>x</title></head>\n<p>a", ["a"]),
+    ("<title>x<p>a", ["a"]),
+    ("<div><noscript><b>no</b></div><p>a", ["a"]),
+    ("<svg><path><article>a</article>", ["a"]),
+    ("<div><object><div>no</div></object>a</div><iframe src=x><section>b</section>", ["a", "b"]),
+])
+def test_missing_ends_lose_no_article(page, texts):
+    assert [b.text for b in hb.page_blocks(page)] == texts
