@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import decontaminate, line_frequency, reputation
+from tallybook.llm import decontaminate, heavy_dedup, line_frequency, reputation
 from tallybook.llm.common import shared_folder, table
 from tallybook.llm.credentials import op10_credentials
 from tallybook.llm.decontaminate import op9_decontaminate
+from tallybook.llm.heavy_dedup import op13_exact_dedup
 from tallybook.llm.html_blocks import op3_html_text
 from tallybook.llm.line_frequency import op6_line_frequency
 from tallybook.llm.mixing import op1_pfair_mix
@@ -42,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_credentials": op10_credentials,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -49,4 +51,5 @@ ORACLE: dict[str, str] = {
     "op2_url_reputation": reputation.ORACLE,
     "op6_line_frequency": line_frequency.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op13_exact_dedup": heavy_dedup.ORACLE,
 }
