@@ -22,6 +22,7 @@ from tallybook.llm.propagation import op7_shards
 from tallybook.llm.reputation import op2_url_reputation
 from tallybook.llm.token_cache import token_counts
 from tallybook.llm.toxic_grammar import op8_toxicity
+from tallybook.llm.word_runs import op11_word_runs
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_credentials": op10_credentials,
+    "op11_word_runs": op11_word_runs,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
