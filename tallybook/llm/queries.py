@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import decontaminate, heavy_dedup, line_frequency, reputation
+from tallybook.llm import conversation_repair, decontaminate, heavy_dedup, line_frequency, reputation, word_runs
 from tallybook.llm.common import shared_folder, table
+from tallybook.llm.conversation_repair import op12_turn_repair
 from tallybook.llm.credentials import op10_credentials
 from tallybook.llm.decontaminate import op9_decontaminate
 from tallybook.llm.heavy_dedup import op13_exact_dedup
@@ -45,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_credentials": op10_credentials,
     "op11_word_runs": op11_word_runs,
+    "op12_turn_repair": op12_turn_repair,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -53,5 +55,7 @@ ORACLE: dict[str, str] = {
     "op2_url_reputation": reputation.ORACLE,
     "op6_line_frequency": line_frequency.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_word_runs": word_runs.ORACLE,
+    "op12_turn_repair": conversation_repair.ORACLE,
     "op13_exact_dedup": heavy_dedup.ORACLE,
 }

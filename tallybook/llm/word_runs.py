@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import WORD, table
+from tallybook.llm.sql_text import CRC_TABLE, crc32
 
 TOKEN = re.compile(WORD.encode())
 #: Repetitions and words that make a stretch a run.
@@ -235,3 +236,45 @@ def op11_word_runs(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: The same in DuckDB SQL: equal words at each distance, joined to stretches; no Lyndon words.
+ORACLE = rf"""
+with {CRC_TABLE},
+plain as (
+  select row_number() over () as rid, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+    {crc32("coalesce(cast(doc_id as varchar), '1')")} as h
+  from documents, crc_table),
+placed as (
+  select *, len(words) as n, h // 10 as g, case when len(words) > 0 then (h // 10) % len(words) end as a from plain),
+planted as (
+  select rid, doc_id, n, case when h % 10 = 0 and n > 0 then
+    list_transform(range(n), lambda i: words[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end])
+    else words end as words
+  from placed),
+spots as (select rid, n, unnest(range(n)) as i, unnest(words) as word from planted),
+pairs as (
+  select x.rid, x.i, y.i - x.i as q from spots x join spots y
+  on x.rid = y.rid and x.word = y.word and y.i > x.i and y.i - x.i <= x.n // 4),
+stretches as (
+  select rid, q, min(i) as s, count(*) + q as length
+  from (select *, i - row_number() over (partition by rid, q order by i) as part from pairs)
+  group by rid, q, part having count(*) + q >= greatest(6, 4 * q)),
+runs as (
+  select * from stretches r where not exists (
+    select 1 from stretches o where o.rid = r.rid and o.q < r.q and o.s <= r.s and r.s + r.length <= o.s + o.length)),
+firsts as (
+  select rid, s, length, q from runs
+  qualify row_number() over (partition by rid order by cast(length as double) / q desc, s, q) = 1),
+listed as (
+  select rid, count(*) as n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q) as lines
+  from runs group by rid),
+dropped as (select distinct rid, unnest(range(s + q, s + length)) as i from runs),
+kept as (
+  select rid, string_agg(word, ' ' order by i) as words
+  from (select spots.* from spots anti join dropped on spots.rid = dropped.rid and spots.i = dropped.i) group by rid)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(s as bigint) as start, cast(length as bigint) as length,
+  cast(q as bigint) as period, cast(1000 * length // q as bigint) as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.words, '')) as collapsed_sha256
+from planted left join firsts using (rid) left join listed using (rid) left join kept using (rid)"""
