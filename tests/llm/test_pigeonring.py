@@ -101,3 +101,37 @@ def test_documents(docs, odd_texts):
 
 def test_bits_of_a_byte():
     assert np.unpackbits(np.array([0x81], dtype=np.uint8)).tolist() == [1, 0, 0, 0, 0, 0, 0, 1]
+
+
+def test_pairs_in_reach_share_an_open_segment(spark):
+    from tallybook.llm.pigeonring import rest_segments
+
+    rnd, pairs = random.Random(8), []
+    for _ in range(300):
+        a = rnd.getrandbits(64)
+        flips = sum(1 << b for b in rnd.sample(range(64), 3))
+        pairs.append((signed(a), signed(a ^ flips)))
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    frame = frame.withColumn("key", F.explode(F.array_intersect(chain_keys(F.col("a")), chain_keys(F.col("b")))))
+    shared = F.array_intersect(rest_segments(F.col("key"), F.col("a")), rest_segments(F.col("key"), F.col("b")))
+    rows = frame.select("key", "a", "b", F.size(shared).alias("n")).collect()
+    assert {(r.a, r.b) for r in rows} == set(pairs) and all(r.n >= 1 for r in rows)
+    wide = spark.createDataFrame([(0x0102030405060708,)], "v long")
+    # Key of start 1 that leaves segment 4 (the third of the chain) open: it and the last three of the ring stay.
+    got = wide.select(rest_segments(F.lit(1 * 3 + 0).cast("long"), F.col("v")).alias("x")).first().x
+    assert got == [0x04 * 4, 0x07 * 4 + 1, 0x08 * 4 + 2, 0x01 * 4 + 3]
+
+
+def test_many_apart_in_one_key(spark):
+    """Fingerprints of one passage: equal in four segments, most of them unlinked."""
+    rnd = random.Random(9)
+    base = rnd.getrandbits(64) & ~0xFFFFFFFF
+    prints = {base | rnd.getrandbits(32) for _ in range(400)}
+    prints |= {p ^ (1 << rnd.randrange(32)) for p in list(prints)[:50]}
+    frame = spark.createDataFrame([(signed(p), 1) for p in prints], "fp long, docs long")
+    linked = {r.node & (2**64 - 1): r.component for r in components(fingerprint_links(frame)).collect()}
+    want = brute_classes(prints)
+    groups = {}
+    for p in prints:
+        groups.setdefault(want[p], set()).add(linked.get(p, ("alone", p)))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
