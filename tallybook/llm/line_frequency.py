@@ -2,8 +2,9 @@
 
 A line is normalised (A-Z lowered, blanks turned into one space, trimmed) and hashed. For each
 host the documents that hold a line are counted, copies of one text as one document; lines in
-more than `limit` documents are removed. A document that keeps less than `min_share` of its
-words, or nothing, is rejected as depleted. Before that, two rules inside a text: too few
+`percent` of the host's documents are removed, if that is `least` documents or more. So the
+limit follows the host, and like data give like verdicts at every size. A document that
+keeps less than `min_share` of its words, or nothing, is rejected as depleted. Before that, two rules inside a text: too few
 words, or too many words in five-word windows that the text repeats.
 
 Only DataFrame functions are used, and all work of a text happens in its own row: repeated
@@ -79,16 +80,21 @@ def line_hashes(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), words(x).alias("words")))
 
 
-def frequent_lines(rows: DataFrame, limit: int) -> DataFrame:
-    """(host, h, docs, rows) of lines in more than limit documents. rows: host, digest, lines."""
+def frequent_lines(rows: DataFrame, percent: int, least: int) -> DataFrame:
+    """(host, h, docs, rows) of the lines above the host's limit. rows: host, digest, lines."""
     each = rows.select("host", "digest", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     per_text = each.groupBy("host", "h", "digest").agg(F.count("*").alias("rows"))
     found = per_text.groupBy("host", "h").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"))
-    return found.where(F.col("docs") > limit)
+    found = checkpointed(found.where(F.col("docs") >= least))
+    hosts = rows.groupBy("host", "digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
+    lines = found.groupBy("host").agg(F.count("*").alias("n")).withColumnRenamed("host", "of")
+    hosts = hosts.join(lines, F.col("host").eqNullSafe(F.col("of"))).drop("of")
+    sized = join_facts(found, hosts, ["host"], "n", found.count())
+    return sized.where(100 * F.col("docs") >= percent * F.col("host_docs")).drop("host_docs")
 
 
 def judged(
-    docs: DataFrame, host: str = "source", limit: int = 100, min_share: float = 0.3,
+    docs: DataFrame, host: str = "source", percent: int = 2, least: int = 5, min_share: float = 0.7,
     min_words: int = 10, repeat_percent: int = 20, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Each row's doc_id, host, text counts, base_failed, removed (hashes of lines taken out), kept_words, kept."""
@@ -97,7 +103,7 @@ def judged(
     rows = rows.withColumns({"digest": F.xxhash64(text_or_empty()), "lines": line_hashes(text_or_empty())})
     rows = with_text_counts(rows).drop("text").withColumn("_row", _row_of("doc_id", "host", "digest"))
     rows = checkpointed(rows)
-    frequent = checkpointed(frequent_lines(rows, limit))
+    frequent = checkpointed(frequent_lines(rows, percent, least))
     each = rows.select("_row", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     total = rows.agg(F.sum(F.size("lines"))).first()[0] or 0
     hit = join_facts(each, frequent, ["host", "h"], "rows", total).where("docs is not null")
@@ -147,7 +153,9 @@ lines as (select rid, source, text, unnest(string_split(text, chr(10))) as line
 normal as (select rid, source, text, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from lines),
 worded as (select rid, source, text, line, norm, len(string_split(norm, ' ')) as n from normal where norm <> ''),
-frequent as (select source, norm from worded group by source, norm having count(distinct text) > 100),
+hosts as (select source, count(distinct text) as docs from rows group by source),
+frequent as (select w.source, norm from worded w join hosts h on w.source is not distinct from h.source
+  group by w.source, norm, h.docs having count(distinct text) >= 5 and 100 * count(distinct text) >= 2 * h.docs),
 left_over as (select rid, count(*) - count(distinct line) as dup,
     sum(case when exists (select 1 from frequent f where f.source is not distinct from worded.source and f.norm = worded.norm)
       then 0 else n end) as kept_words
@@ -160,5 +168,5 @@ judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
   cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
   cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
-  not base_failed and kept_words > 0 and kept_words >= 0.3 * n_words as kept
+  not base_failed and kept_words > 0 and kept_words >= 0.7 * n_words as kept
 from judged"""
