@@ -51,10 +51,14 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
         "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main "
                        "menu nav ol section table ul".split())
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Quotes count only right after an equals sign; without their end, the tag ends at its next >.
+VALUE = r"=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)"
+MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:{VALUE}|[^>])*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PATHS, WORDS_, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 1024, 1024, 12, 6, 6, 16
 TRAIN_PAGES, EPOCHS, SEED = 400, 12, 11
+#: Padded blocks that run together, about 2 KB each.
+BATCH_BLOCKS = 8192
 
 
 @dataclass
@@ -228,7 +232,8 @@ class BlockLabeller:
             mask[i, :len(p[2])] = 1
         return x, mask, flat[0], flat[1]
 
-    def _run(self, way: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    def _run(self, way: str, x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+        """States of one direction, and what backpropagation needs if it is to be kept."""
         pages, longest, _ = x.shape
         h = c = np.zeros((pages, HIDDEN))
         drive = x @ self.w[f"{way}_x"] + self.w[f"{way}_bias"]
@@ -239,14 +244,15 @@ class BlockLabeller:
             g = np.tanh(z[:, 3 * HIDDEN:])
             on = mask[:, t:t + 1]
             fresh = f * c + i * g
-            tape.append((t, h, c, i, f, o, g, np.tanh(fresh), on))
+            if keep:
+                tape.append((t, h, c, i, f, o, g, np.tanh(fresh), on))
             h, c = on * (o * np.tanh(fresh)) + (1 - on) * h, on * fresh + (1 - on) * c
             states[:, t] = h
         return states, tape
 
     def probabilities(self, pages: list[tuple]) -> list[np.ndarray]:
         x, mask, _, _ = self._batch(pages)
-        both = np.concatenate([self._run("f", x, mask)[0], self._run("b", x, mask)[0]], axis=2)
+        both = np.concatenate([self._run(way, x, mask, keep=False)[0] for way in ("f", "b")], axis=2)
         p = 1 / (1 + np.exp(-np.clip(both @ self.w["out"] + self.w["out_bias"], -30, 30)))
         return [row[:len(page[2])] for row, page in zip(p, pages, strict=True)]
 
@@ -392,13 +398,24 @@ def trained_labeller(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int =
     return model
 
 
-def main_blocks(pages: list[str | None], model: BlockLabeller, batch: int = 64) -> list[list[str]]:
+def _batches(order: list[int], sizes: list[int]) -> Iterator[list[int]]:
+    """Pages in the order given, as many as fit into BATCH_BLOCKS once padded to the longest; one at least."""
+    part: list[int] = []
+    for i in order:
+        if part and (len(part) + 1) * sizes[i] > BATCH_BLOCKS:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
+def main_blocks(pages: list[str | None], model: BlockLabeller) -> list[list[str]]:
     """The texts of the article blocks of each page. Pages of like length run together."""
     found = [page_blocks(p) for p in pages]
     order = sorted((i for i, blocks in enumerate(found) if blocks), key=lambda i: len(found[i]))
     kept: list[list[str]] = [[] for _ in pages]
-    for at in range(0, len(order), batch):
-        part = order[at:at + batch]
+    for part in _batches(order, [len(blocks) for blocks in found]):
         for i, p in zip(part, model.probabilities([block_inputs(found[i]) for i in part]), strict=True):
             kept[i] = [b.text for b, q in zip(found[i], p, strict=True) if q >= 0.5]
     return kept

@@ -85,3 +85,29 @@ def test_odd_rows(frame):
 ])
 def test_missing_ends_lose_no_article(page, texts):
     assert [b.text for b in hb.page_blocks(page)] == texts
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<p title=it's>Hello one</p><p>I don't know two</p><p>End", ["Hello one", "I don't know two", "End"]),
+    ('<p title="oops>Hello</p><p>next', ["Hello", "next"]),
+    ("<p title='a > b' class=\"x>y\">kept</p>", ["kept"]),
+    ("<p title = 'it''s'>one</p><p data-x=a\"b>two</p><p ' \" >three", ["one", "two", "three"]),
+    ("<a href=http://x/?q='>link</a> text", ["link text"]),
+])
+def test_quotes_count_only_as_values(page, texts):
+    assert [b.text for b in hb.page_blocks(page)] == texts
+
+
+def test_a_page_of_many_blocks_stays_small():
+    """Blocks of one long page, and short pages beside it, within a bound of memory."""
+    import tracemalloc
+
+    model = hb.trained_labeller()
+    pages = ["<article>" + "".join(f"<p>Line {i} of a long table of contents.</p>" for i in range(30_000)) + "</article>"]
+    pages += ["<article><p>A short page of its own.</p></article>"] * 63
+    tracemalloc.start()
+    kept = hb.main_blocks(pages, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept[1:] == [hb.main_blocks(pages[1:2], model)[0]] * 63 and len(kept[0]) > 25_000
+    assert peak < 600e6
