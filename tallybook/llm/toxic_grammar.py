@@ -12,7 +12,7 @@ harmless text of that length would have.
 What is learned, from labelled rows that are not held out: the lexicon of insults and
 slurs (words and stems whose share of toxic documents is above the base rate by a
 likelihood test that allows for the number of candidates) and the weights. The fit takes at most `fit_rows`
-rows, the lowest by a hash of the id, so that what is sent to the tasks is bounded; every
+rows, one for each id, the lowest by a hash of the id, so that what is sent to the tasks is bounded; every
 row is scored.
 
 Cases: null and empty texts match nothing and get the base score; labels that are null
@@ -174,11 +174,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """(text, toxic) of at most fit_rows labelled ids that are not held out."""
+    """(text, toxic) of at most fit_rows rows: one text of each labelled id that is not held out."""
     each = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     each = each.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # fit_rows short rows
+    each = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # fit_rows short rows
+    # An id on several rows gives the text with the smallest hash.
+    one = each.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     return one.select("text", F.col("toxic").cast("int").alias("toxic"))
 
 

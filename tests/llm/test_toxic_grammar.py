@@ -1,9 +1,10 @@
 import random
+import re
 import zlib
 
 from pyspark.sql import functions as F
 
-from tallybook.llm.toxic_grammar import LABELS, PRIOR, ToxicModel, fit, held_out, with_toxicity, without_toxic
+from tallybook.llm.toxic_grammar import INSULT, LABELS, NEGATION, PRIOR, REPORT, SEEDS, TARGET, THREAT, ToxicModel, _sample, fit, held_out, with_toxicity, without_toxic
 
 
 def labels_of(text):
@@ -59,3 +60,39 @@ def test_the_fit_repeats(docs, frame):
     labels = frame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
     a, b = (fit(docs([(i, t) for i, t, _ in rows]).repartition(n), labels) for n in (2, 7))
     assert a.lexicon == b.lexicon and a.weights == b.weights
+
+
+def naive_labels(text):
+    """Clause by clause: each hit looks at the words around it."""
+    kinds = {w: k for k, words in ((1, SEEDS[INSULT]), (3, SEEDS[THREAT]), (4, SEEDS[TARGET]), (5, SEEDS[NEGATION]), (6, SEEDS[REPORT])) for w in words.split()}
+    for kind in (INSULT, THREAT, TARGET, NEGATION, REPORT):  # the first kind that lists a word has it
+        for w in SEEDS[kind].split():
+            kinds[w] = min(kinds[w], kind)
+    out = []
+    for clause in re.split(r"[.!?;:,\n]+", text.lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        symbols = [kinds.get(w, 0) for w in words]
+        for i, s in enumerate(symbols):
+            if s in (INSULT, THREAT):
+                target = TARGET in symbols[max(0, i - 4):i] or TARGET in symbols[i + 1:]
+                negated, reported = NEGATION in symbols[max(0, i - 3):i], REPORT in symbols[:i]
+                name = "insult" if s == INSULT else "threat"
+                out.append((name + "+target" * target + "+negated" * negated + "+reported" * reported, words[i]))
+    return out
+
+
+def test_product_machine_equals_a_naive_clause_reader():
+    rng = random.Random(12)
+    some = ["idiot", "scum", "kill", "hurt", "you", "they", "not", "never", "said", "calls", "plain", "words", "of", "no", "use", "table"]
+    for _ in range(3000):
+        text = "".join(rng.choice(some) + rng.choice([" "] * 8 + [". ", ", ", "\n", "! ", " 12 "]) for _ in range(rng.randint(0, 25)))
+        assert labels_of(text) == naive_labels(text), text
+
+
+def test_the_fit_takes_no_more_rows_than_its_bound(docs, frame):
+    rows = [(1, f"text number {i} idiot") for i in range(500)] + [(i, f"other {i}") for i in range(2, 40)]
+    labels = frame([(i, 1, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    assert _sample(docs(rows), labels, 3).count() <= 3
+    assert sorted(map(tuple, _sample(docs(rows), labels, 30).collect())) == sorted(map(tuple, _sample(docs(rows[::-1]), labels, 30).collect()))
+    scored = with_toxicity(docs(rows), fit(docs(rows), labels, fit_rows=5))
+    assert scored.count() == len(rows)
