@@ -33,7 +33,7 @@ STRONG = {
 }
 WEAK = {
     "ident": r"""(?i:client_?id|account_?id|access_?key(?:_?id)?|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""",
-    "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{16,}",
+    "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}",
     "endpoint": r"""[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{4,}|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])""",
 }
 SCOPE = r"\n[\x20\t\r]*\n"

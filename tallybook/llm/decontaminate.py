@@ -129,7 +129,7 @@ def row_key() -> Column:
 
 #: One row per document; `spots` are the positions of prefix words, with the words around them.
 PROBE = (
-    "doc_id long, row long, n_words long, "
+    "row long, n_words long, "
     "spots array<struct<word:string, at:int, left:array<string>, right:array<string>>>"
 )
 
@@ -160,8 +160,8 @@ def document_spots(docs: DataFrame, word_map: np.ndarray, words: int) -> DataFra
                 names=["doc_id", "row", "n_words", "spots"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), row_key())
-    return rows.mapInArrow(probe, PROBE)
+    rows = docs.select("doc_id", F.col("text").cast("binary"), row_key())
+    return rows.mapInArrow(probe, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PROBE}")
 
 
 def window_hits(spots: DataFrame, prefixed: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import bucket_of, buckets_for, checkpointed, place, running_total, table, text_or_empty
+from tallybook.llm.common import bucket_of, buckets_for, place, running_total, table
 
 UNITS = 100_000
 REST = "(rest)"
@@ -80,14 +80,17 @@ def mix(
 ) -> DataFrame:
     """docs with stream, block, release, deadline, slot (in blocks) and position (in rows).
 
-    Within a stream rows go by a hash of doc_id and text, so neighbours in the input part.
+    Within a stream rows go by a hash of their columns, so neighbours in the input part, and so
+    do rows without an id or with one id; only rows equal in every column stay together.
     """
     if sum(weights.values()) + rest > UNITS or min([rest, *weights.values()]) < 0:
         raise ValueError(f"units must be 0 or more and add up to {UNITS} at most")
     spark, units = docs.sparkSession, {**weights, REST: rest}
     named = F.col(source).cast("string").isin(list(weights))
     rows = docs.drop(*RESULT).withColumn("stream", F.when(named, F.col(source).cast("string")).otherwise(REST))
-    rows = rows.withColumn("_at", place(F.col("doc_id"), F.lit(7))).withColumn("_text", F.xxhash64(text_or_empty()))
+    hashed = [c for c, kind in docs.dtypes if c not in ("doc_id", *RESULT) and "map<" not in kind and "variant" not in kind]
+    rows = rows.withColumn("_text", F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in hashed]))
+    rows = rows.withColumn("_at", place(F.col("doc_id"), F.col("_text"), F.lit(7)))
 
     counts = {r["stream"]: r["count"] for r in rows.groupBy("stream").count().collect()}
     buckets = buckets_for(sum(counts.values()), rows_per_bucket)

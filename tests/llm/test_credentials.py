@@ -46,3 +46,11 @@ def test_against_brute_force(docs):
 def test_long_text_and_empty_table(docs, odd_texts):
     assert all(r.spans == [] for r in c.find_credentials(docs(odd_texts)).collect())
     assert c.find_credentials(docs([])).count() == 0
+
+
+def test_weak_secrets_of_any_length(docs):
+    """The first digit or letter of a mixed string may come late."""
+    secret = "x" * 400 + "7" + "y" * 30
+    got = c.find_credentials(docs([(1, f"login: someone {secret} end"), (2, f"nothing beside {secret} end")]))
+    spans = {r.doc_id: [(s.kind, s.end - s.start) for s in r.spans] for r in got.collect()}
+    assert ("mixed", 431) in spans[1] and spans[2] == []

@@ -61,3 +61,13 @@ def test_empty_sides(docs, frame):
     none = frame([], "item_id long, text string")
     assert contamination(docs([]), frame([(1, "a b")], "item_id long, text string")).count() == 0
     assert [r.n_hit for r in contamination(docs([(1, "a b")]), none).collect()] == [0]
+
+
+def test_ids_keep_their_type(spark, frame):
+    passage = " ".join(f"word{chr(97 + i)}" for i in range(12))
+    names = frame([("a-1", passage), ("b", "nothing here"), (None, passage)], "doc_id string, text string")
+    items = frame([("x", passage)], "item_id string, text string")
+    found = contamination(names, items)
+    assert dict(found.dtypes)["doc_id"] == "string"
+    assert sorted(((r.doc_id or "", r.n_hit) for r in found.collect())) == [("", 12), ("a-1", 12), ("b", 0)]
+    assert [r.doc_id for r in clean_documents(names, items).collect()] == ["b"]

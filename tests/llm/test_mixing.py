@@ -54,3 +54,16 @@ def test_odd_rows_and_empty_table(docs, odd_texts):
 def test_streams_without_weight_come_last():
     plan = phases({"a": 2, REST: 3}, {"a": 1, REST: 0})
     assert [p["start"] for p in plan] == [0, 2]
+
+
+def test_rows_without_ids_spread_over_buckets(docs):
+    from pyspark.sql import functions as F
+
+    from tallybook.llm.common import bucket_of
+
+    mixed = mix(docs([(None, f"text {i}") for i in range(2000)]), {"a": 1}, rows_per_bucket=50)
+    at = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33)
+    assert mixed.count() == 2000 and mixed.select(bucket_of(at, 40)).distinct().count() == 40
+    order = [r.text for r in mixed.orderBy("position").collect()]
+    again = mix(docs([(None, f"text {i}") for i in reversed(range(2000))]), {"a": 1}, rows_per_bucket=50)
+    assert order == [r.text for r in again.orderBy("position").collect()]
