@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,10 @@ def debit_credit(debit: Column, credit: Column) -> Column:
     return credit - debit
 
 
+#: What a layout's columns mean; the cells that `normalise_cells` reads.
+ROLES = ["date", "text", "signed", "outgoing", "incoming", "category", "currency"]
+
+
 def normalise(
     df: DataFrame,
     profile: SchemaProfile,
@@ -37,66 +43,97 @@ def normalise(
     ingested_at: Column | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """All canonical columns plus ``errors`` and ``warnings``, one row per input row.
+    """All canonical columns plus ``errors`` and ``warnings``, one row per input row of one layout.
 
     ``keep`` names further input columns to carry along (row text, row order).
     """
-    date_text = _cell(df, profile.date_col)
-    raw = text.strip(_cell(df, profile.description_col))
-
-    def amount_of(name: str | None) -> tuple[Column, Column]:
-        cell = _cell(df, name)
-        value = parsing.parse_amount(cell, profile.decimal_sep, profile.thousands_sep)
-        return cell, value
-
-    staged = df.withColumn("__date", parsing.parse_date(date_text, profile.date_formats))
-    if profile.amount_col:
-        cell, value = amount_of(profile.amount_col)
-        staged = staged.withColumn("__amount", value).withColumn(
-            "__amount_error", parsing.amount_error(cell, F.col("__amount"))
-        )
-    else:
-        debit_cell, debit = amount_of(profile.debit_col)
-        credit_cell, credit = amount_of(profile.credit_col)
-        if profile.abs_debits:
-            debit = F.abs(debit)
-
-        def problem(pair: Column) -> Column:
-            empty = (pair["debit"] == 0) & (pair["credit"] == 0)
-            return F.coalesce(
-                parsing.amount_error(debit_cell, pair["debit"]),
-                parsing.amount_error(credit_cell, pair["credit"]),
-                F.when(empty, F.lit(EMPTY_AMOUNTS)),
-            )
-
-        pair = F.struct(debit.alias("debit"), credit.alias("credit"))
-        staged = staged.withColumn("__amount", debit_credit(debit, credit)).withColumn(
-            "__amount_error", let(pair, problem)
-        )
-    staged = staged.withColumn("__raw", raw).withColumn(
-        "__clean", text.clean_description(F.col("__raw"))
+    cells = F.struct(*[_cell(df, getattr(profile.columns, role)).alias(role) for role in ROLES])
+    return normalise_cells(
+        df, [profile], cells, account=account, source_file=source_file, ingested_at=ingested_at, keep=keep
     )
 
-    # A profile without a currency column always takes its default.
-    currency = (
-        parsing.parse_currency(_cell(df, profile.currency_col), profile.currency_default)
-        if profile.currency_col
-        else F.lit(profile.currency_default)
-    )
+
+def _by_layout(profiles: list[SchemaProfile], name: Column | None, key: Callable, value: Callable) -> Column:
+    """``value`` of each row's layout; layouts of one ``key`` share an expression."""
+    groups: dict = {}
+    for profile in profiles:
+        groups.setdefault(key(profile), []).append(profile)
+    found = [(members, value(members[0])) for members in groups.values()]
+    out = found[-1][1]
+    for members, column in reversed(found[:-1]):
+        out = F.when(name.isin([p.name for p in members]), column).otherwise(out)
+    return out
+
+
+def normalise_cells(
+    df: DataFrame,
+    profiles: list[SchemaProfile],
+    cells: Column,
+    *,
+    name: Column | None = None,
+    account: Column,
+    source_file: Column,
+    ingested_at: Column | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The same for rows of several layouts at once; ``name`` tells each row's.
+
+    ``cells`` is a struct of ROLES, blank where a file lacks the column. The plan grows with
+    the number of different formats among the layouts, not with headers or files.
+    """
+    staged = df.withColumn("__cells", cells)
+    cell = {role: F.coalesce(F.col(f"__cells.{role}"), F.lit("")) for role in ROLES}
+
+    def choose(key: Callable, value: Callable) -> Column:
+        return _by_layout(profiles, name, key, value)
+
+    def money(profile: SchemaProfile) -> Column:
+        """(value, error)"""
+        numbers = profile.numbers
+
+        def parsed(text_: Column) -> Column:
+            return parsing.parse_amount(text_, numbers.decimal, numbers.thousands)
+
+        if profile.columns.signed:
+            return let(parsed(cell["signed"]), lambda v: F.struct(
+                v.alias("value"), parsing.amount_error(cell["signed"], v).alias("error")
+            ))
+        out = F.abs(parsed(cell["outgoing"])) if numbers.unsigned_outgoing else parsed(cell["outgoing"])
+        both = F.struct(out.alias("out"), parsed(cell["incoming"]).alias("come"))
+        return let(both, lambda v: F.struct(
+            debit_credit(v["out"], v["come"]).alias("value"),
+            F.coalesce(
+                parsing.amount_error(cell["outgoing"], v["out"]),
+                parsing.amount_error(cell["incoming"], v["come"]),
+                F.when((v["out"] == 0) & (v["come"] == 0), F.lit(EMPTY_AMOUNTS)),
+            ).alias("error"),
+        ))
+
+    raw = text.strip(cell["text"])
+    staged = staged.withColumns({
+        "__date": choose(lambda p: p.dates, lambda p: parsing.parse_date(cell["date"], list(p.dates))),
+        "__money": choose(lambda p: (bool(p.columns.signed), p.numbers), money),
+        # A layout without a currency column always takes its default.
+        "__currency": choose(
+            lambda p: (bool(p.columns.currency), p.currency),
+            lambda p: parsing.parse_currency(cell["currency"], p.currency) if p.columns.currency else F.lit(p.currency),
+        ),
+        "__raw": raw,
+    }).withColumn("__clean", text.clean_description(F.col("__raw")))
     no_text = F.col("__clean") == ""
     return staged.select(
-        transaction_id(F.col("__date"), F.col("__raw"), F.col("__amount"), account).alias("transaction_id"),
+        transaction_id(F.col("__date"), F.col("__raw"), F.col("__money.value"), account).alias("transaction_id"),
         F.col("__date").alias("date"),
         F.when(no_text, F.lit("Unknown")).otherwise(F.col("__clean")).alias("description"),
         F.col("__raw").alias("raw_description"),
-        F.col("__amount").alias("amount"),
-        currency.alias("currency"),
-        parsing.or_default(_cell(df, profile.category_col), UNCATEGORISED).alias("category"),
+        F.col("__money.value").alias("amount"),
+        F.col("__currency").alias("currency"),
+        parsing.or_default(cell["category"], UNCATEGORISED).alias("category"),
         account.alias("account"),
         source_file.alias("source_file"),
         (F.current_timestamp() if ingested_at is None else ingested_at).alias("ingested_at"),
         F.filter(
-            F.array(parsing.date_error(date_text, F.col("__date")), F.col("__amount_error")),
+            F.array(parsing.date_error(cell["date"], F.col("__date")), F.col("__money.error")),
             lambda e: e.isNotNull(),
         ).alias("errors"),
         F.filter(

@@ -23,7 +23,7 @@ from tallybook.plans.fixtures import (
 )
 from tallybook.session import shared_folder
 from tallybook.sources.detect import match_profile, profile_by_filename
-from tallybook.sources.profiles import ProfileRegistry, SchemaProfile
+from tallybook.sources.profiles import Columns, FileFormat, ProfileRegistry, SchemaProfile
 from tallybook.sources.statements import StatementReader
 from tallybook.streaming.daily import read_daily_totals, start_daily_totals
 from tallybook.streaming.inbox import InboxStream
@@ -324,7 +324,7 @@ def _(spark, sf):
         .write.option("header", True).option("escape", '"').csv(folder)
     )
     registry = ProfileRegistry()
-    registry.register_profile(SchemaProfile("quoted", amount_col="amount", multiline=True))
+    registry.register_profile(SchemaProfile("quoted", Columns(signed="amount"), file=FileFormat(multiline=True)))
     rows = StatementReader(spark, registry).ingest_directory(folder, profile="quoted", account="all").rows
     return rows.select("date", "raw_description", "amount", F.size("errors").alias("n_errors"))
 

@@ -1,145 +1,57 @@
-"""Reading statement files into canonical rows."""
+"""Reading statement files into canonical rows.
+
+One plan serves all files, however many headers they have: each line meets the facts of
+its file - encoding, separator, header's place, positions of its columns - and is cut into
+an array of cells, from which these positions pick.
+"""
 
 from __future__ import annotations
 
-import codecs
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallybook.functions.text import account_label
 from tallybook.operators.normalise import (
+    ROLES,
     dedup_first,
     good_rows,
     ingest_metrics,
-    normalise,
+    normalise_cells,
     quarantine,
 )
 from tallybook.schema import CANONICAL, empty_canonical
-from tallybook.sources.detect import detect, file_stem, list_files
+from tallybook.sources.detect import (
+    SEPARATORS,
+    UTF8,
+    UTF16,
+    WINDOWS,
+    decoded,
+    detect,
+    file_stem,
+    list_files,
+    plain_path,
+    raw_lines,
+)
 from tallybook.sources.profiles import ProfileRegistry, SchemaProfile
+from tallybook.sources.records import PLACE, assemble, for_separator, split_cells
 
-# Windows code page 1252 uses the bytes that Latin-1 leaves to control characters.
-_C1 = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
-_C1_LATIN = "".join(chr(b) for b in _C1)
-_C1_WINDOWS = bytes(_C1).decode("cp1252")
-
-ROW_ORDER = ["source_file", "block_start", "line_no"]
-
-
-def _one_byte_signs(encoding: str) -> tuple[str, str]:
-    """Latin-1 signs of the upper bytes, and what they are in another one-byte encoding."""
-    pairs = [(chr(b), bytes([b]).decode(encoding, "ignore")) for b in range(0x80, 0x100)]
-    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-def decode_line(value: Column, encoding: str = "latin-1") -> Column:
-    """Text of a line: UTF-8 where its bytes are that, else the given one-byte encoding.
-
-    Latin-1 is read with the signs that Windows-1252 has in its place.
-    """
-    latin = F.decode(value.cast("binary"), "ISO-8859-1")
-    plain = codecs.lookup(encoding).name in ("utf-8", "iso8859-1")
-    signs = (_C1_LATIN, _C1_WINDOWS) if plain else _one_byte_signs(encoding)
-    return F.when(F.is_valid_utf8(value), value).otherwise(F.translate(latin, *signs))
-
+ROW_ORDER = PLACE
+#: Facts of a file that go to its lines, and their bytes a row at most for which they are broadcast.
+FACTS = ["profile", "encoding", "sep", "header_block", "header_line", "width", "columns"]
+FACT_BYTES, BROADCAST_BYTES = 400, 8 << 20
 
-def read_lines(spark: SparkSession, paths: list[str], encoding: str = "latin-1") -> DataFrame:
-    """Lines with file and position, blank ones included.
 
-    Lines (not a CSV scan) keep the raw bytes, so every encoding and any number of
-    leading lines work in one pass, and large files still split.
-    """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_no"),
-        decode_line(F.col("value"), encoding).alias("line"),
-    )
-    return lines.withColumn("line", F.translate("line", "﻿\r", ""))
-
-
-def below_header(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """Lines behind their file's header, by position. headers: file_name (full path), header_no.
-
-    Lines of a block count up one by one, so a line's place in the file's first block is
-    its number less that of the block's first line.
-    """
-    first = lines.filter("block_start = 0").groupBy("source_file").agg(F.min("line_no").alias("__first"))
-    start = first.withColumn("__path", _plain_path(F.col("source_file"))).join(headers, "__path")
-    start = start.select(F.col("source_file"), (F.col("__first") + F.col("header_no")).alias("__header"))
-    placed = lines.join(start, "source_file")
-    return placed.filter((F.col("block_start") > 0) | (F.col("line_no") > F.col("__header"))).drop("__header")
-
-
-def _unique(names: list[str]) -> list[str]:
-    seen: dict[str, int] = {}
-    out = []
-    for position, name in enumerate(names):
-        name = name or f"_c{position}"
-        seen[name.lower()] = seen.get(name.lower(), 0) + 1
-        out.append(name if seen[name.lower()] == 1 else f"{name}.{seen[name.lower()] - 1}")
+def _text_of(value: Column, profiles: list[SchemaProfile], kinds: list[str]) -> Column:
+    """Text of a line by the encoding of its file; only encodings that can occur are in the plan."""
+    known = dict.fromkeys([*kinds, *(p.file.encoding for p in profiles if UTF8 not in kinds or p.file.encoding != UTF8)])
+    out = decoded(value, kinds[0])
+    for encoding in list(known)[1:]:
+        out = F.when(F.col("encoding") == encoding, decoded(value, encoding)).otherwise(out)
     return out
 
 
-def _rename(names: list[str], profile: SchemaProfile) -> list[str]:
-    """Apply aliases, unless the column they stand for is there already."""
-    present = {n.lower() for n in names}
-    out = list(names)
-    for alias, target in profile.aliases.items():
-        if target.lower() in present:
-            continue
-        for i, name in enumerate(names):
-            if name.lower() == alias.lower():
-                out[i] = target
-                present.add(target.lower())
-                break
-    return out
-
-
-def split_cells(lines: DataFrame, header: str, sep: str, profile: SchemaProfile) -> DataFrame:
-    """String columns named by the header (aliases applied), row text and position kept."""
-    names = [c.strip().strip('"').strip() for c in header.replace("﻿", "").split(sep)]
-    names = _unique(_rename(names, profile))
-    unquoted = F.regexp_replace("line", '"[^"]*"', "")
-    lines = lines.filter(F.trim("line") != "").withColumn(
-        "malformed",
-        F.when(F.contains(unquoted, F.lit('"')), F.lit("unbalanced quote"))
-        .when(F.size(F.split(unquoted, F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E")), -1)) < len(names), F.lit("too few cells")),
-    )
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    ddl = ", ".join("`{}` string".format(f.name.replace("`", "``")) for f in schema)
-    cells = F.from_csv(F.col("line"), ddl, options)
-    return lines.withColumn("__cells", cells).select(
-        *ROW_ORDER, F.col("line").alias("row_text"), "malformed", "__cells.*"
-    )
-
-
-def read_multiline(spark: SparkSession, paths: list[str], header: str, sep: str, profile: SchemaProfile) -> DataFrame:
-    """Cells of files whose quoted cells may hold line breaks, header and preamble included.
-
-    Such a file is one task's work, since only a reader from its start knows what is quoted.
-    """
-    names = [c.strip().strip('"').strip() for c in header.replace("﻿", "").split(sep)]
-    names = _unique(_rename(names, profile))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    # A line in an encoding other than UTF-8 needs a reader that is told so.
-    rows = spark.read.csv(
-        paths, schema=schema, sep=sep, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", encoding=profile.encoding
-    )
-    return rows.select(
-        F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("bigint").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_no"),
-        F.concat_ws(sep, *[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]).alias("row_text"),
-        F.lit(None).cast("string").alias("malformed"), *[F.col(f"`{n}`") for n in names],
-    )
-
-
 @dataclass
 class Ingested:
     """Result of an ingest: every table is lazy."""
@@ -175,9 +87,7 @@ class StatementReader:
 
     def ingest(self, path: str, *, profile: str | None = None, account: str | None = None) -> Ingested:
         """One file. Unlike a folder, a file that cannot be read is an error."""
-        result = self.ingest_files(
-            list_files(self.spark, path, glob="*"), profile=profile, account=account
-        )
+        result = self._ingest([path], None, profile=profile, account=account)
         problem = result.files.filter("error is not null").first()
         if problem is not None:
             raise ValueError(f"{problem.path}: {problem.error}")
@@ -193,14 +103,19 @@ class StatementReader:
         glob: str = "*.csv",
     ) -> Ingested:
         """All matching files; unreadable ones are listed in ``failed_files``."""
-        files = list_files(self.spark, directory, glob=glob)
-        if files.limit(1).count() == 0:
+        if list_files(self.spark, directory, glob=glob).isEmpty():
             raise FileNotFoundError(f"{directory} holds no {glob} file")
-        return self.ingest_files(files, profile=profile, account=account, account_map=account_map)
+        return self._ingest([directory], glob, profile=profile, account=account, account_map=account_map)
 
-    def ingest_files(
+    def ingest_files(self, files: DataFrame, **options) -> Ingested:
+        """The files of a table with a column ``path``. A reader has to be told their paths, so these are collected."""
+        paths = [r.path for r in files.select("path").collect()]
+        return self._ingest(paths, None, **options)
+
+    def _ingest(
         self,
-        files: DataFrame,
+        paths: list[str],
+        glob: str | None,
         *,
         profile: str | None = None,
         account: str | None = None,
@@ -208,85 +123,94 @@ class StatementReader:
         use_filename: bool = False,
         derive_account: bool = False,
     ) -> Ingested:
-        """Detect layouts, then read all files of one layout and header together.
-
-        The driver sees the file list (as any file scan does), never their rows;
-        the plan grows with the number of different headers, not of files.
-        """
-        found = detect(files, self.registry, profile=profile, use_filename=use_filename)
-        listed = found.collect()
-        groups: dict[tuple, list] = {}
-        for f in listed:
-            if f.error is None:
-                groups.setdefault((f.profile, f.header, f.sep), []).append(f)
-        parts = [
-            self._read_group(group, members, account, account_map, derive_account)
-            for group, members in groups.items()
-        ]
-        report = self.spark.createDataFrame(
-            [(f.path, f.profile, f.error) for f in listed],
-            "path string, profile string, error string",
+        if not paths:
+            return self._nothing()
+        if profile:
+            self.registry.get(profile)
+        found, wide = detect(
+            self.spark, paths, self.registry, glob=glob, profile=profile, use_filename=use_filename, roles=ROLES
         )
-        if not parts:
-            empty = empty_canonical(self.spark).select(
-                "*",
-                F.array().cast("array<string>").alias("errors"),
-                F.array().cast("array<string>").alias("warnings"),
-                F.lit(0).cast("bigint").alias("block_start"),
-                F.lit(0).cast("bigint").alias("line_no"),
-                F.lit("").alias("row_text"),
-                F.lit("").alias("profile"),
-            )
-            return Ingested(empty, report)
-        return Ingested(reduce(DataFrame.unionByName, parts), report)
+        report = found.select(
+            F.regexp_replace(plain_path(F.col("source_file")), "^file:/+", "file:/").alias("path"), "profile", "error"
+        ).distinct()
+        known = found.where("error is null")
+        # As many names as layouts at most.
+        facts = known.agg(F.collect_set("profile").alias("names"), F.count("*").alias("rows")).first()
+        profiles = [p for p in self.registry if p.name in facts.names]
+        if not profiles:
+            return Ingested(self._nothing().rows, report)
+        separators = list(dict.fromkeys([*SEPARATORS, *(p.file.separator for p in self.registry)]))
+        lines = self._lines(known, facts.rows, paths, glob, wide, profiles)
+        multi = [p.name for p in profiles if p.file.multiline]
+        if multi:
+            within = F.col("profile").isin(multi)
+            whole = assemble(lines.where(within), separators)
+            lines = whole if len(multi) == len(profiles) else lines.where(~within).unionByName(whole)
+        return Ingested(self._rows(lines, separators, profiles, account, account_map, derive_account), report)
+
+    def _nothing(self) -> Ingested:
+        empty = empty_canonical(self.spark).select(
+            "*",
+            F.array().cast("array<string>").alias("errors"),
+            F.array().cast("array<string>").alias("warnings"),
+            F.lit(0).cast("bigint").alias("block_start"),
+            F.lit(0).cast("bigint").alias("line_no"),
+            F.lit("").alias("row_text"),
+            F.lit("").alias("profile"),
+        )
+        return Ingested(empty, self.spark.createDataFrame([], "path string, profile string, error string"))
 
-    def _read_group(
-        self,
-        group: tuple,
-        members: list,
-        account: str | None,
-        account_map: dict[str, str] | None,
-        derive_account: bool,
+    def _lines(
+        self, known: DataFrame, rows: int, paths: list[str], glob: str | None, wide: dict[str, list[str]], profiles: list[SchemaProfile]
     ) -> DataFrame:
-        name, header, sep = group
-        profile = self.registry.get(name)
-        paths = [m.path for m in members]
-        headers = self.spark.createDataFrame([(m.path, m.header_no) for m in members], "path string, header_no long")
-        headers = headers.select(_plain_path(F.col("path"), encoded=False).alias("__path"), "header_no")
-        if profile.multiline:
-            rows = below_header(read_multiline(self.spark, paths, header, sep, profile), headers)
-        else:
-            lines = below_header(read_lines(self.spark, paths, profile.encoding), headers)
-            rows = split_cells(lines, header, sep, profile)
-        rows = rows.withColumn("__stem", file_stem(_decoded(F.col("source_file"))))
+        """Lines below their file's header with its facts. A file meets its lines split by split, so none is one key."""
+        facts = known.select(F.col("source_file").alias("__file"), F.col("block_start").alias("__block"), *FACTS)
+        if rows * FACT_BYTES <= BROADCAST_BYTES:
+            facts = F.broadcast(facts)
+        sources = [(raw_lines(self.spark, paths, glob), [UTF8, "latin-1", WINDOWS])]
+        sources += [(raw_lines(self.spark, chosen, encoding=kind), [kind]) for kind, chosen in wide.items()]
+        out = None
+        for raw, kinds in sources:
+            joined = raw.join(facts, (F.col("source_file") == F.col("__file")) & (F.col("block_start") == F.col("__block")))
+            here = F.col("encoding").isin(kinds[0]) if kinds[0] in UTF16 else ~F.col("encoding").isin(*UTF16)
+            below = (F.col("block_start") > F.col("header_block")) | (
+                (F.col("block_start") == F.col("header_block")) & (F.col("line_no") > F.col("header_line"))
+            )
+            text = _text_of(F.col("value"), profiles, kinds)
+            rest = [c for c in FACTS if c not in ("encoding", "header_block", "header_line")]
+            part = joined.where(here & below).select(*PLACE, text.alias("text"), *rest)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _rows(
+        self, lines: DataFrame, separators: list[str], profiles: list[SchemaProfile],
+        account: str | None, account_map: dict[str, str] | None, derive_account: bool,
+    ) -> DataFrame:
+        cells = for_separator(F.col("sep"), separators, lambda s: split_cells(F.col("text"), s))
+        # Blank lines are no rows; a row that is not whole is never good, whatever its first cells say.
+        rows = lines.where(F.trim("text") != "").withColumn("__split", cells)
+        odd = F.when(F.contains(F.regexp_replace("text", '"[^"]*"', ""), F.lit('"')), F.lit("unbalanced quote"))
+        rows = rows.withColumn("malformed", F.coalesce(odd, F.when(F.size("__split") < F.col("width"), F.lit("too few cells"))))
+        rows = rows.withColumn("__stem", file_stem(plain_path(F.col("source_file"))))
         if account is not None:
             label = F.lit(account)
         elif derive_account:
-            label = account_label(F.col("__stem"), F.lit(name))
+            label = account_label(F.col("__stem"), F.col("profile"))
         elif account_map:
             labels = self.spark.createDataFrame(list(account_map.items()), "__stem string, __label string")
             rows = rows.join(labels, "__stem", "left")
             label = F.coalesce("__label", "__stem")
         else:
             label = F.col("__stem")
-        rows = rows.withColumn("__account", label)
-        normal = normalise(
-            rows,
-            profile,
+        picked = F.struct(*[F.get("__split", F.col(f"columns.{role}") - 1).alias(role) for role in ROLES])
+        normal = normalise_cells(
+            rows.withColumns({"__account": label, "row_text": F.col("text")}),
+            profiles,
+            picked,
+            name=F.col("profile"),
             account=F.col("__account"),
             source_file=F.col("source_file"),
-            keep=["block_start", "line_no", "row_text", "malformed"],
+            keep=["block_start", "line_no", "row_text", "malformed", "profile"],
         )
-        # A row that is not whole is never good, whatever its first cells say.
         errors = F.array_compact(F.concat(F.array("malformed"), "errors"))
-        return normal.withColumn("errors", errors).drop("malformed").withColumn("profile", F.lit(name))
-
-
-def _decoded(uri: Column) -> Column:
-    """File metadata gives URIs; undo their escapes."""
-    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-
-
-def _plain_path(path: Column, encoded: bool = True) -> Column:
-    """A path without its scheme's slashes, so that file:/x and file:///x are one."""
-    return F.regexp_replace(_decoded(path) if encoded else path, "^file:/+", "/")
+        return normal.withColumn("errors", errors).drop("malformed")

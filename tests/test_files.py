@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallybook.sources.profiles import ProfileRegistry, SchemaProfile
+from tallybook.sources.profiles import Columns, FileFormat, Numbers, ProfileRegistry, SchemaProfile
 from tallybook.sources.statements import StatementReader
 
 
@@ -108,8 +108,8 @@ def test_duplicates_across_files_keep_the_first(reader, tmp_path):
 def test_own_profile(spark, tmp_path):
     registry = ProfileRegistry()
     registry.register_profile(SchemaProfile(
-        "acme", "When", "What", debit_col="Out", credit_col="In", csv_sep="|",
-        date_formats=["%d %m %Y"], abs_debits=True,
+        "acme", Columns("When", "What", outgoing="Out", incoming="In"), Numbers(unsigned_outgoing=True),
+        FileFormat("|"), dates=("%d %m %Y",),
     ))
     assert "acme" in registry.list_profiles()
     (tmp_path / "x.csv").write_text("When|What|Out|In\n01 02 2025|thing|-3.5|\n")

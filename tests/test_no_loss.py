@@ -5,7 +5,7 @@ import pytest
 from tallybook.operators import ranking
 from tallybook.operators.anomaly import AnomalyDetector
 from tallybook.operators.store import TransactionStore
-from tallybook.sources.profiles import ProfileRegistry, SchemaProfile
+from tallybook.sources.profiles import Columns, FileFormat, ProfileRegistry, SchemaProfile
 from tallybook.sources.statements import StatementReader
 from tallybook.streaming.inbox import InboxStream
 from tallybook.streaming.refit import Refit
@@ -53,7 +53,7 @@ def test_line_break_in_a_cell(spark, tmp_path):
     broken = StatementReader(spark).ingest(str(path))
     assert [r.raw_description for r in broken.good.collect()] == ["plain"] and broken.quarantine.count() == 2
     registry = ProfileRegistry()
-    registry.register_profile(SchemaProfile("quoted", amount_col="amount", multiline=True))
+    registry.register_profile(SchemaProfile("quoted", Columns(signed="amount"), file=FileFormat(multiline=True)))
     whole = StatementReader(spark, registry).ingest(str(path), profile="quoted").good.collect()
     assert sorted((r.raw_description, r.amount) for r in whole) == [('line one\nline, "two"', -1.5), ("plain", -2.0)]
 
@@ -80,7 +80,7 @@ def test_preamble_of_one_file_is_data_of_another(spark, tmp_path):
 @pytest.mark.parametrize("skip, sep, wide", [(25, ",", 0), (3, "#", 0), (0, ",", 9000)])
 def test_any_preamble_separator_and_header_length(spark, tmp_path, skip, sep, wide):
     registry = ProfileRegistry()
-    registry.register_profile(SchemaProfile("own", "day", "what", amount_col="sum", skiprows=skip, csv_sep=sep))
+    registry.register_profile(SchemaProfile("own", Columns("day", "what", "sum"), file=FileFormat(sep, preamble=skip)))
     more = [f"column{i}" for i in range(wide)]
     lines = ["note"] * skip + [sep.join(["day", "what", "sum", *more]), sep.join(["2025-01-01", "x", "-4", *["v"] * wide])]
     path = tmp_path / "own.csv"
@@ -91,7 +91,7 @@ def test_any_preamble_separator_and_header_length(spark, tmp_path, skip, sep, wi
 
 def test_profile_encoding(spark, tmp_path):
     registry = ProfileRegistry()
-    registry.register_profile(SchemaProfile("pl", amount_col="amount", encoding="iso-8859-2"))
+    registry.register_profile(SchemaProfile("pl", Columns(signed="amount"), file=FileFormat(encoding="iso-8859-2")))
     path = tmp_path / "pl.csv"
     path.write_bytes((HEADER + "2025-01-01,Łódź,-1\n").encode("iso-8859-2"))
     assert StatementReader(spark, registry).ingest(str(path), profile="pl").good.first().raw_description == "Łódź"
