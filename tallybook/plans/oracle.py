@@ -381,6 +381,18 @@ ORACLE: dict[str, str] = {
       from joint group by transaction_id""",
     "scan_csv_quoted": STMT + """select date, raw_description || chr(10) || '"' || currency || '", x' as raw_description,
         cast(printf('%.2f', amount) as double) as amount, 0 as n_errors from stmt""",
+    "scan_csv_records": STMT + """select date,
+        raw_description || chr(10) || '"' || currency || '", x' || chr(10) || chr(10) || 'end' as raw_description,
+        case when day(date) <> 13 then cast(printf('%.2f', amount) as double) end as amount,
+        case when day(date) = 13 then 'too few cells' end as reason from stmt""",
+    "scan_layouts": STMT + """select
+        ['generic', 'bnp', 'societe_generale', 'credit_agricole', 'revolut', 'n26', 'chase', 'bofa'][1 + length(raw_description) % 8] as profile,
+        date, raw_description, cast(printf('%.2f', amount) as double) as amount,
+        case when length(raw_description) % 8 in (0, 4) then upper(currency)
+          when length(raw_description) % 8 in (6, 7) then 'USD' else 'EUR' end as currency, 0 as n_errors from stmt""",
+    "scan_encodings": STMT + """select date,
+        raw_description || [' é€上', ' é', ' é€', ' é€上', ' é€上'][1 + length(raw_description) % 5] as raw_description,
+        cast(printf('%.2f', amount) as double) as amount, 0 as n_errors from stmt""",
     "merge_new_rows": TX + f"""select transaction_id, min(date) as date, min(amount) as amount, min(year) as year,
         case when min(date) <= date '{q.FIRST_LOAD_UNTIL}' then 'first' else 'second' end as load_id
       from tx group by transaction_id""",

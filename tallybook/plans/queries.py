@@ -329,6 +329,102 @@ def _(spark, sf):
     return rows.select("date", "raw_description", "amount", F.size("errors").alias("n_errors"))
 
 
+def _write_whole(rows: DataFrame, content: Column, folder: str, encoding: str | None = None) -> None:
+    """A file of its own for each row."""
+    writer = rows.select(content.cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
+    if encoding:  # its line end has two bytes
+        writer = writer.option("encoding", encoding).option("lineSep", "\n")
+    writer.text(folder)
+
+
+def _file_bodies(lines: DataFrame, per_file: int = 5000) -> DataFrame:
+    """Column ``body``: the lines of about ``per_file`` rows, joined. Keeps the column ``slot``."""
+    files = max(1, lines.count() // per_file)
+    part = F.pmod(F.xxhash64("line"), F.lit(files))
+    return lines.groupBy("slot", part.alias("part")).agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
+
+
+@query("scan_csv_records")
+def _(spark, sf):
+    """Quoted line breaks below a preamble with blank lines; rows of the 13th lack their amount."""
+    folder = _scratch(spark)
+    told = F.concat(F.lit('"'), "raw_description", F.lit('\n""'), "currency", F.lit('"", x\n\nend"'))
+    short = F.dayofmonth("date") == 13
+    line = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(","), told, F.when(short, "").otherwise(
+        F.concat(F.lit(","), F.format_string("%.2f", F.col("amount")))))
+    bodies = _file_bodies(statements(spark, sf).select(F.lit(0).alias("slot"), line.alias("line")), 20_000)
+    _write_whole(bodies, F.concat(F.lit("My bank\n\nnote, of the day\ndate,description,amount\n"), "body"), folder)
+    registry = ProfileRegistry()
+    registry.register_profile(SchemaProfile("quoted", Columns(signed="amount"), file=FileFormat(multiline=True)))
+    rows = StatementReader(spark, registry).ingest_directory(folder, profile="quoted", account="all", glob="*.txt").rows
+    reason = F.get("errors", F.lit(0))
+    return rows.select("date", "raw_description", F.when(reason.isNull(), F.col("amount")).alias("amount"), reason.alias("reason"))
+
+
+#: Layouts by slot: header, whether dates are month first, decimal comma, two money columns, currency column.
+LAYOUTS = {
+    "generic": "date,description,amount,category,currency", "bnp": "Date;Libellé;Débit;Crédit",
+    "societe_generale": "Date de comptabilisation;Libellé;Débit;Crédit", "credit_agricole": "Date;Libellé opération;Montant",
+    "revolut": "Type,Started Date,Description,Amount,Currency", "n26": "Date,Payee,Account number,Amount (EUR)",
+    "chase": "Transaction Date,Description,Category,Amount", "bofa": "Date,Description,Amount,Running Bal.",
+}
+
+
+def _layout_line(name: str) -> Column:
+    """A statement row as a line of a layout."""
+    def day(pattern: str) -> Column:
+        return F.date_format("date", pattern)
+
+    text_, plain = F.concat(F.lit('"'), "raw_description", F.lit('"')), F.format_string("%.2f", F.col("amount"))
+    comma, size = F.translate(plain, ".", ","), F.translate(F.format_string("%.2f", F.abs("amount")), ".", ",")
+    out, come = F.when(F.col("amount") < 0, size).otherwise(""), F.when(F.col("amount") < 0, "").otherwise(size)
+    blank = F.lit("")
+    cells = {
+        "generic": [day("yyyy-MM-dd"), text_, plain, blank, F.col("currency")],
+        "bnp": [day("dd/MM/yyyy"), text_, out, come], "societe_generale": [day("dd/MM/yyyy"), text_, out, come],
+        "credit_agricole": [day("dd/MM/yyyy"), text_, comma],
+        "revolut": [F.lit("CARD"), day("yyyy-MM-dd HH:mm:ss"), text_, plain, F.col("currency")],
+        "n26": [day("yyyy-MM-dd"), text_, blank, plain], "chase": [day("MM/dd/yyyy"), text_, F.lit("Sale"), plain],
+        "bofa": [day("MM/dd/yyyy"), text_, plain, blank],
+    }
+    return F.concat_ws(";" if ";" in LAYOUTS[name] else ",", *cells[name])
+
+
+@query("scan_layouts")
+def _(spark, sf):
+    """Files of every layout below preambles of 26 lines (6 where the layout has them), all read by one call."""
+    folder, names = _scratch(spark), list(LAYOUTS)
+    slot = F.length("raw_description") % len(names)
+    line = F.element_at(F.array(*map(_layout_line, names)), slot + 1)
+    heads = [("some note of the bank\n" * (6 if n == "bofa" else 26)) + LAYOUTS[n] + "\n" for n in names]
+    bodies = _file_bodies(statements(spark, sf).select(slot.alias("slot"), line.alias("line")))
+    _write_whole(bodies, F.concat(F.element_at(F.array(*map(F.lit, heads)), F.col("slot") + 1), "body"), folder)
+    rows = StatementReader(spark).ingest_directory(folder, account="all", glob="*.txt").rows
+    return rows.select("profile", "date", "raw_description", "amount", "currency", F.size("errors").alias("n_errors"))
+
+
+#: Encodings by slot: what a text ends in there, and the charset that Spark writes it in.
+ENCODINGS = [(" é€上", "UTF-8"), (" é", "ISO-8859-1"), (" é€", "ISO-8859-1"), (" é€上", "UTF-16LE"), (" é€上", "UTF-16BE")]
+
+
+@query("scan_encodings")
+def _(spark, sf):
+    """UTF-8, Latin-1, Windows-1252 and UTF-16 files of both orders, recognised by their bytes."""
+    folder = _scratch(spark)
+    rows = statements(spark, sf).withColumn("slot", F.length("raw_description") % len(ENCODINGS))
+    ending = F.element_at(F.array(*[F.lit(e) for e, _ in ENCODINGS]), F.col("slot") + 1)
+    rows = rows.withColumn("raw_description", F.concat("raw_description", ending))
+    bodies = _file_bodies(rows.select("slot", _layout_line("bnp").alias("line")))
+    for number, (_, charset) in enumerate(ENCODINGS):
+        wide = charset.startswith("UTF-16")
+        content = F.concat(F.lit("\ufeff" if wide else ""), F.lit(f"{LAYOUTS['bnp']}\n"), "body")
+        if charset == "ISO-8859-1":  # the euro sign of Windows-1252
+            content = F.translate(content, "€", "\x80")
+        _write_whole(bodies.where(F.col("slot") == number), F.encode(content, charset), f"{folder}/{number}", charset if wide else None)
+    rows = StatementReader(spark).ingest_directory(f"{folder}/*", account="all", glob="*.txt").rows
+    return rows.select("date", "raw_description", "amount", F.size("errors").alias("n_errors"))
+
+
 @query("multi_source_union")
 def _(spark, sf):
     folder = _scratch(spark)
