@@ -125,18 +125,16 @@ class AnomalyModel:
 
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            feature, cut, left, right, depth, levels = forest.value
-            trees = np.arange(feature.shape[0])
+            trees = forest.value
             for columns in batches:
                 x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+                cells, row_at = x.ravel(), np.arange(len(x)) * x.shape[1]
                 total = np.zeros(len(x))
-                for tree in trees:
-                    at = np.zeros(len(x), dtype=np.int32)
+                for feature, cut, first, depth, levels in trees:
+                    at = np.zeros(len(x), dtype=np.intp)
                     for _ in range(levels):
-                        split = feature[tree][at]
-                        below = x[np.arange(len(x)), np.maximum(split, 0)] <= cut[tree][at]
-                        at = np.where(below, left[tree][at], right[tree][at])
-                    total += depth[tree][at]
+                        at = first.take(at) + (cells.take(row_at + feature.take(at)) > cut.take(at))
+                    total += depth.take(at)
                 yield pd.Series(-np.exp2(-total / len(trees) / max(norm, 1e-9)))
 
         return features.select(*keep, score(*ANOMALY_FEATURES).alias("__score"))
@@ -146,6 +144,11 @@ class AnomalyModel:
         scored = self.raw_scores(tx)
         return self._finish(reliable_checkpoint(scored) if ranked else scored, ranked)
 
+    def flagged(self, scored: DataFrame, contamination: float) -> DataFrame:
+        """``raw_scores`` with the threshold set so that this share of them is flagged, and ranks."""
+        self.threshold = exact_quantile(scored, "__score", contamination)
+        return self._finish(scored)
+
     def _finish(self, scored: DataFrame, ranked: bool = True) -> DataFrame:
         value = F.col("__score") - F.lit(self.threshold)
         columns = [c for c in scored.columns if c != "__score"]
@@ -179,20 +182,32 @@ class AnomalyModel:
         return cls(nodes, figures, rows, threshold, stats, **kwargs)
 
 
-def _pack(nodes: pd.DataFrame) -> tuple:
-    """Node columns as (tree, node) arrays, plus the number of levels to walk."""
-    shape = (int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1)
-    at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
-
-    def grid(column: str, dtype: type) -> np.ndarray:
-        out = np.zeros(shape, dtype=dtype)
-        out[at] = nodes[column].to_numpy()
-        return out
+def _pack(nodes: pd.DataFrame) -> list[tuple]:
+    """Per tree: feature, cut, first child and depth by node, and the levels to walk.
 
-    return (
-        grid("feature", np.int32), grid("cut", float), grid("left", np.int32),
-        grid("right", np.int32), grid("depth", float), math.ceil(math.log2(SAMPLE_ROWS)),
-    )
+    Children get neighbouring numbers, so a step is the first child plus whether the value
+    is above the cut. A leaf is its own first child with a cut that no value exceeds, and
+    a NaN does not exceed any.
+    """
+    out = []
+    for _, tree in nodes.groupby("tree"):
+        rows = {int(r.node): r for r in tree.itertuples()}
+        order, place, level, levels = [0], {0: 0}, {0: 0}, 0
+        for node in order:
+            row = rows[node]
+            if row.feature >= 0:
+                for child in (int(row.left), int(row.right)):
+                    place[child], level[child] = len(order), level[node] + 1
+                    levels = max(levels, level[child])
+                    order.append(child)
+        split = [rows[n].feature >= 0 for n in order]
+        out.append((
+            np.array([max(int(rows[n].feature), 0) for n in order], dtype=np.intp),
+            np.array([rows[n].cut if s else np.inf for n, s in zip(order, split)]),
+            np.array([place[int(rows[n].left)] if s else place[n] for n, s in zip(order, split)], dtype=np.intp),
+            np.array([rows[n].depth for n in order]), levels,
+        ))
+    return out
 
 
 class AnomalyDetector:
@@ -218,8 +233,12 @@ class AnomalyDetector:
 
     def fit_predict(self, tx: DataFrame) -> DataFrame:
         """Fit on ``tx`` and score it; the rows are scored once."""
-        model, scored = self._fit(tx, keep_stats=False)
-        return model._finish(scored)
+        return self.fit_scored(tx)[1]
+
+    def fit_scored(self, tx: DataFrame, *, keep_stats: bool = False) -> tuple[AnomalyModel, DataFrame]:
+        """The model and its answer for the rows that it was fitted on."""
+        model, scored = self._fit(tx, keep_stats)
+        return model, model._finish(scored)
 
     def _fit(self, tx: DataFrame, keep_stats: bool) -> tuple[AnomalyModel, DataFrame]:
         # Read three times below (scaling, sampling, scoring), so stored once.

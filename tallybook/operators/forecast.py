@@ -59,19 +59,26 @@ def daily_series(totals: DataFrame, *keys: str) -> DataFrame:
 def linear_fit(totals: DataFrame, *keys: str) -> DataFrame:
     """Ridge regression (penalty 1 on the slope) of spend on the day index.
 
-    Closed form from sums. Days without spend add 0 to every sum of y, so the
-    gap-filled series is never built: its length is the span in days.
+    Closed form from moments. Days without spend are zeros, so the gap-filled series is never
+    built: its length is the span in days, and what the zeros change is added to the moments
+    of the days with spend. These are centred and merge pairwise, so large amounts or late
+    dates cost no digits.
     """
     y = F.col("y").cast("double")
-    day = F.unix_date("ds")
-    sums = totals.groupBy(*keys).agg(
+    day = F.unix_date("ds").cast("double")
+    known = totals.where(F.col("y").isNotNull())
+    sums = known.groupBy(*keys).agg(
         F.min("ds").alias("first_ds"),
         F.max("ds").alias("last_ds"),
+        F.count("*").alias("__days"),
         F.sum(y).alias("__y"),
-        F.sum(y * y).alias("__yy"),
-        F.sum(y * day).alias("__yd"),
+        F.avg(y).alias("__y_mean"),
+        F.avg(day).alias("__day_mean"),
+        F.regr_sxy(y, day).alias("__own_sxy"),
+        F.regr_syy(y, day).alias("__own_syy"),
     )
     n = (F.datediff("last_ds", "first_ds") + 1).cast("double")
+    middle = F.unix_date("first_ds") + (n - 1) / 2
     return (
         sums.filter(F.col("first_ds").isNotNull())
         .withColumn("n_days", (F.datediff("last_ds", "first_ds") + 1).cast("bigint"))
@@ -79,12 +86,16 @@ def linear_fit(totals: DataFrame, *keys: str) -> DataFrame:
         .withColumn("__sxx", n * (n * n - 1) / 12)
         .withColumn(
             "__sxy",
-            F.col("__yd") - F.unix_date("first_ds") * F.col("__y") - (n - 1) / 2 * F.col("__y"),
+            F.col("__own_sxy") + (F.col("__day_mean") - middle) * F.col("__y"),
         )
         .withColumn("slope", F.col("__sxy") / (F.col("__sxx") + 1))
         .withColumn("intercept", F.col("__mean") - F.col("slope") * (n - 1) / 2)
         .withColumn(
-            "spread", F.sqrt(F.greatest(F.lit(0.0), F.col("__yy") / n - F.pow("__mean", 2)))
+            "spread",
+            F.sqrt((
+                F.col("__own_syy") + F.col("__days") * F.pow(F.col("__y_mean") - F.col("__mean"), 2)
+                + (n - F.col("__days")) * F.pow("__mean", 2)
+            ) / n),
         )
         .select(*keys, "first_ds", "last_ds", "n_days", "slope", "intercept", "spread")
     )

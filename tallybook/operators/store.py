@@ -16,6 +16,7 @@ from tallybook.operators import reports
 from tallybook.operators.enrich import enrich
 from tallybook.operators.normalise import dedup_first
 from tallybook.schema import ENRICHED
+from tallybook.session import reliable_checkpoint
 from tallybook.sources.statements import StatementReader
 
 _STORED = T.StructType([*ENRICHED.fields, T.StructField("load_id", T.StringType())])
@@ -49,7 +50,8 @@ class TransactionStore:
         every year, so a replay leaves exactly its own rows.
         """
         load_id = load_id or uuid.uuid4().hex
-        incoming = enrich(canonical)
+        # Read for its years, for the new rows and again for a replay: computed once.
+        incoming = reliable_checkpoint(enrich(canonical))
         # The day is part of the id, so only stored rows of the same years can match.
         years = [r.year for r in incoming.select("year").distinct().collect()]
         own = (F.col("load_id") == load_id)

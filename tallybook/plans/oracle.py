@@ -294,6 +294,24 @@ _SIGNATURE_ROWS = ", ".join(
 _AMOUNT = "cast(printf('%.2f', abs(amount)) as double)"
 _SIGNED = "cast(printf('%.2f', amount) as double)"
 
+def _tree_depth(tree: int, node: int = 0) -> str:
+    """The depth that a row reaches in a tree of the fixed forest, as nested cases."""
+    if node >= 7:
+        return str(3 + (5 * tree + node) % 9 / 4)
+    column = (3 * tree + node) % 8
+    cut = [9.5, 0.5, 2.5, 11.5, 0.5, 1.05, 0.755, 6.5][column]
+    value = _FEATURE_NAMES[column] if column != 6 else f"round({_FEATURE_NAMES[column]}, 9)"
+    return f"case when {value} <= {cut} then {_tree_depth(tree, 2 * node + 1)} else {_tree_depth(tree, 2 * node + 2)} end"
+
+
+_FOREST = f"""walked as (
+    select transaction_id, -pow(2.0, -({" + ".join(f"cast({_tree_depth(t)} as double)" for t in range(7))}) / 7
+      / (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0)) as score from feats),
+  bounded as (select *, (select quantile_cont(score, 0.05) from walked) as threshold from walked),
+  judged as (select transaction_id, round(score - threshold, 4) as anomaly_score, score < threshold as anomaly_flag,
+    cast(rank() over (order by score) as bigint) as anomaly_rank from bounded)"""
+
+
 ORACLE: dict[str, str] = {
     "clean_description": TX + "select transaction_id, raw_description, description from tx",
     "transaction_id": TX + "select account, date, raw_description, amount, transaction_id from tx",
@@ -490,6 +508,14 @@ ORACLE: dict[str, str] = {
     + "select transaction_id, description, amount from scored where abs(z) > 1.5",
     "anomaly_features": _with(_TX, _REAL_CTE, _STATS.format(source="real_tx"), _FEATURES)
     + "select transaction_id, " + ", ".join(f"round({c}, 6) as {c}" for c in _FEATURE_NAMES) + " from feats",
+    "forest_scores": _with(_TX, _REAL_CTE, _STATS.format(source="real_tx"), _FEATURES, _FOREST)
+    + "select transaction_id, anomaly_score, anomaly_flag, anomaly_rank from judged",
+    "forest_top": _with(_TX, _REAL_CTE, _STATS.format(source="real_tx"), _FEATURES, _FOREST)
+    + """select anomaly_rank, date, description, amount, currency, tx_type, account, anomaly_score
+      from judged join real_tx using (transaction_id) where anomaly_flag order by anomaly_rank, transaction_id limit 20""",
+    "flagged_share": _with(_TX, _REAL_CTE, _STATS.format(source="real_tx"), _FEATURES, _FOREST)
+    + """select count(*) filter (anomaly_flag) as flagged, count(*) as scored,
+      avg(cast(anomaly_flag as double)) as share from judged""",
     "standardise": _with(_TX, _REAL_CTE, _STATS.format(source="real_tx"), _FEATURES)
     + "select transaction_id, " + ", ".join(
         f"round(({c} - avg({c}) over ()) / case when stddev_pop({c}) over () > 0 then stddev_pop({c}) over () else 1 end, 5) as {c}"

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from tallybook.plans.fixtures import (
     table,
     transactions,
 )
-from tallybook.session import shared_folder
+from tallybook.session import reliable_checkpoint, shared_folder
 from tallybook.sources.detect import match_profile, profile_by_filename
 from tallybook.sources.profiles import Columns, FileFormat, ProfileRegistry, SchemaProfile
 from tallybook.sources.statements import StatementReader
@@ -789,6 +790,44 @@ def _(spark, sf):
     return ranking.lowest_k(tx, 3, "amount", "transaction_id")
 
 
+# Fixed values shared with the SQL oracle: a forest of full trees of three levels, by rule.
+FOREST_TREES = 7
+FOREST_CUTS = [9.5, 0.5, 2.5, 11.5, 0.5, 1.05, 0.755, 6.5]
+
+
+def _fixed_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """All real rows scored by the fixed forest, flagged and ranked."""
+    nodes = []
+    for tree in range(FOREST_TREES):
+        for node in range(15):
+            leaf = node >= 7
+            column = (3 * tree + node) % len(FOREST_CUTS)
+            nodes.append((
+                tree, node, -1 if leaf else column, 0.0 if leaf else FOREST_CUTS[column],
+                node if leaf else 2 * node + 1, node if leaf else 2 * node + 2, 3 + (5 * tree + node) % 9 / 4 if leaf else 0.0,
+            ))
+    frame = pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
+    figures = {f"{c}_{part}": value for c in features.ANOMALY_FEATURES for part, value in (("mean", 0.0), ("std", 1.0))}
+    model = anomaly.AnomalyModel(frame, figures, anomaly.SAMPLE_ROWS, 0.0)
+    scored = reliable_checkpoint(model.raw_scores(reports.real(transactions(spark, sf))))
+    return model.flagged(scored, 0.05)
+
+
+@query("forest_scores")
+def _(spark, sf):
+    return _fixed_forest(spark, sf).select("transaction_id", "anomaly_score", "anomaly_flag", "anomaly_rank")
+
+
+@query("forest_top")
+def _(spark, sf):
+    return anomaly.top_anomalies(_fixed_forest(spark, sf), 20)
+
+
+@query("flagged_share")
+def _(spark, sf):
+    return anomaly.flagged_share(_fixed_forest(spark, sf))
+
+
 @query("anomaly_scores")
 def _(spark, sf):
     scored = anomaly.AnomalyDetector().fit_predict(reports.real(transactions(spark, sf)))

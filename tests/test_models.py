@@ -1,6 +1,7 @@
 """Ranks, features, forecasts, anomaly and category models against brute force."""
 
 import datetime as dt
+from fractions import Fraction
 import math
 from collections import Counter
 
@@ -80,6 +81,26 @@ def test_linear_forecast_recovers_a_line(spark):
         assert r.yhat_lower < r.yhat < r.yhat_upper
 
 
+def test_linear_fit_keeps_digits_of_large_amounts(spark):
+    """Amounts of 10^9 on late dates with gaps, against exact arithmetic."""
+    start = dt.date(2090, 1, 1)
+    days = {i: Fraction(10**9) + Fraction(i * i % 97, 128) for i in range(0, 700, 3)}
+    rows = [("a", start + dt.timedelta(i), float(y)) for i, y in days.items()]
+    fit = forecast.linear_fit(spark.createDataFrame(rows, "account string, ds date, y double"), "account").first()
+    n = max(days) + 1
+    mean, middle = sum(days.values()) / n, Fraction(n - 1, 2)
+    sxy = sum(y * (i - middle) for i, y in days.items())
+    sxx = sum((i - middle) ** 2 for i in range(n))
+    slope = sxy / (sxx + 1)
+    variance = sum((days.get(i, 0) - mean) ** 2 for i in range(n)) / n
+    assert fit.slope == pytest.approx(float(slope), rel=1e-12, abs=1e-9)
+    assert fit.intercept == pytest.approx(float(mean - slope * middle), rel=1e-13)
+    assert fit.spread == pytest.approx(float(variance) ** 0.5, rel=1e-12)
+    flat = [("a", start + dt.timedelta(i), 1e9 + (i % 2) / 1024) for i in range(400)]
+    fit = forecast.linear_fit(spark.createDataFrame(flat, "account string, ds date, y double"), "account").first()
+    assert fit.spread == pytest.approx(1 / 2048, rel=1e-5)
+
+
 def test_short_series_are_rejected(spark):
     totals = _series(spark, 13, lambda i: 1)
     fit = forecast.linear_fit(totals, "account")

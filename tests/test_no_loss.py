@@ -124,6 +124,31 @@ def test_refit_after_a_load(spark, tmp_path):
     stream = InboxStream(spark, str(tmp_path / "in"), TransactionStore(spark, str(tmp_path / "t")), str(tmp_path / "c"), on_new_rows=refit)
     stream.drain()
     assert not stream.hook_errors
-    assert sum(r.n_rows for r in refit.latest["categories"]) == stream.reports[0].inserted
-    assert refit.latest["lowest"][0].amount == -99999 and len(refit.latest["lowest"]) == 3
+    assert not refit.errors and len(refit.latest["lowest"]) == 3
+    assert refit.latest["lowest"][0].amount == -99999 and refit.latest["lowest"][0].anomaly_rank == 1
+    # Spend by hand: the rows of a merchant share its category, and salaries are no spend.
+    spent = {}
+    for i in range(80):
+        if i % 4 != 3:
+            spent[i % 4] = spent.get(i % 4, 0) - 10 - i % 7
+    spent[2] -= 99999
+    assert [r.spent for r in refit.latest["categories"]] == sorted(spent.values())
+    assert 0 < refit.latest["flagged"] < 81
     assert (tmp_path / "models" / "categories" / "terms").exists() and (tmp_path / "models" / "anomalies" / "nodes").exists()
+
+
+class _Broken:
+    def fit(self, rows):
+        raise RuntimeError("no model today")
+
+
+def test_one_failing_model_does_not_stop_the_other(spark, tmp_path):
+    lines = [f"2025-01-{1 + i % 28:02d},CB NETFLIX {i % 3},{-10 - i}" for i in range(40)]
+    lines += ["2025-02-01,Transfer to savings,-500"]  # internal: for the classifier, not for the detector
+    store = TransactionStore(spark, str(tmp_path / "t"))
+    store.load(canonical(spark, tmp_path, "rows", lines))
+    refit = Refit(str(tmp_path / "models"), classifier=_Broken(), detector=AnomalyDetector(n_estimators=10))
+    refit(store)
+    assert refit.errors == ["categories: no model today"]
+    assert refit.latest["flagged"] > 0 and "categories" not in refit.latest
+    assert all(r.description != "Transfer to savings" for r in refit.latest["lowest"])
