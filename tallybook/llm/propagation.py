@@ -1,10 +1,18 @@
 """Shards by balanced label propagation: linked documents move together, sizes stay even.
 
 Documents of one text are a unit, and all that propagation needs of a unit is how many of
-its rows each shard holds (a cell). A round counts votes per unit and shard - own rows,
-and by joins with the links those of neighbouring units - and sends the unit's other rows
-to its best shard that has room. Quotas decide how many rows each shard may take; the
-largest units go first, a row prefix of the last one fits. Rounds end when nothing moves.
+its rows each shard holds (a cell). Units are linked by the lines that they share. Such a
+link is not a pair: a line is a hub, a round adds up the cells of its units by shard, and
+one row of these sums goes back to each of them. A hub's vote is divided by its number of
+units, so a line of a third of all documents says next to nothing, and is neither dropped
+nor paired. Explicit links between documents may be given as well.
+
+A round counts votes per unit and shard - own rows, hubs and links - and sends the unit's
+other rows to its best shard that has room. Quotas decide how many rows each shard may
+take; the largest units go first, a row prefix of the last one fits. In every other round
+units go to their best shard of all, full or not, as many rows from one shard to another as
+come back. Rounds end when two in turn have neither gathered units nor lowered the weight
+of cut links by GAIN of what was reached before.
 Then rows of no unit fill the shards up, which makes the law exact: `rows` - the row
 counts of any two shards differ by one at most.
 
@@ -13,9 +21,10 @@ n_shards at most, so a group of any size is a few rows during the rounds, and it
 dealt out at the end by a running number in buckets (`running_total`).
 
 Cases: null texts are the empty text; a null doc_id is a row like any other; repeated rows
-each get a place; an empty table gives no rows; links that name unknown ids or the same
-unit twice play no part; columns to carry along are named by the caller, result names
-(shard, slot, size, text_crc32) replace columns of the same name.
+each get a place; an empty table gives no rows; lines of fewer than LINE_WORDS words link
+nothing; links that name unknown ids or the same unit twice play no part; columns to carry
+along are named by the caller, result names (shard, slot, size, text_crc32) replace columns
+of the same name.
 """
 
 from __future__ import annotations
@@ -25,9 +34,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import bucket_of, buckets_for, checkpointed, place, running_total, table, text_or_empty
+from tallybook.llm.common import bucket_of, buckets_for, checkpointed, join_facts, place, running_total, table, text_or_empty
+from tallybook.llm.line_frequency import line_hashes
 
 LAW = "rows"
+#: Words of a line from which it links the documents that hold it.
+LINE_WORDS = 5
+#: Votes of a row for the shard it is in, and of a shared line in all, by its units.
+OWN, SHARED = 1000, 8000
+#: What a round has to gain, as a share, to count as one that helped.
+GAIN = 0.05
 
 
 def _choice(columns: dict[int, Column | int], key: Column) -> Column:
@@ -35,22 +51,60 @@ def _choice(columns: dict[int, Column | int], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in columns.items() for x in pair])[key]
 
 
-def _votes(cells: DataFrame, links: DataFrame | None) -> DataFrame:
-    """(unit, shard, n, votes): own rows and what linked units hold there."""
-    own = cells.select("unit", "shard", "n", F.col("n").alias("votes"))
-    if links is None:
-        return own
-    theirs = links.join(cells.withColumnRenamed("unit", "other"), "other").select(
-        "unit", "shard", F.lit(0).cast("long").alias("n"), (F.col("weight") * F.col("n")).cast("long").alias("votes")
-    )
-    return own.union(theirs).groupBy("unit", "shard").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"))
+def shared_lines(docs: DataFrame) -> DataFrame:
+    """(unit, hub, units): the lines that a unit shares with others, and how many units hold each."""
+    text = text_or_empty()
+    long = F.filter(line_hashes(text), lambda x: x["words"] >= LINE_WORDS)
+    each = docs.select(F.md5(text.cast("binary")).alias("unit"), F.explode(F.array_distinct(F.transform(long, lambda x: x["h"]))).alias("hub"))
+    each = checkpointed(each.distinct())
+    sizes = each.groupBy("hub").agg(F.count("*").alias("units"), F.count("*").alias("rows")).where("units > 1")
+    found = join_facts(each, sizes, ["hub"], "rows", each.count())
+    return checkpointed(found.where("units is not null"))
+
+
+def _hub_sums(cells: DataFrame, members: DataFrame, n_shards: int) -> DataFrame:
+    """(hub, units, held): rows of the hub's units by shard."""
+    held = [F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)) for s in range(n_shards)]
+    by_unit = cells.groupBy("unit").agg(F.array(*held).alias("held"))
+    joined = members.join(by_unit, "unit")
+    sums = F.array(*[F.sum(F.get("held", F.lit(s))).cast("long") for s in range(n_shards)])
+    return joined.groupBy("hub", "units").agg(sums.alias("held"))
+
+
+def _weight() -> Column:
+    return F.greatest(F.lit(1), F.floor(F.lit(SHARED) / F.col("units"))).cast("long")
+
+
+def cut_weight(sums: DataFrame) -> int:
+    """The weight of cut links: rows of each hub outside its largest shard."""
+    rows = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x)
+    return sums.agg(F.sum(_weight() * (rows - F.array_max("held")))).first()[0] or 0
+
+
+def _votes(
+    cells: DataFrame, links: DataFrame | None, members: DataFrame | None = None, sums: DataFrame | None = None,
+    memberships: int = 0, n_shards: int = 0,
+) -> DataFrame:
+    """(unit, shard, n, votes): own rows, what linked units hold there, and what shared lines do."""
+    votes = cells.select("unit", "shard", "n", (F.col("n") * OWN).alias("votes"))
+    none = F.lit(0).cast("long").alias("n")
+    if links is not None:
+        theirs = links.join(cells.withColumnRenamed("unit", "other"), "other")
+        votes = votes.union(theirs.select("unit", "shard", none, (F.col("weight") * F.col("n") * OWN).cast("long").alias("votes")))
+    if members is not None:
+        facts = sums.select("hub", F.col("units").alias("_rows"), F.transform("held", lambda x: x * _weight()).alias("held"))
+        met = join_facts(members.select("unit", "hub"), facts, ["hub"], "_rows", memberships)
+        added = met.groupBy("unit").agg(F.array(*[F.sum(F.get("held", F.lit(s))) for s in range(n_shards)]).alias("held"))
+        each = added.select("unit", F.posexplode("held").alias("shard", "votes")).where("votes > 0")
+        votes = votes.union(each.select("unit", "shard", none, "votes"))
+    return votes.groupBy("unit", "shard").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"))
 
 
 def _wishes(votes: DataFrame, room: dict[int, int]) -> DataFrame:
     """(unit, shard, to, n, total): rows that a unit wants to move to its best open shard.
 
     Ties go by a hash, which differs by unit. Rows stay in a full shard with more votes
-    than the best open one, unless the whole unit fits there.
+    than the best open one, unless the unit is in several shards and fits there as a whole.
     """
     tie = F.xxhash64("unit", "shard")
     per_unit = votes.groupBy("unit").agg(
@@ -58,8 +112,9 @@ def _wishes(votes: DataFrame, room: dict[int, int]) -> DataFrame:
     )
     opened = F.filter("cells", lambda c: _choice(room, c["shard"]) > 0)
     best = per_unit.withColumn("best", F.array_max(opened)).where(F.col("best").isNotNull())
-    each = best.select("unit", "total", "best", F.inline("cells"))
-    fits = F.col("total") <= _choice(room, F.col("best.shard"))
+    parts = F.size(F.filter("cells", lambda c: c["n"] > 0))
+    each = best.select("unit", "total", "best", parts.alias("parts"), F.inline("cells"))
+    fits = (F.col("parts") > 1) & (F.col("total") <= _choice(room, F.col("best.shard")))
     moving = (F.col("n") > 0) & (F.col("shard") != F.col("best.shard")) & (
         (F.struct("votes", "tie", "shard", "n") < F.col("best")) | fits
     )
@@ -67,38 +122,60 @@ def _wishes(votes: DataFrame, room: dict[int, int]) -> DataFrame:
 
 
 def propagate(
-    cells: DataFrame, quotas: dict[int, int], links: DataFrame | None, rounds: int, rows_per_bucket: int
+    cells: DataFrame, quotas: dict[int, int], links: DataFrame | None, rows_per_bucket: int, members: DataFrame | None = None
 ) -> DataFrame:
-    """Cells (unit, shard, n) after the moves. The driver sees one number per shard and round."""
+    """Cells (unit, shard, n) after the moves. The driver sees a few numbers per shard and round."""
     cells = checkpointed(cells)
     spread = buckets_for(cells.count(), rows_per_bucket)
-    for _ in range(rounds):
-        held = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    memberships = members.count() if members is not None else 0
+    members = members if memberships else None
+    n_shards = len(quotas)
+    best_cut, best_gathered, idle, turn = None, -1, 0, 0
+    while True:
+        figures = cells.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("decimal(38,0)") * F.col("n")).alias("squares")).collect()
+        held = {r["shard"]: r["n"] for r in figures}
+        sums = checkpointed(_hub_sums(cells, members, n_shards)) if members is not None else None
+        cut = cut_weight(sums) if sums is not None else 0
+        gathered = sum(int(r["squares"]) for r in figures)
+        helped = best_cut is None or cut < best_cut * (1 - GAIN) or gathered > best_gathered * (1 + GAIN)
+        idle = 0 if helped else idle + 1
+        if idle == 2:  # neither kind of turn has helped
+            return cells
+        best_cut, best_gathered = cut if best_cut is None else min(cut, best_cut), max(gathered, best_gathered)
         room = {s: quota - held.get(s, 0) for s, quota in quotas.items()}
-        wishes = _wishes(_votes(cells, links), room).withColumn("_at", place(F.col("unit"), F.lit(3)))
+        votes = _votes(cells, links, members, sums, memberships, n_shards)
+        if turn % 2 == 0:  # into shards with room
+            wishes, keys, limit = _wishes(votes, room), ["to"], _choice(room, F.col("to"))
+        else:  # by exchange: as many rows from a to b as from b to a; a half of the units, so that linked ones do not swap places
+            wishes = _wishes(votes, dict.fromkeys(quotas, 1))
+            wishes = checkpointed(wishes.where(F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(2)) == 0))
+            flows = {(r["shard"], r["to"]): r["n"] for r in wishes.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
+            even = {a * n_shards + b: min(n, flows.get((b, a), 0)) for (a, b), n in flows.items()}
+            keys, limit = ["shard", "to"], _choice(even or {0: 0}, F.col("shard") * n_shards + F.col("to"))
+        turn += 1
+        wishes = wishes.withColumn("_at", place(F.col("unit"), F.lit(3)))
         size = F.floor(F.log2(F.col("total").cast("double"))).cast("long")
         # Larger units first, in classes of powers of two; within a class by hash.
         wishes = wishes.withColumn("_bucket", (F.lit(63) - size) * spread + bucket_of(F.col("_at"), spread))
-        queued = running_total(wishes, ["to"], "_bucket", ["_at", "unit", "shard"], F.col("n"), "_before")
-        taken = F.greatest(F.lit(0), F.least(F.col("n"), _choice(room, F.col("to")) - F.col("_before")))
+        queued = running_total(wishes, keys, "_bucket", ["_at", "unit", "shard"], F.col("n"), "_before")
+        taken = F.greatest(F.lit(0), F.least(F.col("n"), limit - F.col("_before")))
         moves = checkpointed(queued.withColumn("n", taken).where("n > 0").select("unit", "shard", "to", "n"))
-        if moves.isEmpty():
-            break
         out = moves.select("unit", "shard", (-F.col("n")).alias("n"))
         into = moves.select("unit", F.col("to").alias("shard"), "n")
         cells = checkpointed(
             cells.union(out).union(into).groupBy("unit", "shard").agg(F.sum("n").alias("n")).where("n > 0")
         )
-    return cells
 
 
 def shards(
     docs: DataFrame, n_shards: int = 24, links: DataFrame | None = None, carry: Sequence[str] = (),
-    order: Sequence[str] = (), rounds: int = 16, rows_per_bucket: int = 20_000,
+    order: Sequence[str] = (), by_lines: bool = True, rows_per_bucket: int = 20_000,
 ) -> DataFrame:
     """Every row of docs as doc_id, size, text_crc32, unit, shard, slot and the carried columns.
 
-    links: optional (doc_id, linked_id, weight) between documents of different texts.
+    links: optional (doc_id, linked_id, weight) between documents of different texts; weight is
+    that of a row of the linked unit against one of the own. by_lines: documents of different
+    texts are linked by the lines they share.
     order: columns of `carry` by which slots count up within a shard; a hash by default. Its
     first is a whole number that puts the rows into ranges, each small enough for a task.
     """
@@ -119,7 +196,10 @@ def shards(
     grouped = sizes.where("total > 1").select("unit")
     if links is not None:
         links, grouped = _unit_links(rows, links, grouped)
-    cells = propagate(start.join(grouped, "unit", "left_semi"), quotas, links, rounds, rows_per_bucket)
+    members = shared_lines(docs) if by_lines else None
+    if members is not None:
+        grouped = grouped.union(members.select("unit")).distinct()
+    cells = propagate(start.join(grouped, "unit", "left_semi"), quotas, links, rows_per_bucket, members)
 
     # Rows of a unit are equal, so a running number deals them to its cells.
     ends = cells.withColumn("_end", F.sum("n").over(Window.partitionBy("unit").orderBy("shard")))

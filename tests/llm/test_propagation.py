@@ -1,7 +1,11 @@
+import random
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
-from tallybook.llm.propagation import shards
+from pyspark.sql import functions as F
+
+from tallybook.llm.propagation import OWN, SHARED, _hub_sums, _votes, cut_weight, shared_lines, shards
 
 
 def check(rows, n, total):
@@ -63,3 +67,67 @@ def test_slots_follow_a_given_order(docs):
     for s in range(4):
         parts = [r.part for r in sorted((r for r in rows if r.shard == s), key=lambda r: r.slot)]
         assert parts == sorted(parts)
+
+
+def lines_of(text):
+    folded = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    found = (" ".join(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in folded.split("\n"))
+    return {x for x in found if x.count(" ") >= 4}
+
+
+def brute_votes(cells, texts, n_shards):
+    """Votes by pairs: every unit asks each unit that shares a line with it."""
+    holders = defaultdict(set)
+    for unit, text in texts.items():
+        for line in lines_of(text):
+            holders[line].add(unit)
+    votes = defaultdict(int)
+    for unit, shard, n in cells:
+        votes[unit, shard] += OWN * n
+    for units in holders.values():
+        if len(units) > 1:
+            weight = max(1, SHARED // len(units))
+            for unit in units:
+                for other, shard, n in cells:
+                    if other in units:
+                        votes[unit, shard] += weight * n
+    return {k: v for k, v in votes.items() if v}
+
+
+def linked_pairs(seed, n):
+    rnd = random.Random(seed)
+    shared = [f"Line {i} that some documents share with others" for i in range(n // 6)]
+    pairs = []
+    for i in range(n):
+        own = f"only document {i} has these words here"
+        lines = [own, *([shared[i // 6]] if i % 3 else []), *(["every third page has this line as well"] if i % 3 == 0 else []), "short line"]
+        rnd.shuffle(lines)
+        pairs.append((i, "\n".join(lines)))
+    return pairs
+
+
+def test_votes_of_shared_lines_equal_those_of_all_pairs(spark, docs):
+    pairs = linked_pairs(1, 60)
+    members = shared_lines(docs([*pairs, *pairs[:5]]))
+    key = {text: row.unit for text in dict(pairs).values() for row in [spark.range(1).select(F.md5(F.lit(text)).alias("unit")).first()]}
+    rnd = random.Random(2)
+    cells = [(key[text], shard, rnd.randrange(1, 4)) for _, text in pairs for shard in rnd.sample(range(4), rnd.randrange(1, 3))]
+    frame = spark.createDataFrame(cells, "unit string, shard int, n long")
+    sums = _hub_sums(frame, members, 4)
+    got = {(r.unit, r.shard): r.votes for r in _votes(frame, None, members, sums, members.count(), 4).collect() if r.votes}
+    assert got == brute_votes(cells, {key[t]: t for _, t in pairs}, 4)
+    assert cut_weight(sums) > 0
+
+
+def test_shared_lines_bring_documents_together(docs):
+    pairs = linked_pairs(3, 600)
+    table = docs(pairs)
+    alone, linked = (shards(table, 6, by_lines=by, rows_per_bucket=60).collect() for by in (False, True))
+    members = shared_lines(table)
+
+    def weight(rows):
+        check(rows, 6, 600)
+        cells = table.sparkSession.createDataFrame([(r.unit, r.shard, 1) for r in rows], "unit string, shard int, n long")
+        return cut_weight(_hub_sums(cells, members, 6))
+
+    assert weight(linked) < 0.7 * weight(alone)
