@@ -132,13 +132,15 @@ def char_ngrams(text: Column, sizes: tuple[int, ...] = NGRAM_SIZES) -> Column:
     return F.flatten(F.transform(padded, grams))
 
 
-def ngram_counts(tx: DataFrame) -> DataFrame:
+def ngram_counts(tx: DataFrame, weight: str | None = None) -> DataFrame:
     """Per term: occurrences and documents (rows), counted once per distinct text.
 
+    ``weight`` names a column of how many rows a row stands for.
+
     A text lists its terms with repeats and once more without; both lists go into
     one partial aggregate, so only per-task totals by term are shuffled.
     """
-    texts = tx.groupBy("description").agg(F.count("*").alias("__rows"))
+    texts = tx.groupBy("description").agg((F.sum(weight) if weight else F.count("*")).alias("__rows"))
     grams = F.col("__grams")
     every = F.transform(grams, lambda g: F.struct(g.alias("term"), F.lit(False).alias("once")))
     distinct = F.transform(
@@ -153,11 +155,11 @@ def ngram_counts(tx: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary(tx: DataFrame, size: int = 3000) -> DataFrame:
+def vocabulary(tx: DataFrame, size: int = 3000, weight: str | None = None) -> DataFrame:
     """The ``size`` most frequent terms with smooth inverse document frequency."""
-    documents = tx.agg(F.count("*")).scalar()
+    documents = tx.agg(F.coalesce(F.sum(weight), F.lit(0)) if weight else F.count("*")).scalar()
     return (
-        ngram_counts(tx)
+        ngram_counts(tx, weight)
         .orderBy(F.desc("occurrences"), "term")
         .limit(size)
         .withColumn("idf", F.log((1 + documents) / (1 + F.col("documents"))) + 1)

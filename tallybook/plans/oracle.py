@@ -208,6 +208,35 @@ terms as (
   group by term
 )"""
 
+def _margin(c: int) -> str:
+    """The fixed weights of a label: its terms' share, sums of the numeric columns, intercept."""
+    size, sign, day = [(0.3, -0.5, 0.05), (-0.2, 0.25, -0.1), (0.15, 1.0, 0.0), (-0.05, -0.75, 0.2)][c]
+    intercept = [0.5, -0.25, 0.0, 0.125][c]
+    return f"""coalesce(t{c}, 0.0) + cast({intercept} as double) + ln(1 + abs(amount)) * cast({size} as double)
+      + sign(amount) * cast({sign} as double) + day_of_week * cast({day} as double) as m{c}"""
+
+
+_MARGINS = f"""
+vocab as (
+  select term, idf, row_number() over (order by occurrences desc, term) - 1 as p
+  from (select *, ln((1 + (select count(*) from tx)) / (1 + documents)) + 1 as idf from terms)
+  qualify p < 3000
+),
+weighed as (
+  select description, p, (1 + ln(tf)) * idf as v
+  from (select description, term, count(*) as tf from grams group by description, term) join vocab using (term)
+),
+texts as (
+  select description, {", ".join(f"sum(v * ((7 * p + 13 * {c}) % 11 - 5) / 4.0) / sqrt(sum(v * v)) as t{c}" for c in range(4))}
+  from weighed group by description
+),
+margins as (
+  select transaction_id, description, amount, {", ".join(_margin(c) for c in range(4))}
+  from tx left join texts using (description)
+),
+topped as (select *, greatest(m0, m1, m2, m3) as top from margins),
+raised as (select *, {", ".join(f"exp(m{c} - top) as e{c}" for c in range(4))} from topped)"""
+
 # -- parsing fixtures --------------------------------------------------------
 
 _KIND = "(length(raw_description) + dayofyear(date)) % {n}"
@@ -532,6 +561,13 @@ ORACLE: dict[str, str] = {
       from terms order by occurrences desc, term limit 3000""",
     "clf_features": TX + """select transaction_id, round(ln(1 + abs(amount)), 8) as log_amount,
         cast(sign(amount) as double) as sign, cast(day_of_week as double) as weekday_f from tx""",
+    "weighted_categories": _with(_TX, _NGRAMS, _MARGINS) + """select transaction_id, description, amount,
+        case top when m0 then 'Courses' when m1 then 'Loyer' when m2 then 'Revenus' else 'Transport' end
+          as predicted_category from raised""",
+    "weighted_probabilities": _with(_TX, _NGRAMS, _MARGINS) + "select transaction_id, " + ", ".join(
+        f'round(e{c} / (e0 + e1 + e2 + e3), 6) as "{label}"'
+        for c, label in enumerate(("Courses", "Loyer", "Revenus", "Transport"))
+    ) + " from raised",
     "scalar_math": TX + """select transaction_id, abs(amount) as abs_amount, round(amount, 1) as rounded,
         round(ln(1 + abs(amount)), 8) as log_amount, cast(sign(amount) as double) as sign,
         least(50000.0, greatest(-50000.0, amount)) as clipped,

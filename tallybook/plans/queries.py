@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tallybook.functions import money, parsing, rules, text
 from tallybook.functions.sql import register_sql_functions
 from tallybook.operators import anomaly, features, forecast, normalise, ranking, reports, store
-from tallybook.operators.classify import TransactionClassifier
+from tallybook.operators.classify import CategoryModel, LinearWeights, TransactionClassifier
 from tallybook.operators.enrich import calendar_parts, with_rule_category
 from tallybook.plans.fixtures import (
     _pick,
@@ -859,6 +860,33 @@ def _(spark, sf):
     return tx.select("transaction_id", F.round("log_amount", 8).alias("log_amount"), "sign", "weekday_f")
 
 
+# Fixed values shared with the SQL oracle: weights by rule, of a term by its rank in the vocabulary.
+WEIGHT_LABELS = ["Courses", "Loyer", "Revenus", "Transport"]
+WEIGHT_NUMERIC = [[0.3, -0.5, 0.05], [-0.2, 0.25, -0.1], [0.15, 1.0, 0.0], [-0.05, -0.75, 0.2]]
+WEIGHT_INTERCEPTS = [0.5, -0.25, 0.0, 0.125]
+
+
+def _fixed_weights(spark: SparkSession, sf: str) -> tuple[CategoryModel, DataFrame]:
+    tx = transactions(spark, sf)
+    terms = features.vocabulary(tx).collect()
+    by_term = [[((7 * p + 13 * c) % 11 - 5) / 4 for p in range(len(terms))] for c in range(len(WEIGHT_LABELS))]
+    weights = LinearWeights(np.hstack([np.array(by_term), np.array(WEIGHT_NUMERIC)]), np.array(WEIGHT_INTERCEPTS))
+    return CategoryModel([r.term for r in terms], [r.idf for r in terms], WEIGHT_LABELS, weights), tx
+
+
+@query("weighted_categories")
+def _(spark, sf):
+    model, tx = _fixed_weights(spark, sf)
+    return model.predict(tx).select("transaction_id", "description", "amount", "predicted_category")
+
+
+@query("weighted_probabilities")
+def _(spark, sf):
+    model, tx = _fixed_weights(spark, sf)
+    shares = [F.round(F.col(c), 6).alias(c) for c in WEIGHT_LABELS]
+    return model.predict_proba(tx).select("transaction_id", *shares)
+
+
 @query("classify")
 def _(spark, sf):
     tagged = TransactionClassifier().fit_predict(transactions(spark, sf))

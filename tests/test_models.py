@@ -7,11 +7,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallybook.operators import features, forecast, ranking, reports
 from tallybook.operators.anomaly import AnomalyDetector, AnomalyModel, flagged_share, top_anomalies
-from tallybook.operators.classify import CategoryModel, TransactionClassifier
+from tallybook.operators.classify import CategoryModel, LinearWeights, TransactionClassifier
 from tallybook.operators.enrich import with_rule_category
 from tallybook.operators.skew import attach_group_stats
 from tallybook.plans.fixtures import transactions
@@ -219,6 +221,49 @@ def test_classifier(spark, tx, tmp_path):
     assert wrong.count() == 0
 
 
+def test_weights_of_counts_equal_all_rows(spark, tx):
+    """Equal rows are one training row with a count: the fit is that of MLlib on every row."""
+    few = reliable_checkpoint(tx.select("transaction_id", "description", F.round("amount", -2).alias("amount"), "day_of_week"))
+    model = TransactionClassifier(vocabulary_size=200, max_iter=60).fit(few)
+    labelled = with_rule_category(few, "label_name")
+    label = F.array_position(F.array(*[F.lit(c) for c in model.labels]), F.col("label_name")) - 1
+    rows = model.features(labelled.withColumn("label", label.cast("double")))
+    plain = LogisticRegression(maxIter=60, regParam=1e-4, family="multinomial").fit(rows.select("features", "label"))
+    proba = {r.transaction_id: list(r.p) for r in plain.transform(rows).select("transaction_id", vector_to_array("probability").alias("p")).collect()}
+    for row in model.predict_proba(few).collect():
+        assert list(row)[1:] == pytest.approx(proba[row[0]], abs=0.02)
+    # The same weights give what MLlib gives for them.
+    model.model = LinearWeights(plain.coefficientMatrix.toArray(), plain.interceptVector.toArray())
+    for row in model.predict_proba(few).collect():
+        assert list(row)[1:] == pytest.approx(proba[row[0]], abs=1e-9)
+
+
+def test_tree_ensembles(spark, tx, tmp_path):
+    some = reliable_checkpoint(tx.filter("pmod(xxhash64(transaction_id), 4) = 0"))
+    model = TransactionClassifier(vocabulary_size=40, trees=True, n_trees=3).fit(some)
+    proba = {r[0]: list(r)[1:] for r in model.predict_proba(some).collect()}
+    tagged = {r.transaction_id: r.predicted_category for r in model.predict(some).collect()}
+    for i, shares in proba.items():
+        assert sum(shares) == pytest.approx(1) and min(shares) > 0
+        assert shares[model.labels.index(tagged[i])] == pytest.approx(max(shares))
+    right = with_rule_category(model.predict(some)).agg(F.avg((F.col("rule_category") == F.col("predicted_category")).cast("double")))
+    assert right.first()[0] > 0.6
+    model.save(spark, str(tmp_path / "t"))
+    loaded = CategoryModel.load(spark, str(tmp_path / "t"), trees=True)
+    assert {r[0]: list(r)[1:] for r in loaded.predict_proba(some).collect()} == proba
+
+
+def test_texts_without_known_terms_and_one_label(spark):
+    columns = "transaction_id string, description string, amount double, day_of_week int"
+    df = spark.createDataFrame([("a", "netflix", -9.0, 1), ("b", "netflix", -9.0, 2)], columns)
+    model = TransactionClassifier(vocabulary_size=20).fit(df)
+    other = spark.createDataFrame([("c", "zz", -1.0, 0), ("d", "", 5.0, 0), ("e", None, 1.0, 0)], columns)
+    assert [(r.transaction_id, r.predicted_category) for r in model.predict(other).orderBy("transaction_id").collect()] == [
+        (i, model.labels[0]) for i in "cde"
+    ]
+    assert [r[1] for r in model.predict_proba(other).collect()] == [1.0] * 3
+
+
 def test_tfidf_weights(spark):
     texts = ["ab ab", "ab cd"]
     df = spark.createDataFrame(
