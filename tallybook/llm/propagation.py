@@ -34,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import bucket_of, buckets_for, checkpointed, join_facts, place, running_total, table, text_or_empty
+from tallybook.llm.common import HOT_SHARE, bucket_of, buckets_for, checkpointed, join_facts, place, running_total, table, text_or_empty
 from tallybook.llm.line_frequency import line_hashes
 
 LAW = "rows"
@@ -62,13 +62,13 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     return checkpointed(found.where("units is not null"))
 
 
-def _hub_sums(cells: DataFrame, members: DataFrame, n_shards: int) -> DataFrame:
-    """(hub, units, held): rows of the hub's units by shard."""
-    held = [F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)) for s in range(n_shards)]
-    by_unit = cells.groupBy("unit").agg(F.array(*held).alias("held"))
-    joined = members.join(by_unit, "unit")
-    sums = F.array(*[F.sum(F.get("held", F.lit(s))).cast("long") for s in range(n_shards)])
-    return joined.groupBy("hub", "units").agg(sums.alias("held"))
+def _hub_sums(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """(hub, units, held): rows of the hub's units in each shard that has any.
+
+    Sums are made by hub and shard, so only shards that hold something cost a row.
+    """
+    sums = members.join(cells.select("unit", "shard", "n"), "unit").groupBy("hub", "units", "shard").agg(F.sum("n").alias("n"))
+    return sums.groupBy("hub", "units").agg(F.collect_list(F.struct("shard", "n")).alias("held"))
 
 
 def _weight() -> Column:
@@ -77,26 +77,32 @@ def _weight() -> Column:
 
 def cut_weight(sums: DataFrame) -> int:
     """The weight of cut links: rows of each hub outside its largest shard."""
-    rows = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x)
-    return sums.agg(F.sum(_weight() * (rows - F.array_max("held")))).first()[0] or 0
+    rows = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return sums.agg(F.sum(_weight() * (rows - F.array_max("held.n")))).first()[0] or 0
 
 
 def _votes(
-    cells: DataFrame, links: DataFrame | None, members: DataFrame | None = None, sums: DataFrame | None = None,
-    memberships: int = 0, n_shards: int = 0,
+    cells: DataFrame, links: DataFrame | None, members: DataFrame | None = None, sums: DataFrame | None = None, memberships: int = 0
 ) -> DataFrame:
-    """(unit, shard, n, votes): own rows, what linked units hold there, and what shared lines do."""
+    """(unit, shard, n, votes): own rows, what linked units hold there, and what shared lines do.
+
+    Sums of hubs with more than 1/HOT_SHARE of the memberships - fewer than HOT_SHARE hubs -
+    are broadcast, so no task gets a hot hub and their memberships stay where they are.
+    """
     votes = cells.select("unit", "shard", "n", (F.col("n") * OWN).alias("votes"))
     none = F.lit(0).cast("long").alias("n")
     if links is not None:
         theirs = links.join(cells.withColumnRenamed("unit", "other"), "other")
         votes = votes.union(theirs.select("unit", "shard", none, (F.col("weight") * F.col("n") * OWN).cast("long").alias("votes")))
     if members is not None:
-        facts = sums.select("hub", F.col("units").alias("_rows"), F.transform("held", lambda x: x * _weight()).alias("held"))
-        met = join_facts(members.select("unit", "hub"), facts, ["hub"], "_rows", memberships)
-        added = met.groupBy("unit").agg(F.array(*[F.sum(F.get("held", F.lit(s))) for s in range(n_shards)]).alias("held"))
-        each = added.select("unit", F.posexplode("held").alias("shard", "votes")).where("votes > 0")
-        votes = votes.union(each.select("unit", "shard", none, "votes"))
+        hot = F.col("units") * HOT_SHARE > memberships
+        facts = sums.withColumn("held", F.transform("held", lambda x: F.struct(x["shard"].alias("shard"), (x["n"] * _weight()).alias("votes"))))
+        asked = [
+            members.where(hot).select("unit", "hub").join(F.broadcast(facts.where(hot)), "hub"),
+            members.where(~hot).select("unit", "hub").join(facts.where(~hot), "hub"),
+        ]
+        for met in asked:
+            votes = votes.union(met.select("unit", F.inline("held")).select("unit", "shard", none, "votes"))
     return votes.groupBy("unit", "shard").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"))
 
 
@@ -134,7 +140,7 @@ def propagate(
     while True:
         figures = cells.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("decimal(38,0)") * F.col("n")).alias("squares")).collect()
         held = {r["shard"]: r["n"] for r in figures}
-        sums = checkpointed(_hub_sums(cells, members, n_shards)) if members is not None else None
+        sums = checkpointed(_hub_sums(cells, members)) if members is not None else None
         cut = cut_weight(sums) if sums is not None else 0
         gathered = sum(int(r["squares"]) for r in figures)
         helped = best_cut is None or cut < best_cut * (1 - GAIN) or gathered > best_gathered * (1 + GAIN)
@@ -143,7 +149,7 @@ def propagate(
             return cells
         best_cut, best_gathered = cut if best_cut is None else min(cut, best_cut), max(gathered, best_gathered)
         room = {s: quota - held.get(s, 0) for s, quota in quotas.items()}
-        votes = _votes(cells, links, members, sums, memberships, n_shards)
+        votes = _votes(cells, links, members, sums, memberships)
         if turn % 2 == 0:  # into shards with room
             wishes, keys, limit = _wishes(votes, room), ["to"], _choice(room, F.col("to"))
         else:  # by exchange: as many rows from a to b as from b to a; a half of the units, so that linked ones do not swap places
@@ -199,7 +205,17 @@ def shards(
     members = shared_lines(docs) if by_lines else None
     if members is not None:
         grouped = grouped.union(members.select("unit")).distinct()
-    cells = propagate(start.join(grouped, "unit", "left_semi"), quotas, links, rows_per_bucket, members)
+    # In the rounds a unit is its number: short keys, and one number for one text.
+    spots = grouped.withColumn("_at", place(F.col("unit"))).withColumn("_bucket", bucket_of(F.col("_at"), spread))
+    numbered = checkpointed(running_total(spots, [], "_bucket", ["_at", "unit"], F.lit(1), "no").select("unit", "no"))
+    by_number = lambda df, name="unit": df.join(numbered.withColumnRenamed("unit", name), name).drop(name).withColumnRenamed("no", name)
+    cells = by_number(start)
+    if links is not None:
+        links = checkpointed(by_number(by_number(links), "other"))
+    if members is not None:
+        members = checkpointed(by_number(members))
+    cells = propagate(cells, quotas, links, rows_per_bucket, members)
+    cells = cells.withColumnRenamed("unit", "no").join(numbered, "no").drop("no")
 
     # Rows of a unit are equal, so a running number deals them to its cells.
     ends = cells.withColumn("_end", F.sum("n").over(Window.partitionBy("unit").orderBy("shard")))

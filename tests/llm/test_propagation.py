@@ -113,8 +113,8 @@ def test_votes_of_shared_lines_equal_those_of_all_pairs(spark, docs):
     rnd = random.Random(2)
     cells = [(key[text], shard, rnd.randrange(1, 4)) for _, text in pairs for shard in rnd.sample(range(4), rnd.randrange(1, 3))]
     frame = spark.createDataFrame(cells, "unit string, shard int, n long")
-    sums = _hub_sums(frame, members, 4)
-    got = {(r.unit, r.shard): r.votes for r in _votes(frame, None, members, sums, members.count(), 4).collect() if r.votes}
+    sums = _hub_sums(frame, members)
+    got = {(r.unit, r.shard): r.votes for r in _votes(frame, None, members, sums, members.count()).collect() if r.votes}
     assert got == brute_votes(cells, {key[t]: t for _, t in pairs}, 4)
     assert cut_weight(sums) > 0
 
@@ -128,6 +128,6 @@ def test_shared_lines_bring_documents_together(docs):
     def weight(rows):
         check(rows, 6, 600)
         cells = table.sparkSession.createDataFrame([(r.unit, r.shard, 1) for r in rows], "unit string, shard int, n long")
-        return cut_weight(_hub_sums(cells, members, 6))
+        return cut_weight(_hub_sums(cells, members))
 
     assert weight(linked) < 0.7 * weight(alone)
