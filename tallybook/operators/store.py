@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tallybook.operators import reports
 from tallybook.operators.enrich import enrich
 from tallybook.operators.normalise import dedup_first
-from tallybook.schema import ENRICHED
+from tallybook.schema import CANONICAL, ENRICHED, require_columns
 from tallybook.session import reliable_checkpoint
 from tallybook.sources.statements import StatementReader
 
@@ -51,18 +51,20 @@ class TransactionStore:
         """
         load_id = load_id or uuid.uuid4().hex
         # Read for its years, for the new rows and again for a replay: computed once.
-        incoming = reliable_checkpoint(enrich(canonical))
+        incoming = reliable_checkpoint(require_columns(canonical).select(*CANONICAL.names))
         # The day is part of the id, so only stored rows of the same years can match.
-        years = [r.year for r in incoming.select("year").distinct().collect()]
+        years = [r.year for r in incoming.select(F.year("date").alias("year")).distinct().collect()]
         own = (F.col("load_id") == load_id)
         before = [r.year for r in self.read(with_load_id=True).filter(own).select("year").distinct().collect()]
         stored = self.read(with_load_id=True).filter(F.col("year").isin(years) & ~own)
-        rows = new_rows(incoming, stored).withColumn("load_id", F.lit(load_id))
-        # Rebalancing gives each year few, evenly sized files and splits a large year.
+        # Derived columns come last: they are neither shuffled nor worked out for known rows.
+        rows = enrich(new_rows(incoming, stored)).withColumn("load_id", F.lit(load_id))
+        # Rows stay in the even partitions that the ids dealt them into: each writes a file for a
+        # year, and a further shuffle by year would move every new row again.
         (
-            rows.hint("rebalance", F.col("year"))
-            .write.mode("overwrite")
+            rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
             .partitionBy("year", "load_id")
             .parquet(self.path)
         )

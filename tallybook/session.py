@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,8 +14,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder, so later passes do not recompute it."""
+    """Store ``df`` in the shared folder, so later passes do not recompute it.
+
+    As Parquet: columns are compressed, and later passes read only those they need. An RDD
+    checkpoint writes and reads whole rows as they are in memory.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    folder = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
