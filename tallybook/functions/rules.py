@@ -115,10 +115,11 @@ def fold(text: Column) -> Column:
     Store the result in a column of its own (``withColumn``) before matching:
     every rule refers to it.
     """
-    return F.lower(F.translate(text, "İıſ\u212a", "iisk"))
+    wide = F.octet_length(text) != F.length(text)
+    return F.when(wide, F.lower(F.translate(text, "İıſ\u212a", "iisk"))).otherwise(F.lower(text))
 
 
-def _alternatives(pattern: str) -> list[str]:
+def alternatives(pattern: str) -> list[str]:
     """Split a regex at its outermost ``|``."""
     parts, depth, start, i = [], 0, 0, 0
     while i < len(pattern):
@@ -136,25 +137,29 @@ def _alternatives(pattern: str) -> list[str]:
     return [*parts, pattern[start:]]
 
 
-def _matches(folded: Column, alternative: str) -> Column:
-    """Plain substrings, prefixes and suffixes need no regex engine."""
+def plain_alternative(alternative: str) -> tuple[str, str]:
+    """(equals, startswith, endswith or contains, literal), or (regex, the alternative as it is)."""
     body = alternative.removesuffix(".*")
     at_start, at_end = body.startswith("^"), body.endswith("$")
     literal = body.removeprefix("^").removesuffix("$").replace("\\.", "\0")
     if not literal or _SPECIAL & set(literal):
-        return folded.rlike(_FLAGS + alternative)
+        return "regex", alternative
     literal = literal.replace("\0", ".").lower()
     if at_start and at_end:
-        return folded == literal
-    if at_start:
-        return folded.startswith(literal)
-    if at_end:
-        return folded.endswith(literal)
-    return folded.contains(literal)
+        return "equals", literal
+    return "startswith" if at_start else "endswith" if at_end else "contains", literal
+
+
+def _matches(folded: Column, alternative: str) -> Column:
+    """Plain substrings, prefixes and suffixes need no regex engine."""
+    kind, literal = plain_alternative(alternative)
+    if kind == "regex":
+        return folded.rlike(_FLAGS + alternative)
+    return folded == literal if kind == "equals" else getattr(folded, kind)(literal)
 
 
 def any_match(folded: Column, pattern: str) -> Column:
-    tests = [_matches(folded, a) for a in _alternatives(pattern)]
+    tests = [_matches(folded, a) for a in alternatives(pattern)]
     found = tests[0]
     for test in tests[1:]:
         found = found | test

@@ -14,6 +14,8 @@ from tallybook.functions.rules import (
     OTHER_CATEGORY,
     TYPE_RULES,
     Rule,
+    alternatives,
+    plain_alternative,
 )
 
 
@@ -21,11 +23,21 @@ def _quote(value: str) -> str:
     return "r'" + value.replace("'", "\\'") + "'"
 
 
+def _test(alternative: str) -> str:
+    """One alternative of a rule on the folded text ``f``; plain ones need no regex engine."""
+    kind, literal = plain_alternative(alternative)
+    if kind == "regex":
+        return f"f RLIKE {_quote('(?iud)' + alternative)}"
+    return f"f = {_quote(literal)}" if kind == "equals" else f"{kind}(f, {_quote(literal)})"
+
+
 def _cascade(column: str, rules: Sequence[Rule], otherwise: str) -> str:
+    """A CASE over the text, folded once for all rules."""
     whens = " ".join(
-        f"WHEN {column} RLIKE {_quote('(?iud)' + r.pattern)} THEN '{r.label}'" for r in rules
+        f"WHEN {' OR '.join(map(_test, alternatives(r.pattern)))} THEN '{r.label}'" for r in rules
     )
-    return f"CASE {whens} ELSE {otherwise} END"
+    folded = f"lower(translate({column}, 'İıſ\u212a', 'iisk'))"
+    return f"element_at(transform(array({folded}), f -> CASE {whens} ELSE {otherwise} END), 1)"
 
 
 def register_sql_functions(spark: SparkSession) -> None:
