@@ -242,9 +242,9 @@ def _(spark, sf):
 @query("dedup_first")
 def _(spark, sf):
     rows = canonical(spark, sf)
-    copies = [rows.withColumn("source_file", F.lit(name)) for name in ("b.csv", "a.csv", "c.csv")]
-    union = copies[0].unionByName(copies[1]).unionByName(copies[2])
-    return normalise.dedup_first(union, "source_file", "currency").select(
+    names = F.explode(F.array(*map(F.lit, ("b.csv", "a.csv", "c.csv"))))
+    copies = rows.drop("source_file").withColumn("source_file", names)
+    return normalise.dedup_first(copies, "source_file", "currency").select(
         "transaction_id", "source_file", "currency", "description", "amount"
     )
 
@@ -762,6 +762,8 @@ def _(spark, sf):
 @query("standardise")
 def _(spark, sf):
     tx = features.with_anomaly_features(reports.real(transactions(spark, sf)))
+    # Stored: the figures are one pass over it, the scaled rows another.
+    tx = reliable_checkpoint(tx.select("transaction_id", *features.ANOMALY_FEATURES))
     figures = features.scaling(tx, features.ANOMALY_FEATURES).first().asDict()
     scaled = features.standardise(tx, features.ANOMALY_FEATURES, figures)
     return scaled.select(
