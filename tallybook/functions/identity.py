@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _six_decimals(amount: Column) -> Column:
+    """The text that ``%.6f`` gives; by way of a decimal, which costs less, where it can hold the amount."""
+    plain = F.abs(amount).between(1e-6, 1e15)
+    return F.when(plain, amount.cast("decimal(22,6)").cast("string")).otherwise(F.format_string("%.6f", amount))
+
+
 def transaction_id(
     date: Column,
     raw_description: Column,
@@ -21,7 +27,7 @@ def transaction_id(
     parts = [
         date.cast("string"),
         F.lower(raw_description),
-        F.format_string("%.6f", amount),
+        _six_decimals(amount),
         account,
     ]
     if occurrence_no is not None:

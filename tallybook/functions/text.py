@@ -19,11 +19,13 @@ BANK_PREFIXES = (
 
 # (?U) makes \s Unicode-aware (no-break spaces); \x1c-\x1f also count as blank.
 _BLANK = r"[\s\x1c-\x1f]"
+# The same characters one by one.
+_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
     """Take Unicode white space off both ends (``trim`` only knows the space)."""
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 @F.arrow_udf(StringType())
