@@ -16,7 +16,7 @@ of cut links by GAIN of what was reached before.
 Then rows of no unit fill the shards up, which makes the law exact: `rows` - the row
 counts of any two shards differ by one at most.
 
-A unit above a shard's quota fills whole shards, one a round. Cells of a unit number
+A unit above a shard's quota is given whole shards before the first round. Cells of a unit number
 n_shards at most, so a group of any size is a few rows during the rounds, and its rows are
 dealt out at the end by a running number in buckets (`running_total`).
 
@@ -46,9 +46,13 @@ OWN, SHARED = 1000, 8000
 GAIN = 0.05
 
 
-def _choice(columns: dict[int, Column | int], key: Column) -> Column:
-    """The value of a small driver-side mapping (one entry per shard) at a key column."""
-    return F.create_map(*[F.lit(x) for pair in columns.items() for x in pair])[key]
+def _choice(values: dict[int, int], key: Column) -> Column:
+    """The value of a small driver-side mapping (one entry per shard, or pair of them) at a key column.
+
+    An array, as the optimiser makes a map of literals a CASE that works the key out for each branch.
+    """
+    known = [F.lit(values.get(i)).cast("long") for i in range(max(values) + 1)]
+    return F.get(F.array(*known), key.cast("int"))
 
 
 def shared_lines(docs: DataFrame) -> DataFrame:
@@ -127,11 +131,42 @@ def _wishes(votes: DataFrame, room: dict[int, int]) -> DataFrame:
     return each.where(moving).select("unit", "shard", F.col("best.shard").alias("to"), "n", "total")
 
 
+def _seated(cells: DataFrame, quotas: dict[int, int]) -> DataFrame:
+    """Cells in which units that fill a shard or more hold whole shards; other units start in the rest.
+
+    There are no more such units than shards, so the driver may deal them out.
+    """
+    cells = cells.select("unit", "shard", "n")
+    large = cells.groupBy("unit").agg(F.sum("n").alias("total")).where(F.col("total") >= max(1, *quotas.values())).select("unit")
+    held: dict = {}
+    for r in cells.join(F.broadcast(large), "unit").collect():
+        held.setdefault(r["unit"], {})[r["shard"]] = r["n"]
+    if not held:
+        return cells
+    room, seats = dict(quotas), []
+    for unit, at in sorted(held.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        left = sum(at.values())
+        for shard in sorted(room, key=lambda s: (-room[s], -at.get(s, 0), s)):
+            taken = min(left, room[shard])
+            if taken:
+                seats.append((unit, shard, taken))
+                room[shard], left = room[shard] - taken, left - taken
+    dealt = cells.sparkSession.createDataFrame(seats, cells.schema)
+    opened = [s for s in sorted(room) if room[s]]
+    if not opened:  # no row is left
+        return dealt
+    elsewhere = F.get(F.array(*map(F.lit, opened)), F.pmod(F.xxhash64("unit", "shard"), F.lit(len(opened))).cast("int"))
+    rest = cells.join(F.broadcast(large), "unit", "left_anti").withColumn(
+        "shard", F.when(F.col("shard").isin(opened), F.col("shard")).otherwise(elsewhere)
+    )
+    return dealt.union(rest.groupBy("unit", "shard").agg(F.sum("n").alias("n")))
+
+
 def propagate(
     cells: DataFrame, quotas: dict[int, int], links: DataFrame | None, rows_per_bucket: int, members: DataFrame | None = None
 ) -> DataFrame:
     """Cells (unit, shard, n) after the moves. The driver sees a few numbers per shard and round."""
-    cells = checkpointed(cells)
+    cells = checkpointed(_seated(checkpointed(cells), quotas))
     spread = buckets_for(cells.count(), rows_per_bucket)
     memberships = members.count() if members is not None else 0
     members = members if memberships else None
@@ -151,7 +186,7 @@ def propagate(
         room = {s: quota - held.get(s, 0) for s, quota in quotas.items()}
         votes = _votes(cells, links, members, sums, memberships)
         if turn % 2 == 0:  # into shards with room
-            wishes, keys, limit = _wishes(votes, room), ["to"], _choice(room, F.col("to"))
+            wishes, keys, limit = checkpointed(_wishes(votes, room)), ["to"], _choice(room, F.col("to"))
         else:  # by exchange: as many rows from a to b as from b to a; a half of the units, so that linked ones do not swap places
             wishes = _wishes(votes, dict.fromkeys(quotas, 1))
             wishes = checkpointed(wishes.where(F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(2)) == 0))

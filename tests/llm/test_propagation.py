@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tallybook.llm.propagation import OWN, SHARED, _hub_sums, _votes, cut_weight, shared_lines, shards
+from tallybook.llm.propagation import OWN, SHARED, _choice, _hub_sums, _seated, _votes, cut_weight, shared_lines, shards
 
 
 def check(rows, n, total):
@@ -131,3 +131,18 @@ def test_shared_lines_bring_documents_together(docs):
         return cut_weight(_hub_sums(cells, members))
 
     assert weight(linked) < 0.7 * weight(alone)
+
+
+def test_a_large_unit_fills_whole_shards(spark):
+    cells = spark.createDataFrame([(1, s, 30) for s in range(4)] + [(2, s, 5) for s in range(4)], "unit long, shard int, n long")
+    rows = _seated(cells, dict.fromkeys(range(4), 40)).collect()
+    assert sorted(r.n for r in rows if r.unit == 1) == [40, 40, 40]
+    assert {r.shard for r in rows if r.unit == 1}.isdisjoint(r.shard for r in rows if r.unit == 2)
+    assert sum(r.n for r in rows if r.unit == 2) == 20
+
+
+def test_choice_works_its_key_out_once(spark):
+    rows = spark.range(30).select(F.col("id").cast("int").alias("key"))
+    found = rows.select("key", _choice({i: 10 * i for i in range(24) if i != 7}, F.col("key")).alias("v"))
+    assert {r.key: r.v for r in found.collect()} == {i: 10 * i if i < 24 and i != 7 else None for i in range(30)}
+    assert "CASE" not in found._jdf.queryExecution().optimizedPlan().toString()
