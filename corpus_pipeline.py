@@ -48,13 +48,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each document; slots follow the order of the mixture. Links are copies only.
+    """Shard and slot of each document; slots follow the order of the mixture. Links are shared lines.
 
-    That order is the one of the stored files: their names count up, and so do the rows in them.
+    The stages before leave no copies to link. That order is the one of the stored files: their names count up, and so do the rows in them.
     """
     file = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"), F.lit(0))
     mixed = docs.withColumns({"file": file, "row": F.col("_metadata.row_index")})
-    found = shards(mixed, carry=["source", "lang", "file", "row"], order=["file", "row"], by_lines=False)
+    found = shards(mixed, carry=["source", "lang", "file", "row"], order=["file", "row"])
     return found.select("doc_id", "source", "lang", "size", "text_crc32", "shard", "slot")
 
 
