@@ -12,7 +12,7 @@ other rows to its best shard that has room. Quotas decide how many rows each sha
 take; the largest units go first, a row prefix of the last one fits. In every other round
 units go to their best shard of all, full or not, as many rows from one shard to another as
 come back. Rounds end when two in turn have neither gathered units nor lowered the weight
-of cut links by GAIN of what was reached before.
+of cut links, given ones and those by lines, by GAIN of what was reached before.
 Then rows of no unit fill the shards up, which makes the law exact: `rows` - the row
 counts of any two shards differ by one at most.
 
@@ -85,6 +85,13 @@ def cut_weight(sums: DataFrame) -> int:
     return sums.agg(F.sum(_weight() * (rows - F.array_max("held.n")))).first()[0] or 0
 
 
+def cut_links(cells: DataFrame, links: DataFrame) -> int:
+    """The weight of given links whose units have their largest cells in different shards, each way once."""
+    at = cells.groupBy("unit").agg(F.max_by("shard", F.struct("n", "shard")).alias("shard"))
+    ends = links.join(at, "unit").join(at.select(F.col("unit").alias("other"), F.col("shard").alias("there")), "other")
+    return ends.where("shard != there").agg(F.sum((F.col("weight") * OWN).cast("long"))).first()[0] or 0
+
+
 def _votes(
     cells: DataFrame, links: DataFrame | None, members: DataFrame | None = None, sums: DataFrame | None = None, memberships: int = 0
 ) -> DataFrame:
@@ -167,16 +174,21 @@ def propagate(
 ) -> DataFrame:
     """Cells (unit, shard, n) after the moves. The driver sees a few numbers per shard and round."""
     cells = checkpointed(_seated(checkpointed(cells), quotas))
-    spread = buckets_for(cells.count(), rows_per_bucket)
+    n_cells = cells.count()
+    spread = buckets_for(n_cells, rows_per_bucket)
     memberships = members.count() if members is not None else 0
-    members = members if memberships else None
+    # A round stores few rows: as many partitions as they fill, since each costs files in every shuffle after it.
+    parts = buckets_for(n_cells + memberships, rows_per_bucket)
+    stored = lambda df: checkpointed(df.coalesce(parts))
+    cells = cells.coalesce(parts)
+    members = members.coalesce(parts) if memberships else None
     n_shards = len(quotas)
     best_cut, best_gathered, idle, turn = None, -1, 0, 0
     while True:
         figures = cells.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("decimal(38,0)") * F.col("n")).alias("squares")).collect()
         held = {r["shard"]: r["n"] for r in figures}
-        sums = checkpointed(_hub_sums(cells, members)) if members is not None else None
-        cut = cut_weight(sums) if sums is not None else 0
+        sums = stored(_hub_sums(cells, members)) if members is not None else None
+        cut = (cut_weight(sums) if sums is not None else 0) + (cut_links(cells, links) if links is not None else 0)
         gathered = sum(int(r["squares"]) for r in figures)
         helped = best_cut is None or cut < best_cut * (1 - GAIN) or gathered > best_gathered * (1 + GAIN)
         idle = 0 if helped else idle + 1
@@ -186,10 +198,10 @@ def propagate(
         room = {s: quota - held.get(s, 0) for s, quota in quotas.items()}
         votes = _votes(cells, links, members, sums, memberships)
         if turn % 2 == 0:  # into shards with room
-            wishes, keys, limit = checkpointed(_wishes(votes, room)), ["to"], _choice(room, F.col("to"))
+            wishes, keys, limit = stored(_wishes(votes, room)), ["to"], _choice(room, F.col("to"))
         else:  # by exchange: as many rows from a to b as from b to a; a half of the units, so that linked ones do not swap places
             wishes = _wishes(votes, dict.fromkeys(quotas, 1))
-            wishes = checkpointed(wishes.where(F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(2)) == 0))
+            wishes = stored(wishes.where(F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(2)) == 0))
             flows = {(r["shard"], r["to"]): r["n"] for r in wishes.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
             even = {a * n_shards + b: min(n, flows.get((b, a), 0)) for (a, b), n in flows.items()}
             keys, limit = ["shard", "to"], _choice(even or {0: 0}, F.col("shard") * n_shards + F.col("to"))
@@ -200,10 +212,10 @@ def propagate(
         wishes = wishes.withColumn("_bucket", (F.lit(63) - size) * spread + bucket_of(F.col("_at"), spread))
         queued = running_total(wishes, keys, "_bucket", ["_at", "unit", "shard"], F.col("n"), "_before")
         taken = F.greatest(F.lit(0), F.least(F.col("n"), limit - F.col("_before")))
-        moves = checkpointed(queued.withColumn("n", taken).where("n > 0").select("unit", "shard", "to", "n"))
+        moves = stored(queued.withColumn("n", taken).where("n > 0").select("unit", "shard", "to", "n"))
         out = moves.select("unit", "shard", (-F.col("n")).alias("n"))
         into = moves.select("unit", F.col("to").alias("shard"), "n")
-        cells = checkpointed(
+        cells = stored(
             cells.union(out).union(into).groupBy("unit", "shard").agg(F.sum("n").alias("n")).where("n > 0")
         )
 

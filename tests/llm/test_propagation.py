@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tallybook.llm.propagation import OWN, SHARED, _choice, _hub_sums, _seated, _votes, cut_weight, shared_lines, shards
+from tallybook.llm.propagation import OWN, SHARED, _choice, _hub_sums, _seated, _votes, cut_links, cut_weight, shared_lines, shards
 
 
 def check(rows, n, total):
@@ -54,6 +54,12 @@ def test_links_pull_units_together(docs, frame):
     assert sum(at[4 * k] == at[4 * k + j] for k in range(50) for j in (1, 2, 3)) > 75  # 37 by chance
 
 
+def test_cut_links_weigh_links_between_shards(frame):
+    cells = frame([(1, 0, 3), (1, 1, 1), (2, 0, 1), (3, 1, 2)], "unit long, shard int, n long")
+    links = frame([(1, 2, 5), (2, 1, 5), (1, 3, 2), (3, 1, 2)], "unit long, other long, weight int")
+    assert cut_links(cells, links) == 2 * 2 * OWN
+
+
 def test_odd_rows(docs, odd_texts):
     table = docs([*odd_texts, (None, "x"), (None, None)]).withColumnRenamed("lang", "shard")
     rows = shards(table, 3, carry=["source", "shard"]).collect()
