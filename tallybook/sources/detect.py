@@ -65,7 +65,7 @@ def decoded(value: Column, encoding: str) -> Column:
         text = F.decode(value.cast("binary"), "ISO-8859-1")
         if codecs.lookup(encoding).name != "iso8859-1":
             text = F.translate(text, *_other_signs(encoding))
-    return F.translate(text, "﻿\r", "")
+    return F.replace(F.replace(text, F.lit("﻿"), F.lit("")), F.lit("\r"), F.lit(""))
 
 
 def separator(line: Column, known: Iterable[str] = ()) -> Column:
@@ -163,21 +163,26 @@ def _may_be_header(line: Column, profiles: Iterable[SchemaProfile]) -> Column:
 
 
 def survey(raw: DataFrame, profiles: list[SchemaProfile], encoding: str | None = None) -> DataFrame:
-    """(source_file, block_start, header, first, n, invalid, upper, start): bytes and header lines of blocks.
+    """(source_file, block_start, header, first, n, invalid, upper, wide): bytes and header lines of blocks.
 
     `header` is a line that may be one (null: all others), `first` the number of its first
-    place. Lines that repeat a header merge before the shuffle, so do all others.
+    place, `wide` which of UTF16 the first 64 bytes there are (null: neither). Lines that repeat a header merge before the shuffle, so do all others.
     """
     value = F.col("value")
     text = decoded(value, encoding) if encoding else F.when(F.is_valid_utf8(value), decoded(value, UTF8)).otherwise(decoded(value, "latin-1"))
     # In UTF-8 the bytes 80 to 9F stand inside signs; only in other files do they tell code pages apart.
     invalid = ~F.is_valid_utf8(value)
     upper = invalid & F.regexp_like(F.decode(value.cast("binary"), "ISO-8859-1"), F.lit("[\\x80-\\x9f]"))
-    lines = raw.select("source_file", "block_start", "line_no", "value", invalid.alias("invalid"), upper.alias("upper"), text.alias("text"))
+    # Kinds are told by a number, so that the aggregate hashes; text in it would sort all lines of a file.
+    raw_bytes = value.cast("binary")
+    marked = F.contains(value, F.lit("\x00")) | F.startswith(raw_bytes, F.lit(b"\xff\xfe")) | F.startswith(raw_bytes, F.lit(b"\xfe\xff"))
+    kind = F.when(marked, _utf16(F.substr(raw_bytes, F.lit(1), F.lit(64))))
+    number = F.when(kind == UTF16[0], 0).when(kind == UTF16[1], 1)
+    lines = raw.select("source_file", "block_start", "line_no", invalid.alias("invalid"), upper.alias("upper"), text.alias("text"), number.alias("wide"))
     header = F.when(_may_be_header(F.col("text"), profiles), F.col("text"))
     return lines.groupBy("source_file", "block_start", header.alias("header")).agg(
         F.min("line_no").alias("first"), F.count("*").alias("n"), F.count_if("invalid").alias("invalid"),
-        F.count_if("upper").alias("upper"), F.min_by(F.substr(value.cast("binary"), F.lit(1), F.lit(64)), "line_no").alias("start"),
+        F.count_if("upper").alias("upper"), F.min_by("wide", "line_no").alias("wide"),
     )
 
 
@@ -200,8 +205,9 @@ def _block_place(spec: str) -> Column:
 
 def file_encodings(blocks: DataFrame) -> DataFrame:
     """(source_file, utf16, utf8, upper): what the bytes of a whole file say."""
+    first = F.min_by("wide", _block_place("first"))
     return blocks.groupBy("source_file").agg(
-        _utf16(F.min_by("start", _block_place("first"))).alias("utf16"),
+        F.when(first == 0, UTF16[0]).when(first == 1, UTF16[1]).alias("utf16"),
         (F.sum("invalid") == 0).alias("utf8"), (F.sum("upper") > 0).alias("upper"),
     )
 

@@ -117,3 +117,16 @@ def test_own_profile(spark, tmp_path):
     assert _rows(result) == [("2025-02-01", "thing", -3.5, "EUR", "Uncategorized")]
     with pytest.raises(ValueError, match="no layout is called"):
         registry.get("nope")
+
+
+def test_survey_hashes_its_lines(spark, tmp_path):
+    from tallybook.sources.detect import raw_lines, survey
+    from tallybook.sources.profiles import ProfileRegistry
+
+    (tmp_path / "a.csv").write_bytes("date,description,amount\n2024-01-01,x,1\n".encode("utf-16-le"))
+    (tmp_path / "b.csv").write_bytes(b"\xfe\xff\x00d\n")
+    (tmp_path / "c.csv").write_bytes(b"date,description,amount\n")
+    found = survey(raw_lines(spark, [str(tmp_path)], "*.csv"), list(ProfileRegistry()))
+    first = {r.source_file[-5]: r.wide for r in found.orderBy("source_file", "first").collect()[::-1]}
+    assert first == {"a": 0, "b": 1, "c": None}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
