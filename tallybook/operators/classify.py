@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tallybook.operators import softmax
 from tallybook.operators.enrich import merchant_categories, with_rule_category
 from tallybook.operators.features import char_ngrams, vocabulary, with_numeric_features
 from tallybook.operators.skew import attach_group_stats
@@ -70,15 +71,21 @@ class CategoryModel:
         )
         return counted.withColumn("value", (1 + F.log("tf")) * F.col("idf"))
 
-    def features(self, tx: DataFrame, spread_by: str = "transaction_id") -> DataFrame:
-        """``features`` vector per row; the text part is built once per description."""
+    def _texts(self, tx: DataFrame) -> DataFrame:
+        """(description, __rows, positions, values): the text part of each distinct description."""
         pairs = F.sort_array(F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", "value"))))
         texts = self._weighed_terms(tx).groupBy("description").agg(
             F.first("__rows").alias("__rows"), pairs.alias("__pairs"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("__norm")
         )
-        vector = _sparse_vector(
-            len(self.terms), F.col("__pairs.position"), F.transform("__pairs.value", lambda v: v / F.col("__norm"))
+        return texts.select(
+            "description", "__rows", F.col("__pairs.position").alias("positions"),
+            F.transform("__pairs.value", lambda v: v / F.col("__norm")).alias("values"),
         )
+
+    def features(self, tx: DataFrame, spread_by: str = "transaction_id") -> DataFrame:
+        """``features`` vector per row; the text part is built once per description."""
+        texts = self._texts(tx)
+        vector = _sparse_vector(len(self.terms), F.col("positions"), F.col("values"))
         texts = texts.select("description", "__rows", vector.alias("__text"))
         rows = attach_group_stats(with_numeric_features(tx), texts, ["description"], "__rows", spread_by)
         assembler = VectorAssembler(inputCols=["__text", *NUMERIC], outputCol="features")
@@ -185,16 +192,12 @@ class TransactionClassifier:
         self.trees = trees
         self.n_trees = n_trees
 
-    def _estimator(self):
-        if not self.trees:
-            return LogisticRegression(
-                maxIter=self.max_iter, regParam=1e-4, family="multinomial", weightCol="weight"
-            )
+    def _ensembles(self, train: DataFrame) -> OneVsRestModel:
         boosted = GBTClassifier(
             maxIter=self.n_trees, maxDepth=5, stepSize=0.1,
             subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42,
         )
-        return OneVsRest(classifier=boosted, weightCol="weight")
+        return OneVsRest(classifier=boosted, weightCol="weight").fit(train)
 
     def fit(self, tx: DataFrame) -> CategoryModel:
         """Learn from all rows: equal ones are one training row with their count as its weight."""
@@ -208,15 +211,17 @@ class TransactionClassifier:
         labels = sorted(r[0] for r in rows.select("__label").distinct().collect())
         model = CategoryModel([r.term for r in terms], [r.idf for r in terms], labels, None)
         position = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("__label"))
-        train = model.features(rows.withColumn("label", (position - 1).cast("double")), spread_by="amount")
-        train = train.select("features", "label", F.col("weight").cast("double").alias("weight"))
-        fitted = self._estimator().fit(train)
+        rows = rows.withColumn("label", position - 1)
         if self.trees:
-            model.model = fitted
+            train = model.features(rows.withColumn("label", F.col("label").cast("double")), spread_by="amount")
+            model.model = self._ensembles(train.select("features", "label", F.col("weight").cast("double").alias("weight")))
         else:
-            # With one label alone there is nothing to weigh, and its intercept is infinite.
-            intercepts = fitted.interceptVector.toArray() if len(labels) > 1 else np.zeros(1)
-            model.model = LinearWeights(fitted.coefficientMatrix.toArray(), intercepts)
+            # Stored once: every round of the fit is a pass over the blocks.
+            figures = with_numeric_features(rows).select("description", "label", "weight", "amount", *NUMERIC)
+            table = reliable_checkpoint(softmax.blocks(figures, model._texts(rows), "description", NUMERIC, "amount"))
+            model.model = LinearWeights(*softmax.fit(
+                table, len(model.terms), len(NUMERIC), len(labels), max_iter=self.max_iter, penalty=1e-4
+            ))
         return model
 
     def fit_predict(self, tx: DataFrame, **kwargs) -> DataFrame:
