@@ -340,9 +340,10 @@ def _write_whole(rows: DataFrame, content: Column, folder: str, encoding: str |
 
 
 def _file_bodies(lines: DataFrame, per_file: int = 5000) -> DataFrame:
-    """Column ``body``: the lines of about ``per_file`` rows, joined. Keeps the column ``slot``."""
-    files = max(1, lines.count() // per_file)
-    part = F.pmod(F.xxhash64("line"), F.lit(files))
+    """Column ``body``: the lines of about ``per_file`` rows of one ``slot``, joined. Keeps the column ``slot``."""
+    rows = lines.groupBy("slot").agg(F.count("*").alias("n")).collect()  # one row a slot
+    files = F.coalesce(*[F.when(F.col("slot") == r.slot, F.lit(max(1, r.n // per_file))) for r in rows], F.lit(1))
+    part = F.pmod(F.xxhash64("line"), files)
     return lines.groupBy("slot", part.alias("part")).agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
 
 
