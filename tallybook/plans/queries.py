@@ -417,7 +417,9 @@ def _(spark, sf):
     rows = statements(spark, sf).withColumn("slot", F.length("raw_description") % len(ENCODINGS))
     ending = F.element_at(F.array(*[F.lit(e) for e, _ in ENCODINGS]), F.col("slot") + 1)
     rows = rows.withColumn("raw_description", F.concat("raw_description", ending))
-    bodies = _file_bodies(rows.select("slot", _layout_line("bnp").alias("line")))
+    # Stored once, a folder for each slot: every encoding is a write of its own.
+    _file_bodies(rows.select("slot", _layout_line("bnp").alias("line"))).write.partitionBy("slot").parquet(f"{folder}-bodies")
+    bodies = spark.read.schema("part long, body string, slot int").parquet(f"{folder}-bodies")
     for number, (_, charset) in enumerate(ENCODINGS):
         wide = charset.startswith("UTF-16")
         content = F.concat(F.lit("\ufeff" if wide else ""), F.lit(f"{LAYOUTS['bnp']}\n"), "body")

@@ -10,3 +10,17 @@ def test_bodies_hold_the_rows_asked_for_in_every_slot(spark):
     bodies = queries._file_bodies(lines, 500).select("slot", F.split("body", "\n").alias("lines")).collect()
     assert sorted(int(n) for b in bodies for n in b.lines) == list(range(8000))
     assert len(bodies) <= 16  # 1,000 rows a slot in two files each
+
+
+def test_encodings_work_out_their_bodies_once(spark, tmp_path, monkeypatch):
+    """Five writes of one encoding each must not compute the statements five times."""
+    wrote = []
+    plan = queries._write_whole
+
+    def write(rows, content, folder, encoding=None):
+        wrote.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        plan(rows, content, folder, encoding)
+
+    monkeypatch.setattr(queries, "_write_whole", write)
+    queries.QUERIES["scan_encodings"](spark, "/root/testdata/sf0.001")
+    assert len(wrote) == 5 and not any("Join" in w for w in wrote)
