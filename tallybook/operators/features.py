@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.money import exact
 from tallybook.operators.skew import attach_group_stats
+from tallybook.session import reliable_checkpoint
 
 ANOMALY_FEATURES = [
     "log_amount", "sign", "day_of_week_f", "hour_f", "is_weekend",
@@ -140,7 +141,15 @@ def ngram_counts(tx: DataFrame, weight: str | None = None) -> DataFrame:
     A text lists its terms with repeats and once more without; both lists go into
     one partial aggregate, so only per-task totals by term are shuffled.
     """
-    texts = tx.groupBy("description").agg((F.sum(weight) if weight else F.count("*")).alias("__rows"))
+    return _term_counts(_texts(tx, weight))
+
+
+def _texts(tx: DataFrame, weight: str | None) -> DataFrame:
+    """(description, __rows): each distinct text and how many rows have it."""
+    return tx.groupBy("description").agg((F.sum(weight) if weight else F.count("*")).alias("__rows"))
+
+
+def _term_counts(texts: DataFrame) -> DataFrame:
     grams = F.col("__grams")
     every = F.transform(grams, lambda g: F.struct(g.alias("term"), F.lit(False).alias("once")))
     distinct = F.transform(
@@ -157,9 +166,11 @@ def ngram_counts(tx: DataFrame, weight: str | None = None) -> DataFrame:
 
 def vocabulary(tx: DataFrame, size: int = 3000, weight: str | None = None) -> DataFrame:
     """The ``size`` most frequent terms with smooth inverse document frequency."""
-    documents = tx.agg(F.coalesce(F.sum(weight), F.lit(0)) if weight else F.count("*")).scalar()
+    # Stored: the number of documents is one pass over it, the terms another.
+    texts = reliable_checkpoint(_texts(tx, weight))
+    documents = texts.agg(F.coalesce(F.sum("__rows"), F.lit(0))).scalar()
     return (
-        ngram_counts(tx, weight)
+        _term_counts(texts)
         .orderBy(F.desc("occurrences"), "term")
         .limit(size)
         .withColumn("idf", F.log((1 + documents) / (1 + F.col("documents"))) + 1)

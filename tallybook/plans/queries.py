@@ -872,7 +872,8 @@ WEIGHT_INTERCEPTS = [0.5, -0.25, 0.0, 0.125]
 
 
 def _fixed_weights(spark: SparkSession, sf: str) -> tuple[CategoryModel, DataFrame]:
-    tx = transactions(spark, sf)
+    # Stored: its terms, its texts and its rows are a pass each.
+    tx = reliable_checkpoint(transactions(spark, sf).select("transaction_id", "description", "amount", "day_of_week"))
     terms = features.vocabulary(tx).collect()
     by_term = [[((7 * p + 13 * c) % 11 - 5) / 4 for p in range(len(terms))] for c in range(len(WEIGHT_LABELS))]
     weights = LinearWeights(np.hstack([np.array(by_term), np.array(WEIGHT_NUMERIC)]), np.array(WEIGHT_INTERCEPTS))

@@ -6,8 +6,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
-from tallybook.operators import softmax
+from tallybook.operators import features, softmax
 from tallybook.operators.classify import TransactionClassifier
+from tallybook.plans import queries
 
 TEXTS = {"a": ([0, 2], [0.6, 0.8]), "b": ([1], [1.0]), "c": ([0, 1, 2], [0.48, 0.6, 0.64]), "": ([], [])}
 
@@ -76,3 +77,12 @@ def test_fit_stores_no_vector_for_each_row(spark, monkeypatch):
 def test_amounts_without_a_value_are_an_error(spark):
     with pytest.raises(ValueError, match="not finite"):
         softmax.fit(_blocks(spark, [("a", 0, 1, float("nan"), 1.0), ("b", 1, 1, 1.0, 2.0)]), 3, 2, 2, max_iter=3, penalty=1e-4)
+
+
+def test_vocabulary_and_fixed_weights_work_out_their_table_once(spark):
+    tx = spark.range(20).select(F.concat(F.lit("ab "), F.col("id") % 3).alias("description"))
+    terms = features.vocabulary(tx, 50)
+    assert "Range (" not in terms._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.term: (r.occurrences, r.documents) for r in terms.collect()}[" a"] == (20, 20)
+    _, rows = queries._fixed_weights(spark, "/root/testdata/sf0.001")
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
