@@ -119,7 +119,15 @@ def normalise_cells(
             lambda p: parsing.parse_currency(cell["currency"], p.currency) if p.columns.currency else F.lit(p.currency),
         ),
         "__raw": raw,
-    }).withColumn("__clean", text.clean_description(F.col("__raw")))
+    })
+    # Exploded, so that each cell is parsed once: a filter on errors would otherwise be pushed below,
+    # and with it a copy of every parser for each place where it names a cell.
+    parsed = ["__date", "__money", "__currency", "__raw"]
+    staged = (
+        staged.withColumn("__parsed", F.struct(*parsed)).drop(*parsed)
+        .select("*", F.inline(F.array("__parsed"))).drop("__parsed")
+        .withColumn("__clean", text.clean_description(F.col("__raw")))
+    )
     no_text = F.col("__clean") == ""
     return staged.select(
         transaction_id(F.col("__date"), F.col("__raw"), F.col("__money.value"), account).alias("transaction_id"),

@@ -6,6 +6,8 @@ from tallybook.functions import identity, text
 from tallybook.functions.rules import fold
 from tallybook.functions.sql import register_sql_functions
 from tallybook.plans.queries import QUERIES
+from tallybook.sources.detect import SEPARATORS
+from tallybook.sources.statements import StatementReader
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +39,12 @@ def test_sql_rules_use_no_regex_for_plain_words(spark):
     assert {r.c for r in plan.collect()} == {"Alimentation"}
     shown = plan._jdf.queryExecution().optimizedPlan().toString()
     assert shown.lower().count("rlike") < 10
+
+
+def test_a_filter_on_errors_parses_no_cell_twice(spark, tmp_path):
+    """Pushed below the parsers, it would hold a copy of them for each place that names a cell."""
+    (tmp_path / "a.csv").write_text("date,description,amount\n2025-01-02,Shop,-1.00\n2025-01-02,Shop,-1.00\n2025-13-40,Shop,x\n")
+    good = StatementReader(spark).ingest(str(tmp_path / "a.csv"), account="a").good
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(SEPARATORS)
+    assert [(str(r.date), r.amount) for r in good.collect()] == [("2025-01-02", -1.0)]
