@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,15 +23,19 @@ from tallybook.operators.features import (
     standardise,
     with_anomaly_features,
 )
-from tallybook.operators.ranking import exact_quantile, min_rank
+from tallybook.operators.ranking import exact_quantile, lowest_k, min_rank
 from tallybook.session import reliable_checkpoint
 
 SAMPLE_ROWS = 256
+# Arrow batches scored at a time, and values of a feature up to which its comparisons are kept for a batch.
+BATCHES, FEW_VALUES = 8, 64
 _NODES = "tree int, node int, feature int, cut double, left int, right int, depth double"
 _TOP_COLUMNS = [
     "anomaly_rank", "date", "description", "amount",
     "currency", "tx_type", "account", "anomaly_score",
 ]
+# What the features are made of, besides the hour.
+_READ_COLUMNS = ["date", "description", "amount", "day_of_week", "month"]
 
 
 def _mean_depth(rows: np.ndarray | float) -> np.ndarray:
@@ -125,17 +130,11 @@ class AnomalyModel:
 
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            trees = forest.value
-            for columns in batches:
-                x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-                cells, row_at = x.ravel(), np.arange(len(x)) * x.shape[1]
-                total = np.zeros(len(x))
-                for feature, cut, first, depth, levels in trees:
-                    at = np.zeros(len(x), dtype=np.intp)
-                    for _ in range(levels):
-                        at = first.take(at) + (cells.take(row_at + feature.take(at)) > cut.take(at))
-                    total += depth.take(at)
-                yield pd.Series(-np.exp2(-total / len(trees) / max(norm, 1e-9)))
+            while some := list(islice(batches, BATCHES)):
+                x = np.concatenate([np.column_stack([c.to_numpy(dtype=float) for c in columns]) for columns in some])
+                values = -np.exp2(-_depths(x, forest.value) / len(forest.value[1]) / max(norm, 1e-9))
+                for part in np.split(values, np.cumsum([len(columns[0]) for columns in some])[:-1]):
+                    yield pd.Series(part)
 
         return features.select(*keep, score(*ANOMALY_FEATURES).alias("__score"))
 
@@ -161,6 +160,14 @@ class AnomalyModel:
             *([F.col("anomaly_rank")] if ranked else []),
         )
 
+    def top(self, scored: DataFrame, n: int = 20) -> DataFrame:
+        """``top_anomalies`` of ``raw_scores``. No other row is ranked: all rows with a lower score are among these."""
+        flagged = scored.filter(F.col("__score") - F.lit(self.threshold) < 0)
+        lowest = lowest_k(flagged, n, "__score", self.key)
+        # A window over n rows.
+        ranked = lowest.withColumn("anomaly_rank", F.rank().over(Window.orderBy("__score")).cast("bigint"))
+        return top_anomalies(self._finish(ranked, ranked=False), n)
+
     # -- storage -------------------------------------------------------------
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -182,32 +189,73 @@ class AnomalyModel:
         return cls(nodes, figures, rows, threshold, stats, **kwargs)
 
 
-def _pack(nodes: pd.DataFrame) -> list[tuple]:
-    """Per tree: feature, cut, first child and depth by node, and the levels to walk.
+def _pack(nodes: pd.DataFrame) -> tuple[list[np.ndarray], list[tuple]]:
+    """The cuts of each feature in order, and for each tree its splits from the top, its levels and leaf depths.
 
-    Children get neighbouring numbers, so a step is the first child plus whether the value
-    is above the cut. A leaf is its own first child with a cut that no value exceeds, and
-    a NaN does not exceed any.
+    A split is (node, feature, number of its cut, level, left, right); a child that is a leaf is
+    None. Depths stand at the code of the way to a leaf: the bit of a level is set where it goes right.
     """
-    out = []
+    inner = nodes[nodes["feature"] >= 0]
+    cuts = [np.unique(inner.loc[inner["feature"] == f, "cut"].to_numpy(dtype=float)) for f in range(len(ANOMALY_FEATURES))]
+    trees = []
     for _, tree in nodes.groupby("tree"):
         rows = {int(r.node): r for r in tree.itertuples()}
-        order, place, level, levels = [0], {0: 0}, {0: 0}, 0
-        for node in order:
+        splits, leaves, todo = [], {}, [(0, 0, 0)]
+        for node, level, code in todo:
             row = rows[node]
-            if row.feature >= 0:
-                for child in (int(row.left), int(row.right)):
-                    place[child], level[child] = len(order), level[node] + 1
-                    levels = max(levels, level[child])
-                    order.append(child)
-        split = [rows[n].feature >= 0 for n in order]
-        out.append((
-            np.array([max(int(rows[n].feature), 0) for n in order], dtype=np.intp),
-            np.array([rows[n].cut if s else np.inf for n, s in zip(order, split)]),
-            np.array([place[int(rows[n].left)] if s else place[n] for n, s in zip(order, split)], dtype=np.intp),
-            np.array([rows[n].depth for n in order]), levels,
-        ))
-    return out
+            f, left, right = int(row.feature), int(row.left), int(row.right)
+            if f < 0:
+                leaves[code] = row.depth
+                continue
+            todo += [(left, level + 1, code), (right, level + 1, code | 1 << level)]
+            further = [child if rows[child].feature >= 0 else None for child in (left, right)]
+            splits.append((node, f, int(np.searchsorted(cuts[f], row.cut)), level, *further))
+        levels = 1 + max((s[3] for s in splits), default=0)
+        depth = np.zeros(1 << levels)
+        depth[list(leaves)] = list(leaves.values())
+        trees.append((splits, levels, depth))
+    return cuts, trees
+
+
+def _depths(x: np.ndarray, forest: tuple[list[np.ndarray], list[tuple]]) -> np.ndarray:
+    """Sum over the trees of the depth that each row ends at.
+
+    Values become the number of cuts below them, so a split is one comparison of small numbers
+    for all rows; features of few values (weekday, sign) are compared once for all trees. A NaN
+    is above no cut.
+    """
+    cuts, trees = forest
+    codes, slots, known = [], [], {}
+    for f, marks in enumerate(cuts):
+        code = np.searchsorted(marks, x[:, f]).astype(np.int32)
+        code[np.isnan(x[:, f])] = 0
+        seen = np.unique(code)
+        codes.append(code.astype(np.int16) if len(marks) < 1 << 15 else code)
+        # Cuts between the same two values that occur give the same answer.
+        slots.append(np.searchsorted(seen, np.arange(len(marks)), side="right").tolist() if len(seen) <= FEW_VALUES else None)
+    total = np.zeros(len(x))
+    for splits, levels, depth in trees:
+        reach, taken = {}, [np.zeros(len(x), dtype=bool) for _ in range(levels)]
+        for node, f, cut, level, left, right in splits:
+            if slots[f] is None:
+                above = codes[f] > cut
+            else:
+                place = f, slots[f][cut]
+                above = known.get(place)
+                if above is None:
+                    above = known[place] = codes[f] > cut
+            here = reach.pop(node, None)  # None at the top: all rows
+            goes = above if here is None else here & above
+            if left is not None:
+                reach[left] = ~goes if here is None else here ^ goes
+            if right is not None:
+                reach[right] = goes
+            taken[level] |= goes
+        at = np.zeros(len(x), dtype=np.uint16)  # trees of SAMPLE_ROWS rows have 8 levels at most
+        for level, bits in enumerate(taken):
+            at += bits.astype(np.uint16) << level
+        total += depth.take(at)
+    return total
 
 
 class AnomalyDetector:
@@ -231,16 +279,26 @@ class AnomalyDetector:
     def fit(self, tx: DataFrame, *, keep_stats: bool = False) -> AnomalyModel:
         return self._fit(tx, keep_stats)[0]
 
-    def fit_predict(self, tx: DataFrame) -> DataFrame:
-        """Fit on ``tx`` and score it; the rows are scored once."""
-        return self.fit_scored(tx)[1]
+    def fit_predict(self, tx: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
+        """Fit on ``tx`` and score it; the rows are scored once. ``keep`` names the columns that stay (all)."""
+        model, scored = self._fit(tx, False, keep)
+        return model._finish(scored)
+
+    def fit_top(self, tx: DataFrame, n: int = 20) -> DataFrame:
+        """``top_anomalies`` of ``fit_predict``, of which only those rows are ranked."""
+        model, scored = self._fit(tx, False, [*dict.fromkeys([c for c in _TOP_COLUMNS if c in tx.columns] + [self.key])])
+        return model.top(scored, n)
 
     def fit_scored(self, tx: DataFrame, *, keep_stats: bool = False) -> tuple[AnomalyModel, DataFrame]:
         """The model and its answer for the rows that it was fitted on."""
         model, scored = self._fit(tx, keep_stats)
         return model, model._finish(scored)
 
-    def _fit(self, tx: DataFrame, keep_stats: bool) -> tuple[AnomalyModel, DataFrame]:
+    def _fit(self, tx: DataFrame, keep_stats: bool, keep: list[str] | None = None) -> tuple[AnomalyModel, DataFrame]:
+        keep = keep or tx.columns
+        read = [c for c in tx.columns if c in (*keep, *_READ_COLUMNS, self.hour_col, self.key)]
+        # The merchants' figures are a pass of their own, so what the rows take to work out is stored.
+        tx = reliable_checkpoint(tx.select(*read))
         # Read three times below (scaling, sampling, scoring), so stored once.
         features = reliable_checkpoint(
             _without_noise(with_anomaly_features(tx, hour_col=self.hour_col, spread_by=self.key))
@@ -275,7 +333,7 @@ class AnomalyDetector:
         model = AnomalyModel(
             nodes.toPandas(), figures, block, 0.0, None, self.hour_col, self.key
         )
-        scored = reliable_checkpoint(model._score(features, tx.columns))
+        scored = reliable_checkpoint(model._score(features, keep))
         model.threshold = exact_quantile(scored, "__score", self.contamination)
         if keep_stats:
             model.stats = merchant_stats(tx)

@@ -801,8 +801,8 @@ FOREST_TREES = 7
 FOREST_CUTS = [9.5, 0.5, 2.5, 11.5, 0.5, 1.05, 0.755, 6.5]
 
 
-def _fixed_forest(spark: SparkSession, sf: str) -> DataFrame:
-    """All real rows scored by the fixed forest, flagged and ranked."""
+def _fixed_forest(spark: SparkSession, sf: str) -> tuple[anomaly.AnomalyModel, DataFrame]:
+    """The fixed forest and all real rows scored by it."""
     nodes = []
     for tree in range(FOREST_TREES):
         for node in range(15):
@@ -815,35 +815,41 @@ def _fixed_forest(spark: SparkSession, sf: str) -> DataFrame:
     frame = pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
     figures = {f"{c}_{part}": value for c in features.ANOMALY_FEATURES for part, value in (("mean", 0.0), ("std", 1.0))}
     model = anomaly.AnomalyModel(frame, figures, anomaly.SAMPLE_ROWS, 0.0)
-    scored = reliable_checkpoint(model.raw_scores(reports.real(transactions(spark, sf))))
+    return model, reliable_checkpoint(model.raw_scores(reports.real(transactions(spark, sf))))
+
+
+def _flagged_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """All real rows scored by the fixed forest, flagged and ranked."""
+    model, scored = _fixed_forest(spark, sf)
     return model.flagged(scored, 0.05)
 
 
 @query("forest_scores")
 def _(spark, sf):
-    return _fixed_forest(spark, sf).select("transaction_id", "anomaly_score", "anomaly_flag", "anomaly_rank")
+    return _flagged_forest(spark, sf).select("transaction_id", "anomaly_score", "anomaly_flag", "anomaly_rank")
 
 
 @query("forest_top")
 def _(spark, sf):
-    return anomaly.top_anomalies(_fixed_forest(spark, sf), 20)
+    model, scored = _fixed_forest(spark, sf)
+    model.threshold = ranking.exact_quantile(scored, "__score", 0.05)
+    return model.top(scored, 20)
 
 
 @query("flagged_share")
 def _(spark, sf):
-    return anomaly.flagged_share(_fixed_forest(spark, sf))
+    return anomaly.flagged_share(_flagged_forest(spark, sf))
 
 
 @query("anomaly_scores")
 def _(spark, sf):
-    scored = anomaly.AnomalyDetector().fit_predict(reports.real(transactions(spark, sf)))
+    scored = anomaly.AnomalyDetector().fit_predict(reports.real(transactions(spark, sf)), keep=["transaction_id"])
     return scored.select("transaction_id", "anomaly_score", "anomaly_flag", "anomaly_rank")
 
 
 @query("top_anomalies")
 def _(spark, sf):
-    scored = anomaly.AnomalyDetector().fit_predict(reports.real(transactions(spark, sf)))
-    return anomaly.top_anomalies(scored, 20)
+    return anomaly.AnomalyDetector().fit_top(reports.real(transactions(spark, sf)), 20)
 
 
 # -- categories --------------------------------------------------------------

@@ -6,13 +6,14 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallybook.operators import features, forecast, ranking, reports
-from tallybook.operators.anomaly import AnomalyDetector, AnomalyModel, flagged_share, top_anomalies
+from tallybook.operators.anomaly import AnomalyDetector, AnomalyModel, _depths, _grow, _pack, flagged_share, top_anomalies
 from tallybook.operators.classify import CategoryModel, LinearWeights, TransactionClassifier
 from tallybook.operators.enrich import with_rule_category
 from tallybook.operators.skew import attach_group_stats
@@ -180,6 +181,52 @@ def test_scores_follow_the_trees(spark, tx):
         assert scores[row.transaction_id] == pytest.approx(-(2 ** (-depth / 10 / norm)))
 
 
+def test_packed_trees_equal_a_plain_walk():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(700, len(features.ANOMALY_FEATURES))), 1)
+    x[:, 1], x[:, 3] = np.sign(x[:, 1]), 0.0
+    names = ["tree", "node", "feature", "cut", "left", "right", "depth"]
+    grown = [(t, *n) for t in range(12) for n in _grow(x[t * 50:t * 50 + (256 if t else 1)], rng, 8)]
+    x[0, :], x[1, 0], x[2, 2] = np.nan, np.inf, -np.inf
+    x[3, 0] = next(n[3] for n in grown if n[2] == 0)  # a value equal to a cut goes left
+    nodes = {(n[0], n[1]): n for n in grown}
+    want = []
+    for row in x:
+        total = 0.0
+        for tree in range(12):
+            node = nodes[tree, 0]
+            while node[2] >= 0:
+                node = nodes[tree, node[5] if row[node[2]] > node[3] else node[4]]
+            total += node[6]
+        want.append(total)
+    assert _depths(x, _pack(pd.DataFrame(grown, columns=names))).tolist() == want
+
+
+def test_top_ranks_as_all_ranks_do(tx):
+    """Amounts by the hundred and one currency: many rows share a score."""
+    real = reports.real(tx).withColumns({"amount": F.round("amount", -4), "description": F.lit("shop")})
+    detector = AnomalyDetector(n_estimators=5)
+    scored = reliable_checkpoint(detector.fit_predict(real))
+    places = lambda df: [(r.anomaly_rank, r.anomaly_score) for r in df.collect()]
+    assert places(detector.fit_top(real, 40)) == places(top_anomalies(scored, 40))
+    assert len({rank for rank, _ in places(detector.fit_top(real, 40))}) < 40
+    every = detector.fit_top(real, 100_000).collect()
+    assert len(every) == scored.where("anomaly_flag").count()
+
+
+def test_a_fit_works_its_rows_out_once(spark, tx):
+    few = reliable_checkpoint(reports.real(tx).limit(300))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    AnomalyDetector(n_estimators=3).fit_predict(few.withColumn("description", told.asNondeterministic()("description")))
+    assert seen.value == 300
+
+
 def test_anomaly_model_is_repeatable_and_can_be_stored(spark, tx, tmp_path):
     real = reports.real(tx)
     detector = AnomalyDetector(n_estimators=40)
