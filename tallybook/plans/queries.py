@@ -270,7 +270,9 @@ def _(spark, sf):
 
 def _write_layouts(spark: SparkSession, sf: str, folder: str) -> None:
     """All statement rows as CSV files, one layout (and folder) per group of accounts."""
-    rows = statements(spark, sf).withColumn("slot", F.length(F.coalesce("account", F.lit(""))) % 3)
+    slot = F.length(F.coalesce("account", F.lit(""))) % 3
+    # Stored, so that the tables are joined once and not for each layout.
+    rows = reliable_checkpoint(statements(spark, sf).select("date", "raw_description", "amount", "currency", slot.alias("slot")))
     plain = F.format_string("%.2f", F.col("amount"))
     comma = F.translate(F.format_string("%.2f", F.abs("amount")), ".", ",")
     layouts = {

@@ -46,7 +46,9 @@ def split_cells(line: Column, sep: str) -> Column:
         F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) > 1),
         F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
     ).otherwise(c))
-    return F.when(F.contains(line, F.lit('"')), whole).otherwise(F.split(line, rf"\Q{sep}\E", -1))
+    # Java splits at an escaped sign without compiling a pattern for each row.
+    mark = f"\\{sep}" if len(sep) == 1 and not sep.isalnum() else rf"\Q{sep}\E"
+    return F.when(F.contains(line, F.lit('"')), whole).otherwise(F.split(line, mark, -1))
 
 
 def _ends_inside(line: Column, sep: str) -> tuple[Column, Column]:

@@ -7,6 +7,7 @@ from tallybook.functions.rules import fold
 from tallybook.functions.sql import register_sql_functions
 from tallybook.plans.queries import QUERIES
 from tallybook.sources.detect import SEPARATORS
+from tallybook.sources.records import split_cells
 from tallybook.sources.statements import StatementReader
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,12 @@ def test_a_filter_on_errors_parses_no_cell_twice(spark, tmp_path):
     plan = good._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == len(SEPARATORS)
     assert [(str(r.date), r.amount) for r in good.collect()] == [("2025-01-02", -1.0)]
+
+
+def test_cells_are_split_without_compiling_a_pattern(spark):
+    for sep in [*SEPARATORS, "^", "\\", "x", "::"]:
+        line = spark.createDataFrame([(f"a.b{sep}{sep} c|d;e,f\tg{sep}",)], "line string")
+        cells = line.select(split_cells(F.col("line"), sep).alias("cells"))
+        assert cells.first().cells == line.first().line.split(sep)
+        plan = cells._jdf.queryExecution().analyzed().toString()
+        assert ("split(line#" in plan) and (f", \\{sep}, -1)" in plan) == (sep not in ("x", "::"))
