@@ -11,7 +11,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import exact
@@ -44,14 +44,17 @@ def daily_totals(
 
 
 def daily_series(totals: DataFrame, *keys: str) -> DataFrame:
-    """Every day from first to last, 0 where nothing was spent."""
-    span = totals.groupBy(*keys).agg(F.min("ds").alias("__from"), F.max("ds").alias("__to"))
-    # Over no rows at all the bounds are NULL, and so there is no day to list.
-    days = F.explode(F.sequence("__from", "__to"))
-    spine = span.select(*keys, days.alias("ds"))
-    return spine.join(totals, [*keys, "ds"], "left").select(
-        *keys, "ds", F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y")
-    )
+    """Every day from first to last, 0 where nothing was spent.
+
+    Each day with spend lists the days up to the next one, so the totals are worked out once.
+    """
+    # At most one row per day and series reaches this window.
+    following = F.lead("ds").over(Window.partitionBy(*keys).orderBy("ds"))
+    until = F.greatest("ds", F.date_sub(following, 1))
+    spans = totals.filter(F.col("ds").isNotNull()).select(*keys, "ds", "y", until.alias("__until"))
+    days = spans.select(*keys, "y", F.posexplode(F.sequence("ds", "__until")).alias("__after", "ds"))
+    spent = F.when(F.col("__after") == 0, F.col("y").cast("double"))
+    return days.select(*keys, "ds", F.coalesce(spent, F.lit(0.0)).alias("y"))
 
 
 # -- linear model ------------------------------------------------------------

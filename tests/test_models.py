@@ -326,3 +326,13 @@ def test_tfidf_weights(spark):
         norm = math.sqrt(sum(v * v for v in raw.values()))
         for t, v in raw.items():
             assert row.features[model.terms.index(t)] == pytest.approx(v / norm)
+
+
+def test_series_of_repeated_blank_and_null_days(spark):
+    rows = [("a", dt.date(2024, 1, 1), 2.0), ("a", dt.date(2024, 1, 4), None), ("a", None, 9.0), (None, dt.date(2024, 2, 1), 3.0), ("b", dt.date(2024, 1, 2), 1.0), ("b", dt.date(2024, 1, 2), 4.0)]
+    series = forecast.daily_series(spark.createDataFrame(rows, "account string, ds date, y double"), "account")
+    found = sorted((r.account or "", r.ds.isoformat(), r.y) for r in series.collect())
+    assert found == [
+        ("", "2024-02-01", 3.0), ("a", "2024-01-01", 2.0), ("a", "2024-01-02", 0.0), ("a", "2024-01-03", 0.0),
+        ("a", "2024-01-04", 0.0), ("b", "2024-01-02", 1.0), ("b", "2024-01-02", 4.0),
+    ]

@@ -58,3 +58,11 @@ def test_cells_are_split_without_compiling_a_pattern(spark):
         assert cells.first().cells == line.first().line.split(sep)
         plan = cells._jdf.queryExecution().analyzed().toString()
         assert ("split(line#" in plan) and (f", \\{sep}, -1)" in plan) == (sep not in ("x", "::"))
+
+
+def test_a_filter_on_the_category_stays_above_the_rules(spark):
+    """Pushed below them, it would hold copies of the description's steps for each of their tests."""
+    frame = QUERIES["daily_series_excl"](spark, SF)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
+    assert plan.count("Relation") == 4  # and the series reads its totals once
