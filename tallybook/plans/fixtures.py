@@ -22,6 +22,7 @@ _MERCHANTS = [
     "CARREFOUR", "UBER EATS", "SNCF", "NETFLIX", "AMAZON MARKETPLACE",
     "PHARMACIE", "CINEMA UGC", "LOYER", "Frais bancaires", "EDF",
 ]
+_CURRENCIES = ["EUR", "usd"]
 
 
 #: Session setting: deal the rows of the fixture's main table out to so many partitions. Unset by
@@ -42,6 +43,12 @@ def _pick(number: Column, values: list[str]) -> Column:
     return chain.otherwise(F.lit(values[-1]))
 
 
+def _slot(number: Column, values: list[str]) -> Column:
+    """The place in ``values`` that ``_pick`` takes for a number."""
+    slot = (number % len(values)).cast("int")
+    return F.when(slot.between(0, len(values) - 2), slot).otherwise(len(values) - 1)
+
+
 def statements(spark: SparkSession, sf_dir: str, *, many_accounts: bool = False) -> DataFrame:
     """Raw rows: account, date, raw_description, amount, currency."""
     lineitem, part, orders, customer = (
@@ -57,21 +64,26 @@ def statements(spark: SparkSession, sf_dir: str, *, many_accounts: bool = False)
         else F.col("c_mktsegment")
     )
     price = F.col("l_extendedprice")
+    # What a line item gives goes through both shuffles as one small number, a day and an amount.
+    slots = (_slot(F.col("l_orderkey"), _VERBS), _slot(F.col("l_suppkey"), _MERCHANTS), _slot(F.col("l_linenumber"), _CURRENCIES))
+    code = (slots[0] * len(_MERCHANTS) + slots[1]) * len(_CURRENCIES) + slots[2]
+    lines = lineitem.select(
+        "l_orderkey", "l_partkey", F.col("l_shipdate").cast("date").alias("date"),
+        F.when(F.col("l_returnflag") == "R", price).otherwise(-price).alias("amount"), code.cast("smallint").alias("code"),
+    )
+    # The orders meet their customers first: a line item is shuffled for its order and its part only.
+    owners = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", account.alias("account"))
+    merchant, currency = F.floor(F.col("code") / len(_CURRENCIES)), F.col("code")
+    verb = F.floor(merchant / len(_MERCHANTS))
     return (
-        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            account.alias("account"),
-            F.col("l_shipdate").cast("date").alias("date"),
-            F.concat(
-                _pick(F.col("l_orderkey"), _VERBS),
-                _pick(F.col("l_suppkey"), _MERCHANTS),
-                F.lit(" "),
-                F.col("p_name"),
-            ).alias("raw_description"),
-            F.when(F.col("l_returnflag") == "R", price).otherwise(-price).alias("amount"),
-            _pick(F.col("l_linenumber"), ["EUR", "usd"]).alias("currency"),
+            "account",
+            "date",
+            F.concat(_pick(verb, _VERBS), _pick(merchant, _MERCHANTS), F.lit(" "), F.col("p_name")).alias("raw_description"),
+            "amount",
+            _pick(currency, _CURRENCIES).alias("currency"),
         )
     )
 

@@ -23,7 +23,7 @@ from tallybook.plans.fixtures import (
     table,
     transactions,
 )
-from tallybook.session import reliable_checkpoint, shared_folder
+from tallybook.session import passing_copy, reliable_checkpoint, shared_folder
 from tallybook.sources.detect import match_profile, profile_by_filename
 from tallybook.sources.profiles import Columns, FileFormat, ProfileRegistry, SchemaProfile
 from tallybook.sources.statements import StatementReader
@@ -271,8 +271,7 @@ def _(spark, sf):
 def _write_layouts(spark: SparkSession, sf: str, folder: str) -> None:
     """All statement rows as CSV files, one layout (and folder) per group of accounts."""
     slot = F.length(F.coalesce("account", F.lit(""))) % 3
-    # Stored, so that the tables are joined once and not for each layout.
-    rows = reliable_checkpoint(statements(spark, sf).select("date", "raw_description", "amount", "currency", slot.alias("slot")))
+    rows = statements(spark, sf).select("date", "raw_description", "amount", "currency", slot.alias("slot"))
     plain = F.format_string("%.2f", F.col("amount"))
     comma = F.translate(F.format_string("%.2f", F.abs("amount")), ".", ",")
     layouts = {
@@ -294,11 +293,13 @@ def _write_layouts(spark: SparkSession, sf: str, folder: str) -> None:
             F.lit("Sale").alias("Category"), plain.alias("Amount"),
         ]),
     }
-    for name, (slot, sep, columns) in layouts.items():
-        (
-            rows.filter(F.col("slot") == slot).select(*columns)
-            .write.option("header", True).option("sep", sep).csv(f"{folder}/{name}")
-        )
+    # A copy, so that the tables are joined once and not for each layout; gone when the files are there.
+    with passing_copy(rows) as rows:
+        for name, (slot, sep, columns) in layouts.items():
+            (
+                rows.filter(F.col("slot") == slot).select(*columns)
+                .write.option("header", True).option("sep", sep).csv(f"{folder}/{name}")
+            )
 
 
 @query("scan_csv")
@@ -321,12 +322,13 @@ def _(spark, sf):
     """Cells with line breaks, separators and quotes in them, written and read back."""
     folder = _scratch(spark)
     told = F.concat("raw_description", F.lit('\n"'), "currency", F.lit('", x'))
-    (
-        statements(spark, sf)
-        .select(F.date_format("date", "yyyy-MM-dd").alias("date"), told.alias("description"),
-                F.format_string("%.2f", F.col("amount")).alias("amount"))
-        .write.option("header", True).option("escape", '"').csv(folder)
-    )
+    # A copy, so that the files do not lie beside what the joins of the tables shuffled.
+    with passing_copy(statements(spark, sf).select("date", "raw_description", "amount", "currency")) as rows:
+        (
+            rows.select(F.date_format("date", "yyyy-MM-dd").alias("date"), told.alias("description"),
+                        F.format_string("%.2f", F.col("amount")).alias("amount"))
+            .write.option("header", True).option("escape", '"').csv(folder)
+        )
     registry = ProfileRegistry()
     registry.register_profile(SchemaProfile("quoted", Columns(signed="amount"), file=FileFormat(multiline=True)))
     rows = StatementReader(spark, registry).ingest_directory(folder, profile="quoted", account="all").rows

@@ -3,9 +3,10 @@
 A line break inside a quoted cell does not end a record, and whether a line stands inside
 quotes depends on all lines before it. So every line is a function of two states (outside
 or inside quotes at its start) to the state at its end. Such functions compose: within a
-block by running windows, then over the blocks of a file, of which there are few. That
-tells each line's state, however a file was split, and no task reads a whole file. Only
-records of several lines are shuffled again, to be put together.
+block as its task reads it in order, then over the blocks of a file, of which there are few.
+That tells each line's state, however a file was split, and no task reads a whole file. The
+records inside a block are put together where they are read; only those that go from one
+block to the next are shuffled.
 
 A quote that is never closed would take in the rest of its file. Its lines are records of
 their own instead; the first of them is malformed.
@@ -14,10 +15,17 @@ their own instead; the first of them is malformed.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybook.session import reliable_checkpoint
+
 #: Columns that place a line: its file, the split it is from, and a number that counts up within that.
 PLACE = ["source_file", "block_start", "line_no"]
 
@@ -80,50 +88,152 @@ def _run(partition: list[str], order: str, from_out: str, from_in: str, mark: st
     return add
 
 
-def assemble(lines: DataFrame, separators: list[str]) -> DataFrame:
-    """Records of lines (PLACE, text, sep, carried columns of the file), `text` with its line breaks."""
+def _states(out: np.ndarray, inside: np.ndarray, start: bool) -> tuple[np.ndarray, bool]:
+    """Whether each line starts inside quotes, if the first does as told; and how the last one ends."""
+    turns = np.cumsum(out & ~inside)
+    known = np.maximum.accumulate(np.where(out == inside, np.arange(len(out)), -1))
+    known = np.concatenate([[-1], known[:-1]])
+    turned = np.concatenate([[0], turns[:-1]]) - np.where(known >= 0, turns[known], 0)
+    state = np.where(known >= 0, out[known], start) != (turned % 2 == 1)
+    return state, bool((inside if state[-1] else out)[-1])
+
+
+def _runs(batch: pa.RecordBatch) -> list[tuple[tuple, int, int]]:
+    """(file and block, from, to) of the stretches of a batch."""
+    files, blocks = batch.column("source_file"), batch.column("block_start")
+    other = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(blocks[1:], blocks[:-1])).to_numpy(zero_copy_only=False)
+    bounds = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+    return [((files[a].as_py(), blocks[a].as_py()), a, b) for a, b in pairwise(bounds)]
+
+
+def _flags(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False).astype(bool) for n in names]
+
+
+_BLOCKS = (
+    "source_file string, block_start bigint, __out boolean, __in boolean, "
+    "__first_out bigint, __first_in bigint, __last_out bigint, __last_in bigint"
+)
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of lines in order: its end and its first and last start of a record, from either state."""
+    names = ["source_file", "block_start", "__out", "__in", "__first_out", "__first_in", "__last_out", "__last_in"]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 4]
+
+    def row(key, ends, first, last):
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*key, *ends, *first, *last), kinds)], names)
+
+    key = ends = first = last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = batch.column("line_no").to_numpy()
+        out, inside = _flags(batch, "__out", "__in")
+        for here, a, b in _runs(batch):
+            if here != key:
+                if key is not None:
+                    yield row(key, ends, first, last)
+                key, ends, first, last = here, [False, True], [None, None], [None, None]
+            for k in (0, 1):
+                state, ends[k] = _states(out[a:b], inside[a:b], ends[k])
+                starts = numbers[a:b][~state]
+                if len(starts):
+                    first[k], last[k] = int(starts[0]) if first[k] is None else first[k], int(starts[-1])
+    if key is not None:
+        yield row(key, ends, first, last)
+
+
+def _folded(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    """A row for each start: the texts up to the next one, joined by line breaks."""
+    if len(starts) == batch.num_rows:
+        return batch
+    texts = batch.column("text")
+    parts = pa.ListArray.from_arrays(pa.array([*starts.tolist(), batch.num_rows], pa.int32()), texts)
+    first = batch.take(pa.array(starts))
+    joined = pc.binary_join(parts, pa.scalar("\n", texts.type))
+    return first.set_column(first.schema.get_field_index("text"), "text", joined)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of lines in order; a block's first line here starts one, and a line of its own is one."""
+    key, state, held = None, False, []  # held: lines of a record that may go on
+
+    def whole(parts):
+        one = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return _folded(one, np.array([0]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out, inside, own = _flags(batch, "__out", "__in", "__own")
+        starts = np.zeros(batch.num_rows, dtype=bool)
+        for here, a, b in _runs(batch):
+            if here != key:
+                key, state = here, False
+                starts[a] = True
+            inner, state = _states(out[a:b], inside[a:b], state)
+            starts[a:b] |= ~inner | own[a:b]
+        lines = batch.drop_columns(["__out", "__in", "__own"])
+        at = np.flatnonzero(starts)
+        if not len(at):
+            held.append(lines)
+            continue
+        if held or at[0]:
+            yield whole([*held, lines.slice(0, at[0])])
+        if len(at) > 1:
+            yield _folded(lines.slice(at[0], at[-1] - at[0]), at[:-1] - at[0])
+        held = [lines.slice(at[-1])]
+    if held:
+        yield whole(held)
+
+
+def assemble(lines: DataFrame, separators: list[str], ordered: bool = True) -> DataFrame:
+    """Records of lines (PLACE, text, sep, carried columns of the file), `text` with its line breaks.
+
+    ``ordered``: the lines of a block lie in one partition, in order, as a scan gives them; and the
+    blocks are few enough to be broadcast. Lines that are not so are shuffled.
+    """
     carried = [c for c in lines.columns if c not in (*PLACE, "text")]
     out = for_separator(F.col("sep"), separators, lambda s: _ends_inside(F.col("text"), s)[0])
     inside = for_separator(F.col("sep"), separators, lambda s: _ends_inside(F.col("text"), s)[1])
-    lines = lines.withColumns({"__out": out, "__in": inside})
-    lines = _run(["source_file", "block_start"], "line_no", "__out", "__in", "__at")(lines)
 
-    def after(mark: str) -> Column:
-        return F.when(F.col(f"__at_{mark}"), F.col("__in")).otherwise(F.col("__out"))
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows if ordered else rows.repartition("source_file", "block_start").sortWithinPartitions(*PLACE)
 
-    blocks = lines.groupBy("source_file", "block_start").agg(
-        F.max_by(after("out"), "line_no").alias("__out"), F.max_by(after("in"), "line_no").alias("__in"),
-        F.max(F.when(~F.col("__at_out"), F.col("line_no"))).alias("__start_out"),
-        F.max(F.when(~F.col("__at_in"), F.col("line_no"))).alias("__start_in"),
-    )
+    flags = in_order(lines.select(*PLACE, out.alias("__out"), inside.alias("__in")))
+    blocks = flags.mapInArrow(_summaries, _BLOCKS)
     blocks = _run(["source_file"], "block_start", "__out", "__in", "__at")(blocks)
-    # A file starts outside of quotes.
-    last = F.when(F.col("__at_out"), F.col("__start_in")).otherwise(F.col("__start_out"))
-    ends = F.when(F.col("__at_out"), F.col("__in")).otherwise(F.col("__out"))
+
+    def actual(name: str) -> Column:
+        # A file starts outside of quotes.
+        return F.when(F.col("__at_out"), F.col(f"__{name}_in" if name else "__in")).otherwise(F.col(f"__{name}_out" if name else "__out"))
+
     blocks = blocks.select(
-        "source_file", "block_start", F.col("__at_out").alias("__opens_inside"), ends.alias("__ends"),
-        F.when(last.isNotNull(), F.struct("block_start", last.alias("line_no"))).alias("__last"),
-    )
+        "source_file", "block_start", actual("").alias("__ends"), actual("first").alias("__first"), actual("last").alias("__last"),
+    ).withColumn("__start", F.when(F.col("__last").isNotNull(), F.struct("block_start", F.col("__last").alias("line_no"))))
     order = Window.partitionBy("source_file").orderBy("block_start")
     whole = Window.partitionBy("source_file")
-    blocks = blocks.select(
-        F.col("source_file").alias("__file"), F.col("block_start").alias("__block"), "__opens_inside",
-        F.last("__last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.when(F.max_by("__ends", "block_start").over(whole), F.max("__last").over(whole)).alias("__unclosed"),
+    # Stored: a row a block. The lines are read for it once, and once more for the records.
+    blocks = reliable_checkpoint(blocks.select(
+        F.col("source_file").alias("__file"), F.col("block_start").alias("__block"), "__ends", "__first", "__last",
+        F.last("__start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.when(F.max_by("__ends", "block_start").over(whole), F.max("__start").over(whole)).alias("__unclosed"),
+    ))
+    lines = lines.join(
+        F.broadcast(blocks) if ordered else blocks,
+        (F.col("source_file") == F.col("__file")) & (F.col("block_start") == F.col("__block")),
     )
-    lines = lines.join(blocks, (F.col("source_file") == F.col("__file")) & (F.col("block_start") == F.col("__block")))
-    state = F.when(F.col("__opens_inside"), F.col("__at_in")).otherwise(F.col("__at_out"))
-    lines = lines.withColumn("__state", state)
     place = F.struct("block_start", "line_no")
-    sofar = Window.partitionBy("source_file", "block_start").orderBy("line_no")
-    record = F.last(F.when(~F.col("__state"), place), ignorenulls=True).over(sofar)
-    lines = lines.withColumn("__record", F.coalesce(record, F.col("__before"), place))
-    lines = lines.withColumn("__record", F.when(F.col("__record") == F.col("__unclosed"), place).otherwise(F.col("__record")))
-    ends_inside = F.when(F.col("__state"), F.col("__in")).otherwise(F.col("__out"))
-    alone = (F.col("__record") == place) & (~ends_inside | F.coalesce(F.col("__record") >= F.col("__unclosed"), F.lit(False)))
-    lines = lines.withColumn("__alone", alone)
-    single = lines.where("__alone").select(*PLACE, "text", *carried)
-    parts = lines.where("not __alone").groupBy("source_file", "__record").agg(
+    own = F.coalesce(place >= F.col("__unclosed"), F.lit(False))
+    # What goes on from the block before, and what goes on in the next one.
+    goes_on = F.col("__first").isNull() | (F.col("line_no") < F.col("__first"))
+    open_ = F.col("__ends") & (F.col("line_no") >= F.col("__last"))
+    split = ~own & (goes_on | F.coalesce(open_, F.lit(False)))
+    inner = lines.where(~split).select(*PLACE, "text", *carried, out.alias("__out"), inside.alias("__in"), own.alias("__own"))
+    single = in_order(inner).mapInArrow(_merged, inner.drop("__out", "__in", "__own").schema)
+    record = F.when(goes_on, F.col("__before")).otherwise(F.struct("block_start", F.col("__last").alias("line_no")))
+    parts = lines.where(split).withColumn("__record", record).groupBy("source_file", "__record").agg(
         F.sort_array(F.collect_list(F.struct("block_start", "line_no", "text"))).alias("__parts"),
         *[F.first(c).alias(c) for c in carried],
     )

@@ -52,6 +52,11 @@ def _text_of(value: Column, profiles: list[SchemaProfile], kinds: list[str]) ->
     return out
 
 
+def _few(rows: int) -> bool:
+    """Whether facts of so many splits are broadcast; lines then stay where they are read, in order."""
+    return rows * FACT_BYTES <= BROADCAST_BYTES
+
+
 @dataclass
 class Ingested:
     """Result of an ingest: every table is lazy."""
@@ -144,7 +149,7 @@ class StatementReader:
         multi = [p.name for p in profiles if p.file.multiline]
         if multi:
             within = F.col("profile").isin(multi)
-            whole = assemble(lines.where(within), separators)
+            whole = assemble(lines.where(within), separators, _few(facts.rows))
             lines = whole if len(multi) == len(profiles) else lines.where(~within).unionByName(whole)
         return Ingested(self._rows(lines, separators, profiles, account, account_map, derive_account), report)
 
@@ -165,7 +170,7 @@ class StatementReader:
     ) -> DataFrame:
         """Lines below their file's header with its facts. A file meets its lines split by split, so none is one key."""
         facts = known.select(F.col("source_file").alias("__file"), F.col("block_start").alias("__block"), *FACTS)
-        if rows * FACT_BYTES <= BROADCAST_BYTES:
+        if _few(rows):
             facts = F.broadcast(facts)
         sources = [(raw_lines(self.spark, paths, glob), [UTF8, "latin-1", WINDOWS])]
         sources += [(raw_lines(self.spark, chosen, encoding=kind), [kind]) for kind, chosen in wide.items()]

@@ -4,11 +4,13 @@ import csv
 import io
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallybook.session import reliable_checkpoint
 from tallybook.sources.profiles import Columns, FileFormat, ProfileRegistry, SchemaProfile
-from tallybook.sources.records import assemble, split_cells
+from tallybook.sources.records import _states, assemble, split_cells
 from tallybook.sources.statements import StatementReader
 
 HEADER = "date,description,amount\n"
@@ -133,3 +135,38 @@ def test_many_headers_are_one_plan(spark, tmp_path):
 def test_an_unknown_file_system_ends_the_job(spark):
     with pytest.raises(Exception, match="nosuch|No FileSystem"):
         StatementReader(spark).ingest_directory("nosuch://bucket/inbox")
+
+
+def test_states_of_lines_are_those_of_a_plain_walk():
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        out, inside = rnd.random((2, rnd.integers(1, 12))) < rnd.random()
+        for start in (False, True):
+            state, want = start, []
+            for o, i in zip(out, inside):
+                want.append(state)
+                state = bool(i if state else o)
+            got, end = _states(out, inside, start)
+            assert got.tolist() == want and end == state
+
+
+@pytest.mark.parametrize("split", ["40", "1m"])
+def test_records_are_put_together_where_they_are_read(spark, tmp_path, tiny_splits, split):
+    """Lines are not shuffled and no window holds a block; lines that lie anyhow are brought into order."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(records_of(7, 150))
+    for name, tail in (("a", ""), ("b", 'x,"never closed\nlast,2\n')):
+        (tmp_path / f"{name}.csv").write_text(out.getvalue() + tail)
+    lines = spark.read.text(str(tmp_path)).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("text"), F.lit(",").alias("sep"),
+    )
+    here = assemble(lines, [",", ";"])
+    assert "Window" not in here._jdf.queryExecution().optimizedPlan().toString()
+    texts = [r.text for r in here.orderBy("source_file", "block_start", "line_no").collect()]
+    whole = out.getvalue()[:-1]
+    assert "\n".join(texts) == f'{whole}\n{whole}\nx,"never closed\nlast,2'
+    assert len(texts) == 2 * 150 + 2
+    anyhow = reliable_checkpoint(lines).repartition(7, "text")
+    assert sorted(r.text for r in assemble(anyhow, [",", ";"], ordered=False).collect()) == sorted(texts)
