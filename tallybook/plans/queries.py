@@ -8,6 +8,7 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -351,6 +352,23 @@ def _file_bodies(lines: DataFrame, per_file: int = 5000) -> DataFrame:
     return lines.groupBy("slot", part.alias("part")).agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
 
 
+def _bodies_where_read(lines: DataFrame, per_file: int) -> DataFrame:
+    """Column ``body``: ``per_file`` lines at a time as a task reads them, the rest of a task in one more. Nothing is shuffled."""
+    def bodies(batches):
+        held = []
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            full = len(held) // per_file * per_file
+            for start in range(0, full, per_file):
+                yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held[start:start + per_file])], pa.string())], ["body"])
+            held = held[full:]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)], pa.string())], ["body"])
+
+    # A line that is null is no line, as for array_join.
+    return lines.where(F.col("line").isNotNull()).select("line").mapInArrow(bodies, "body string")
+
+
 @query("scan_csv_records")
 def _(spark, sf):
     """Quoted line breaks below a preamble with blank lines; rows of the 13th lack their amount."""
@@ -359,8 +377,9 @@ def _(spark, sf):
     short = F.dayofmonth("date") == 13
     line = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(","), told, F.when(short, "").otherwise(
         F.concat(F.lit(","), F.format_string("%.2f", F.col("amount")))))
-    bodies = _file_bodies(statements(spark, sf).select(F.lit(0).alias("slot"), line.alias("line")), 20_000)
-    _write_whole(bodies, F.concat(F.lit("My bank\n\nnote, of the day\ndate,description,amount\n"), "body"), folder)
+    with passing_copy(statements(spark, sf).select("date", "raw_description", "amount", "currency")) as rows:
+        bodies = _bodies_where_read(rows.select(line.alias("line")), 20_000)
+        _write_whole(bodies, F.concat(F.lit("My bank\n\nnote, of the day\ndate,description,amount\n"), "body"), folder)
     registry = ProfileRegistry()
     registry.register_profile(SchemaProfile("quoted", Columns(signed="amount"), file=FileFormat(multiline=True)))
     rows = StatementReader(spark, registry).ingest_directory(folder, profile="quoted", account="all", glob="*.txt").rows

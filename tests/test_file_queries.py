@@ -24,3 +24,12 @@ def test_encodings_work_out_their_bodies_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "_write_whole", write)
     queries.QUERIES["scan_encodings"](spark, "/root/testdata/sf0.001")
     assert len(wrote) == 5 and not any("Join" in w for w in wrote)
+
+
+def test_bodies_where_read_hold_every_line_once(spark):
+    lines = spark.range(0, 2500, 1, 2).select(F.when(F.col("id") != 7, F.col("id").cast("string")).alias("line"))
+    frame = queries._bodies_where_read(lines, 500)
+    bodies = [r.body.split("\n") for r in frame.collect()]
+    assert sorted(int(n) for b in bodies for n in b) == [n for n in range(2500) if n != 7]
+    assert len(bodies) == 6 and max(map(len, bodies)) == 500
+    assert "Aggregate" not in frame._jdf.queryExecution().toString()
