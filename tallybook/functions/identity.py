@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,18 @@ def transaction_id(
     if occurrence_no is not None:
         parts.append(occurrence_no.cast("string"))
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def _from_row() -> Column:
+    return transaction_id(F.col("date"), F.col("raw_description"), F.col("amount"), F.col("account"))
+
+
+def without_ids(rows: DataFrame) -> DataFrame:
+    """Ids are NULL where the row's own columns give them: a hash is most of what a row takes to store."""
+    given = F.col("transaction_id")
+    return rows.withColumn("transaction_id", F.when(~given.eqNullSafe(_from_row()), given))
+
+
+def with_ids(rows: DataFrame) -> DataFrame:
+    """What ``without_ids`` was given."""
+    return rows.withColumn("transaction_id", F.coalesce("transaction_id", _from_row()))

@@ -179,11 +179,19 @@ def ingest_metrics(normalised: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def dedup_first(df: DataFrame, *order: str) -> DataFrame:
+def dedup_first(df: DataFrame, *order: str, packed: bool = False) -> DataFrame:
     """Keep the first row of every ``transaction_id``.
 
     Spark limits each id to its first row before the shuffle too (WindowGroupLimit), so
-    an id repeated any number of times sends one row per task.
+    an id repeated any number of times sends one row per task. ``packed`` shuffles ids that are
+    SHA-256 hashes in half their length.
     """
-    place = F.row_number().over(Window.partitionBy("transaction_id").orderBy(*order))
-    return df.withColumn("__place", place).filter("__place = 1").drop("__place")
+    if not packed:
+        place = F.row_number().over(Window.partitionBy("transaction_id").orderBy(*order))
+        return df.withColumn("__place", place).filter("__place = 1").drop("__place")
+    given = F.col("transaction_id")
+    is_hash = F.coalesce(given.rlike("\\A[0-9a-f]{64}\\z"), F.lit(False))
+    split = df.withColumns({"__hash": F.when(is_hash, F.unhex(given)), "__other": F.when(~is_hash, given)}).drop("transaction_id")
+    place = F.row_number().over(Window.partitionBy("__hash", "__other").orderBy(*order))
+    first = split.withColumn("__place", place).filter("__place = 1")
+    return first.withColumn("transaction_id", F.coalesce(F.lower(F.hex("__hash")), "__other")).select(*df.columns)

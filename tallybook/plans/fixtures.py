@@ -89,8 +89,12 @@ def statements(spark: SparkSession, sf_dir: str, *, many_accounts: bool = False)
 
 
 def canonical(spark: SparkSession, sf_dir: str, **kwargs) -> DataFrame:
+    return canonical_of(statements(spark, sf_dir, **kwargs))
+
+
+def canonical_of(statement_rows: DataFrame) -> DataFrame:
     rows = (
-        statements(spark, sf_dir, **kwargs)
+        statement_rows
         .withColumn("raw_description", text.strip(F.col("raw_description")))
         .withColumn("__clean", text.clean_description(F.col("raw_description")))
     )

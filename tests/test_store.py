@@ -2,10 +2,15 @@
 
 import datetime as dt
 
-from tallybook.operators.normalise import good_rows
+from pyspark.sql import functions as F
+
+import tallybook.operators.store as store_module
+from tallybook.functions.identity import with_ids, without_ids
+from tallybook.operators.normalise import dedup_first, good_rows
 from tallybook.operators.store import TransactionStore, export_parquet
 from tallybook.plans.fixtures import canonical
 from tallybook.schema import CANONICAL, ContractError, empty_canonical, require_columns
+from tallybook.session import reliable_checkpoint
 from tallybook.sources.statements import StatementReader
 from tallybook.streaming.inbox import InboxStream
 
@@ -124,3 +129,38 @@ def test_good_rows_keep_the_canonical_schema(spark, tmp_path):
     _write(tmp_path / "x.csv", 1)
     rows = StatementReader(spark).ingest(str(tmp_path / "x.csv")).rows
     assert good_rows(rows).schema.names == CANONICAL.names
+
+
+def test_a_load_in_parts_gives_the_same_table(spark, tmp_path, monkeypatch):
+    """Ids that a row's columns give, and others; what is not yet whole is not part of the table."""
+    monkeypatch.setattr(store_module, "ROWS_AT_ONCE", 50)
+    rows = canonical(spark, SF).limit(300)
+    other = rows.limit(20).withColumn("transaction_id", F.concat(F.lit("own-"), F.col("transaction_id")))
+    rows = reliable_checkpoint(rows.unionByName(other).unionByName(rows.limit(30)))
+    seen = []
+    admit = TransactionStore._admit
+    monkeypatch.setattr(TransactionStore, "_admit", lambda self, staging: (seen.append(self.read().count()), admit(self, staging)))
+    target = TransactionStore(spark, str(tmp_path / "t"))
+    n = rows.select("transaction_id").distinct().count()
+    assert target.load(rows, "a") == n and target.load(rows, "a") == n and target.load(rows, "b") == 0
+    assert seen == [0, 0, n]
+    got, want = (d.select("transaction_id", "date", "amount", "account").distinct() for d in (target.read(), rows))
+    assert target.row_count() == n and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert not list((tmp_path / "t").glob("_loading*"))
+
+
+def test_ids_that_the_row_gives_are_not_stored(spark):
+    rows = canonical(spark, SF).limit(50)
+    odd = rows.limit(3).withColumn("transaction_id", F.lit("1"))
+    packed = without_ids(rows.unionByName(odd))
+    assert [r.n for r in packed.groupBy("transaction_id").agg(F.count("*").alias("n")).orderBy(F.col("transaction_id").asc_nulls_first()).collect()] == [50, 3]
+    assert with_ids(packed).exceptAll(rows.unionByName(odd)).isEmpty()
+
+
+def test_packed_dedup_keeps_the_same_rows(spark):
+    rows = canonical(spark, SF).limit(60).withColumn("n", F.monotonically_increasing_id())
+    ids = F.when(F.col("n") % 3 == 0, F.upper("transaction_id")).when(F.col("n") % 7 == 1, F.lit("1")).when(F.col("n") % 7 != 2, F.col("transaction_id"))
+    rows = reliable_checkpoint(rows.withColumn("transaction_id", ids))
+    rows = rows.unionByName(rows.withColumn("n", F.col("n") + 1000))
+    plain, packed = (dedup_first(rows, "n", packed=p) for p in (False, True))
+    assert plain.columns == packed.columns and plain.count() == packed.count() and packed.exceptAll(plain).isEmpty()
