@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.functions.identity import with_ids, without_ids
 from tallybook.functions.text import account_label
 from tallybook.operators.normalise import (
     ROLES,
@@ -22,6 +23,7 @@ from tallybook.operators.normalise import (
     quarantine,
 )
 from tallybook.schema import CANONICAL, empty_canonical
+from tallybook.session import reliable_checkpoint
 from tallybook.sources.detect import (
     SEPARATORS,
     UTF8,
@@ -64,11 +66,20 @@ class Ingested:
     rows: DataFrame
     files: DataFrame
 
+    @property
+    def kept(self) -> DataFrame:
+        """Rows without an error and their places, ids repeated as in the files."""
+        return good_rows(self.rows, "block_start", "line_no")
+
     @property
     def good(self) -> DataFrame:
         """Canonical rows, the first of each id."""
-        kept = good_rows(self.rows, "block_start", "line_no")
-        return dedup_first(kept, *ROW_ORDER).select(*CANONICAL.names)
+        return dedup_first(self.kept, *ROW_ORDER, packed=True).select(*CANONICAL.names)
+
+    def good_stored(self) -> DataFrame:
+        """``good`` by way of a stored copy of ``kept``: when this returns, the files are not read again."""
+        kept = with_ids(reliable_checkpoint(without_ids(self.kept)))
+        return dedup_first(kept, *ROW_ORDER, packed=True).select(*CANONICAL.names)
 
     @property
     def quarantine(self) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallybook.operators.store import TransactionStore
 from tallybook.sources.profiles import ProfileRegistry
-from tallybook.sources.statements import StatementReader
+from tallybook.sources.statements import ROW_ORDER, StatementReader
 
 # Columns of the binary-file source; the content column is never selected.
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -81,7 +81,8 @@ class InboxStream:
         # rewrites the same rows, and another stream or a fresh checkpoint never does.
         stream = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or self.own_id
         load_id = f"{self.stream_name}-{stream}-{batch_id}"
-        inserted = self.store.load(result.good, load_id=load_id)
+        # The load keeps the first row of each id, by its place as `good` does.
+        inserted = self.store.load(result.kept, load_id=load_id, order=ROW_ORDER)
         result.quarantine.withColumn("load_id", F.lit(load_id)).write.mode("overwrite").parquet(
             f"{self.quarantine}/load={load_id}"
         )
