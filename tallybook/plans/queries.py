@@ -25,7 +25,7 @@ from tallybook.plans.fixtures import (
     table,
     transactions,
 )
-from tallybook.session import passing_copy, reliable_checkpoint, shared_folder
+from tallybook.session import passing_copy, reliable_checkpoint, remove, shared_folder
 from tallybook.sources.detect import match_profile, profile_by_filename
 from tallybook.sources.profiles import Columns, FileFormat, ProfileRegistry, SchemaProfile
 from tallybook.sources.statements import StatementReader
@@ -458,8 +458,9 @@ def _(spark, sf):
 def _(spark, sf):
     folder = _scratch(spark)
     _write_layouts(spark, sf, folder)
-    ingested = StatementReader(spark).ingest_directory(f"{folder}/*", account="joint")
-    return ingested.good.select(
+    good = StatementReader(spark).ingest_directory(f"{folder}/*", account="joint").good_stored()
+    remove(spark, folder)  # this query's own files, read for the last time
+    return good.select(
         "transaction_id", "date", "description", "raw_description", "amount", "currency", "category", "account"
     )
 
