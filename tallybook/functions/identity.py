@@ -48,3 +48,14 @@ def without_ids(rows: DataFrame) -> DataFrame:
 def with_ids(rows: DataFrame) -> DataFrame:
     """What ``without_ids`` was given."""
     return rows.withColumn("transaction_id", F.coalesce("transaction_id", _from_row()))
+
+
+def packed_id(given: Column) -> Column:
+    """Bytes of an id: a SHA-256 hash in half its length, any other text as it is, told apart by the first byte."""
+    is_hash = given.rlike("\\A[0-9a-f]{64}\\z")
+    return F.when(is_hash, F.concat(F.lit(b"\x00"), F.unhex(given))).otherwise(F.concat(F.lit(b"\x01"), given.cast("binary")))
+
+
+def unpacked_id(packed: Column) -> Column:
+    rest = F.substring(packed, 2, 2**31 - 1)
+    return F.when(F.substring(packed, 1, 1) == F.lit(b"\x00"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))

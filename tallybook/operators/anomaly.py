@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import ExitStack, nullcontext
 from dataclasses import dataclass
 from itertools import islice
 
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallybook.functions.identity import packed_id, unpacked_id
 from tallybook.operators.features import (
     ANOMALY_FEATURES,
     merchant_stats,
@@ -24,7 +26,7 @@ from tallybook.operators.features import (
     with_anomaly_features,
 )
 from tallybook.operators.ranking import exact_quantile, lowest_k, min_rank
-from tallybook.session import reliable_checkpoint
+from tallybook.session import passing_copy, reliable_checkpoint
 
 SAMPLE_ROWS = 256
 # Arrow batches scored at a time, and values of a feature up to which its comparisons are kept for a batch.
@@ -152,7 +154,10 @@ class AnomalyModel:
         value = F.col("__score") - F.lit(self.threshold)
         columns = [c for c in scored.columns if c != "__score"]
         if ranked:
-            scored = min_rank(scored, "__score", self.key, "anomaly_rank")
+            # Every row is shuffled for its rank, so its id goes in half its length.
+            packed = scored.withColumn(self.key, packed_id(F.col(self.key)))
+            ranks = min_rank(packed, "__score", self.key, "anomaly_rank")
+            scored = ranks.withColumn(self.key, unpacked_id(F.col(self.key)))
         return scored.select(
             *columns,
             F.round(value, 4).alias("anomaly_score"),
@@ -297,12 +302,23 @@ class AnomalyDetector:
     def _fit(self, tx: DataFrame, keep_stats: bool, keep: list[str] | None = None) -> tuple[AnomalyModel, DataFrame]:
         keep = keep or tx.columns
         read = [c for c in tx.columns if c in (*keep, *_READ_COLUMNS, self.hour_col, self.key)]
-        # The merchants' figures are a pass of their own, so what the rows take to work out is stored.
-        tx = reliable_checkpoint(tx.select(*read))
-        # Read three times below (scaling, sampling, scoring), so stored once.
-        features = reliable_checkpoint(
-            _without_noise(with_anomaly_features(tx, hour_col=self.hour_col, spread_by=self.key))
-        )
+        # The merchants' figures are a pass of their own, so what the rows take to work out is stored;
+        # the copy goes when the features are there, unless the model keeps the figures.
+        rows = tx.select(*read)
+        with ExitStack() as later:
+            with nullcontext(reliable_checkpoint(rows)) if keep_stats else passing_copy(rows) as tx:
+                features = _without_noise(with_anomaly_features(tx, hour_col=self.hour_col, spread_by=self.key))
+                # Read three times (scaling, sampling, scoring), so stored once; without what nothing reads there.
+                features = features.select(*dict.fromkeys([*keep, self.key, *ANOMALY_FEATURES]))
+                features = later.enter_context(passing_copy(features))
+            model, scored = self._grown(features, keep)
+        model.threshold = exact_quantile(scored, "__score", self.contamination)
+        if keep_stats:
+            model.stats = merchant_stats(tx)
+        return model, scored
+
+    def _grown(self, features: DataFrame, keep: list[str]) -> tuple[AnomalyModel, DataFrame]:
+        """The trees, and the stored scores of all rows."""
         figures = scaling(features, ANOMALY_FEATURES).first().asDict()
         rows = int(figures.pop("n_rows"))
         if rows == 0:
@@ -323,7 +339,7 @@ class AnomalyDetector:
         sample = _tree_samples(features, self.key, rows, self.n_estimators, seed)
         scaled = standardise(sample, ANOMALY_FEATURES, figures)
         # A fixed partition count: the sample is small, growing a tree is not.
-        tasks = min(self.n_estimators, tx.sparkSession.sparkContext.defaultParallelism)
+        tasks = min(self.n_estimators, features.sparkSession.sparkContext.defaultParallelism)
         nodes = (
             scaled.select("tree", "__place", *ANOMALY_FEATURES)
             .repartition(tasks, "tree")
@@ -333,11 +349,7 @@ class AnomalyDetector:
         model = AnomalyModel(
             nodes.toPandas(), figures, block, 0.0, None, self.hour_col, self.key
         )
-        scored = reliable_checkpoint(model._score(features, keep))
-        model.threshold = exact_quantile(scored, "__score", self.contamination)
-        if keep_stats:
-            model.stats = merchant_stats(tx)
-        return model, scored
+        return model, reliable_checkpoint(model._score(features, keep))
 
 
 def top_anomalies(scored: DataFrame, n: int = 20) -> DataFrame:

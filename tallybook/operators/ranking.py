@@ -41,11 +41,11 @@ def min_rank(
     are cut into ranges, as many as the number of values asks for; each range is
     summed up in its own task, and the range totals give the offsets.
     """
-    # Text of the value: equal for equal values, and NULL and NaN have one too.
-    key = F.coalesce((F.col(by) + F.lit(0.0)).cast("string"), F.lit("null"))
-    keyed = df.withColumn("__value", key)
+    # Equal for equal values: Spark joins NaN to NaN, and NULL has a mark of its own.
+    keys = ["__value", "__none"]
+    keyed = df.withColumns({"__value": F.coalesce(F.col(by).cast("double") + F.lit(0.0), F.lit(0.0)), "__none": F.col(by).isNull()})
     counts = reliable_checkpoint(
-        keyed.groupBy("__value").agg(F.first(by).alias("__by"), F.count("*").alias("__rows"))
+        keyed.groupBy(*keys).agg(F.first(by).alias("__by"), F.count("*").alias("__rows"))
     )
     values = _bucketed(counts, "__by", math.ceil(counts.count() / rows_per_range) + 1)
 
@@ -62,9 +62,9 @@ def min_rank(
     ranks = (
         values.withColumn("__inside", F.coalesce(F.sum("__rows").over(inside), F.lit(0)))
         .join(F.broadcast(offsets), "__bucket")
-        .select("__value", "__rows", (F.col("__inside") + F.col("__offset") + 1).alias(rank_col))
+        .select(*keys, "__rows", (F.col("__inside") + F.col("__offset") + 1).alias(rank_col))
     )
-    return attach_group_stats(keyed, ranks, ["__value"], "__rows", spread_by).drop("__rows", "__value")
+    return attach_group_stats(keyed, ranks, keys, "__rows", spread_by).drop("__rows", *keys)
 
 
 def exact_quantile(df: DataFrame, by: str, q: float) -> float:

@@ -16,7 +16,7 @@ from tallybook.functions import money, parsing, rules, text
 from tallybook.functions.sql import register_sql_functions
 from tallybook.operators import anomaly, features, forecast, normalise, ranking, reports, store
 from tallybook.operators.classify import CategoryModel, LinearWeights, TransactionClassifier
-from tallybook.operators.enrich import calendar_parts, with_rule_category
+from tallybook.operators.enrich import calendar_parts, enrich, with_rule_category
 from tallybook.plans.fixtures import (
     _pick,
     canonical,
@@ -870,7 +870,10 @@ def _(spark, sf):
 
 @query("anomaly_scores")
 def _(spark, sf):
-    scored = anomaly.AnomalyDetector().fit_predict(reports.real(transactions(spark, sf)), keep=["transaction_id"])
+    # A copy, so that what the fit stores does not lie beside what the joins of the tables shuffled.
+    with passing_copy(statements(spark, sf)) as rows:
+        tx = reports.real(enrich(canonical_of(rows)))
+        scored = anomaly.AnomalyDetector().fit_predict(tx, keep=["transaction_id"])
     return scored.select("transaction_id", "anomaly_score", "anomaly_flag", "anomaly_rank")
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 from fractions import Fraction
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tallybook import session
 from tallybook.operators import features, forecast, ranking, reports
 from tallybook.operators.anomaly import AnomalyDetector, AnomalyModel, _depths, _grow, _pack, flagged_share, top_anomalies
 from tallybook.operators.classify import CategoryModel, LinearWeights, TransactionClassifier
@@ -336,3 +338,15 @@ def test_series_of_repeated_blank_and_null_days(spark):
         ("", "2024-02-01", 3.0), ("a", "2024-01-01", 2.0), ("a", "2024-01-02", 0.0), ("a", "2024-01-03", 0.0),
         ("a", "2024-01-04", 0.0), ("b", "2024-01-02", 1.0), ("b", "2024-01-02", 4.0),
     ]
+
+
+def test_a_fit_leaves_only_the_scores_stored(spark, tx, monkeypatch):
+    """The copies that the fit passes over are gone; a row's id is shuffled in half its length."""
+    stored = []
+    monkeypatch.setattr(session, "_store", lambda df, plain=session._store: stored.append(plain(df)) or stored[-1])
+    scored = AnomalyDetector(n_estimators=5).fit_predict(reports.real(tx), keep=["transaction_id"])
+    there = [d.columns for d, folder in stored if os.path.exists(folder.removeprefix("file:"))]
+    assert ["transaction_id", "__score"] in there
+    assert not any("log_amount" in c or "description" in c for c in there if "merchant_freq" not in c)
+    assert "unhex" in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert scored.select("transaction_id").exceptAll(reports.real(tx).select("transaction_id")).isEmpty()

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 import tallybook.operators.store as store_module
-from tallybook.functions.identity import with_ids, without_ids
+from tallybook.functions.identity import packed_id, unpacked_id, with_ids, without_ids
 from tallybook.operators.normalise import dedup_first, good_rows
 from tallybook.operators.store import TransactionStore, export_parquet
 from tallybook.plans.fixtures import canonical
@@ -164,3 +164,10 @@ def test_packed_dedup_keeps_the_same_rows(spark):
     rows = rows.unionByName(rows.withColumn("n", F.col("n") + 1000))
     plain, packed = (dedup_first(rows, "n", packed=p) for p in (False, True))
     assert plain.columns == packed.columns and plain.count() == packed.count() and packed.exceptAll(plain).isEmpty()
+
+
+def test_packed_ids_come_back(spark):
+    ids = ["ab" * 32, "AB" * 32, "1", "", "x" * 32, "ab" * 32 + "\n", "é", None]
+    rows = spark.createDataFrame([(i,) for i in ids], "i string").select("i", packed_id(F.col("i")).alias("p"))
+    back = rows.select("i", unpacked_id(F.col("p")).alias("b"), F.length("p").alias("n")).collect()
+    assert all(r.i == r.b for r in back) and len({r.b for r in back}) == len(ids) and back[0].n == 33
