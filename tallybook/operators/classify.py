@@ -21,7 +21,7 @@ from tallybook.operators import softmax
 from tallybook.operators.enrich import merchant_categories, with_rule_category
 from tallybook.operators.features import char_ngrams, vocabulary, with_numeric_features
 from tallybook.operators.skew import attach_group_stats
-from tallybook.session import reliable_checkpoint
+from tallybook.session import passing_copy
 
 NUMERIC = ["log_amount", "sign", "weekday_f"]
 
@@ -202,26 +202,26 @@ class TransactionClassifier:
     def fit(self, tx: DataFrame) -> CategoryModel:
         """Learn from all rows: equal ones are one training row with their count as its weight."""
         day = F.col("day_of_week") if "day_of_week" in tx.columns else F.lit(0).alias("day_of_week")
-        # Stored once: several passes follow.
+        # Stored once: several passes follow, all of them here.
         alike = with_rule_category(tx.select("description", "amount", day), "__label")
         alike = alike.groupBy("description", "amount", "day_of_week", "__label").agg(F.count("*").alias("weight"))
-        rows = reliable_checkpoint(alike)
-        # Both lists are bounded: the vocabulary by its size, labels by the rule table.
-        terms = vocabulary(rows, self.vocabulary_size, weight="weight").collect()
-        labels = sorted(r[0] for r in rows.select("__label").distinct().collect())
-        model = CategoryModel([r.term for r in terms], [r.idf for r in terms], labels, None)
-        position = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("__label"))
-        rows = rows.withColumn("label", position - 1)
-        if self.trees:
-            train = model.features(rows.withColumn("label", F.col("label").cast("double")), spread_by="amount")
-            model.model = self._ensembles(train.select("features", "label", F.col("weight").cast("double").alias("weight")))
-        else:
-            # Stored once: every round of the fit is a pass over the blocks.
-            figures = with_numeric_features(rows).select("description", "label", "weight", "amount", *NUMERIC)
-            table = reliable_checkpoint(softmax.blocks(figures, model._texts(rows), "description", NUMERIC, "amount"))
-            model.model = LinearWeights(*softmax.fit(
-                table, len(model.terms), len(NUMERIC), len(labels), max_iter=self.max_iter, penalty=1e-4
-            ))
+        with passing_copy(alike) as rows:
+            # Both lists are bounded: the vocabulary by its size, labels by the rule table.
+            terms = vocabulary(rows, self.vocabulary_size, weight="weight").collect()
+            labels = sorted(r[0] for r in rows.select("__label").distinct().collect())
+            model = CategoryModel([r.term for r in terms], [r.idf for r in terms], labels, None)
+            position = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("__label"))
+            rows = rows.withColumn("label", position - 1)
+            if self.trees:
+                train = model.features(rows.withColumn("label", F.col("label").cast("double")), spread_by="amount")
+                model.model = self._ensembles(train.select("features", "label", F.col("weight").cast("double").alias("weight")))
+            else:
+                # Stored once: every round of the fit is a pass over the blocks.
+                figures = with_numeric_features(rows).select("description", "label", "weight", "amount", *NUMERIC)
+                with passing_copy(softmax.blocks(figures, model._texts(rows), "description", NUMERIC, "amount")) as table:
+                    model.model = LinearWeights(*softmax.fit(
+                        table, len(model.terms), len(NUMERIC), len(labels), max_iter=self.max_iter, penalty=1e-4
+                    ))
         return model
 
     def fit_predict(self, tx: DataFrame, **kwargs) -> DataFrame:

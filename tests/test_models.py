@@ -350,3 +350,11 @@ def test_a_fit_leaves_only_the_scores_stored(spark, tx, monkeypatch):
     assert not any("log_amount" in c or "description" in c for c in there if "merchant_freq" not in c)
     assert "unhex" in scored._jdf.queryExecution().optimizedPlan().toString()
     assert scored.select("transaction_id").exceptAll(reports.real(tx).select("transaction_id")).isEmpty()
+
+
+def test_a_classifier_leaves_no_rows_stored(spark, tx, monkeypatch):
+    stored = []
+    monkeypatch.setattr(session, "_store", lambda df, plain=session._store: stored.append(plain(df)) or stored[-1])
+    TransactionClassifier(vocabulary_size=40, max_iter=2).fit(tx)
+    gone = [d.columns for d, folder in stored if not os.path.exists(folder.removeprefix("file:"))]
+    assert sum("weight" in c or "positions" in c for c in gone) == 2
